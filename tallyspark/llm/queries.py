@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language, mixing, packing
+from tallyspark.llm import language, mixing, packing, simhash
 from tallyspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op6_language_id, op7_best_fit_packing)
+    f.__name__: f for f in (op2_mix_sources, op3_simhash_near_dedup, op6_language_id, op7_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
