@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language, mixing, packing, simhash
+from tallyspark.llm import language, mixing, packing, simhash, substring
 from tallyspark.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -27,6 +31,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_simhash_near_dedup, op6_language_id, op7_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op6_language_id, op7_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
