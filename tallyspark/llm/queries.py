@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language, mixing, packing, simhash, substring
+from tallyspark.llm import language, mixing, packing, pii, simhash, substring
 from tallyspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op6_language_id, op7_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op6_language_id, op7_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
