@@ -126,7 +126,7 @@ def _judge(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, int
         YES if strict else ABSTAIN,
         YES if inner or cue == kind else ABSTAIN,
         NO if plain else YES if cue else ABSTAIN,
-        NO if date or groups > 6 else YES if kind == "phone" and separated and 3 <= groups <= 5 and 9 <= digits <= 15 else ABSTAIN,
+        NO if kind == "phone" and (date or groups > 6) else YES if kind == "phone" and separated and 3 <= groups <= 5 and 9 <= digits <= 15 else ABSTAIN,
         NO if kind == "phone" and (digits < 8 or digits > 15) else ABSTAIN,
         NO if not strict and kind == "phone" and 13 <= digits <= 19 and groups == 1 else ABSTAIN,
         YES if kind == "secret" and mixed else ABSTAIN,
