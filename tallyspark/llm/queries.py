@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language, mixing, packing, pii, simhash, substring
+from tallyspark.llm import language, mixing, packing, pii, quality, simhash, substring, toxicity
 from tallyspark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op6_language_id, op7_best_fit_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op5_quality, op6_language_id, op7_best_fit_packing, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
