@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import language, mixing, packing, pii, quality, simhash, substring, toxicity
+from tallyspark.llm import language, mixing, neighbours, packing, pii, quality, simhash, substring, topk, toxicity
 from tallyspark.llm.common import table
 
 
@@ -38,11 +38,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op5_quality, op6_language_id, op7_best_fit_packing, op10_toxicity)
+    f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op5_quality, op6_language_id, op7_best_fit_packing, op8_nearest_neighbours, op9_exact_top_k, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
