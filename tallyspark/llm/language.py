@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.llm.common import is_held_out, small_batches
 
@@ -118,9 +119,11 @@ class Profiles:
         return self.langs[best], float(near[best] / near.sum()) if near.sum() > 0 else 0.0
 
 
-def predict_language(docs: DataFrame, profiles: DataFrame, profile_size: int = PROFILE_SIZE) -> DataFrame:
+def predict_language(docs: DataFrame, profiles: DataFrame, profile_size: int = PROFILE_SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, lang_pred, score`` with the nearest profile's language.
 
+    Columns named in ``carry`` are handed through, after the others.
+
     ``score`` is the nearest profile's closeness as a share of all profiles' closeness.
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
     Distances that tie go to the language that sorts first.  Repeated rows each get a row.
@@ -133,16 +136,20 @@ def predict_language(docs: DataFrame, profiles: DataFrame, profile_size: int = P
         for batch in batches:
             said = [model.judge(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([lang for lang, _ in said], pa.string()), pa.array([score for _, score in said], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [batch.column(0), pa.array([lang for lang, _ in said], pa.string()), pa.array([score for _, score in said], pa.float64()), *batch.columns[2:]],
+                ["doc_id", "lang_pred", "score", *carry],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    schema = StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    for field in docs.select(*carry).schema if carry else ():
+        schema.add(field)
+    return rows.mapInArrow(judge, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from the training fold of ``docs`` (null languages aside), predict all of it."""
     small_batches(docs.sparkSession)
     profiles = train_profiles(docs.filter(~is_held_out(F.col("doc_id"))))
-    said = predict_language(docs, profiles)
-    return said.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    said = predict_language(docs, profiles, carry=carry)
+    return said.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *carry)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.llm.common import small_batches
 
@@ -241,9 +242,10 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def detect(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def detect(docs: DataFrame, weights: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text`` -> counts and digest of base spans, all spans, and the redacted text.
 
+    Columns named in ``carry`` are handed through, after the others.
     Null text: no spans, and a null redacted text.  Empty text: no spans.  Rows are judged one
     by one, so repeated rows repeat; very long texts take linear time.
     """
@@ -265,14 +267,20 @@ def detect(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     pa.array([hashlib.sha256(w.encode()).hexdigest() for w in written], pa.string()),
                     pa.array([write(every) for _, every in found], pa.string()),
                     pa.array([redact(text, every) if every else text for text, (_, every) in zip(texts, found)], pa.string()),
+                    *batch.columns[2:],
                 ],
-                ["doc_id", *(f"n_{kind}" for kind in BASE_KINDS), "base_sha256", "spans", "redacted"],
+                ["doc_id", *(f"n_{kind}" for kind in BASE_KINDS), "base_sha256", "spans", "redacted", *carry],
             )
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = StructType().add("doc_id", "long")
+    for kind in BASE_KINDS:
+        schema.add(f"n_{kind}", "long")
+    schema.add("base_sha256", "string").add("spans", "string").add("redacted", "string")
+    for field in docs.select(*carry).schema if carry else ():
+        schema.add(field)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(run, schema)
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Train on the votes over all of ``docs``, then :func:`detect`; an empty table gives an empty result."""
-    return detect(docs, train(docs))
+    return detect(docs, train(docs), carry)
