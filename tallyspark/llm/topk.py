@@ -1,12 +1,12 @@
 """Exact top-k by integer inner product over an impact-ordered index.
 
-Each component is quantised to floor(256 x).  A block's index has one list of segments for
-each dimension: its vectors by value, cut into segments whose largest and smallest value
-are known.  A query processes segments score at a time, by descending impact (the most a
-vector of the segment can gain over the dimension's least), adds the impact to the
-segment's vectors and stops when proof is there: when what the unprocessed segments can
-still add lifts no vector outside the possible members over the k-th best lower bound.
-Possible members are rescored exactly.
+Each component is quantised to floor(256 x).  A posting's impact is quantised to the power
+of two below its absolute value; a block's postings lie in segments by quantised impact,
+highest first, and of each vector the index knows how long the part in lower segments is.
+Queries are processed score at a time: a segment's postings are added to the scores of all
+vectors, and by Cauchy-Schwarz what the segments below can still change is bounded.  A
+query stops when that proves that only few vectors can be among its best; these possible
+members are rescored exactly.
 """
 
 from __future__ import annotations
@@ -19,52 +19,65 @@ from pyspark.sql import functions as F
 from tallyspark.llm.blocks import best, matrix, one_row_an_id, search_in_blocks, vectors
 from tallyspark.llm.common import settle
 
-#: Segments of each dimension.
-SEGMENTS = 16
-#: Share of the segments between two looks at the bounds.
-LOOK = 0.1
+#: Least share of a block's postings in a segment; sparser levels of impact join the next.
+SEGMENT_SHARE = 0.15
+#: A query stops once at most this share of the block's vectors is possible.
+FEW = 0.03
+#: Queries processed together.
+TOGETHER = 128
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors."""
+    """Posting segments of a block of integer vectors, by descending quantised impact."""
 
-    def __init__(self, values: np.ndarray, segments: int = SEGMENTS):
-        self.n, self.dim = values.shape
-        self.by_value = np.argsort(values, axis=0, kind="stable").astype(np.int32)
-        ends = np.linspace(0, self.n, min(segments, self.n) + 1).astype(int)
-        self.cuts = list(zip(ends[:-1], ends[1:]))
-        ordered = np.take_along_axis(values, self.by_value, 0)
-        self.low = ordered[[a for a, _ in self.cuts]].T.astype(np.int64)  # (dim, segments)
-        self.high = ordered[[b - 1 for _, b in self.cuts]].T.astype(np.int64)
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        size = np.abs(values)
+        level = np.where(size > 0, np.floor(np.log2(np.maximum(size, 1))).astype(np.int64), -1)
+        least, cuts = SEGMENT_SHARE * max(np.count_nonzero(size), 1), []
+        held = 0
+        for at in range(int(level.max(initial=-1)), -1, -1):
+            held += int((level == at).sum())
+            if held >= least or at == 0:
+                cuts.append(at)
+                held = 0
+        # Sums stay whole numbers that the type holds exactly.
+        self.exact32 = bool((size.astype(np.float64).max(initial=0) * 2.0**9) * values.shape[1] < 2**24)
+        kind = np.float32 if self.exact32 else np.float64
+        self.segments, self.rest = [], []
+        above = np.iinfo(np.int64).max
+        for cut in cuts:
+            self.segments.append(np.ascontiguousarray(np.where((level >= cut) & (level < above), values, 0).T.astype(kind)))
+            low = np.where(level < cut, values, 0).astype(np.float64)
+            self.rest.append(np.sqrt((low * low).sum(1)))
+            above = cut
 
-    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Positions of all vectors that can be among the ``k`` best."""
-        if self.n <= k:
-            return np.arange(self.n)
-        q = query[:, None]
-        most, least = np.maximum(q * self.low, q * self.high), np.minimum(q * self.low, q * self.high)
-        floor = least.min(1)  # what a vector has of a dimension at least
-        impact = most - floor[:, None]
-        gain = least - floor[:, None]
-        order = np.argsort(-impact, axis=None, kind="stable")
-        base, sizes = floor.sum(), len(self.cuts)
-        # Of each vector: the least and the most it has gained, and in how many dimensions.
-        gained = np.zeros((self.n, 3), np.int64)
-        step = max(1, int(len(order) * LOOK))
-        for at in range(0, len(order), step):
-            for pos in order[at : at + step].tolist():
-                d, s = divmod(pos, sizes)
-                a, b = self.cuts[s]
-                gained[self.by_value[a:b, d]] += (gain[d, s], impact[d, s], 1)
-            sure = gained[:, 0] + base
-            bar = np.partition(sure, -k)[-k]
-            # A dimension that a vector has open adds at most the next impact in the order.
-            upcoming = impact.flat[order[at + step]] if at + step < len(order) else 0
-            most_possible = base + gained[:, 1] + (self.dim - gained[:, 2]) * upcoming
-            members = np.flatnonzero(most_possible >= bar)
-            if len(members) <= max(4 * k, self.n // 50):
-                break
-        return members
+    def possible(self, queries: np.ndarray, k: np.ndarray):
+        """For each query its position and those of all vectors that can be among its ``k`` best."""
+        n = len(self.values)
+        live = np.arange(len(queries))
+        if not self.segments or n <= int(k.max(initial=0)):
+            for i in live:
+                yield i, np.arange(n)
+            return
+        small = float(np.abs(queries).max(initial=0)) < 2**9
+        kind = self.segments[0].dtype if small else np.float64
+        score = np.zeros((len(queries), n), kind)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        for last, (segment, rest) in enumerate(zip(self.segments, self.rest), 1 - len(self.segments)):
+            score[live] += queries[live].astype(kind) @ segment.astype(kind, copy=False)
+            going = []
+            for i in live:
+                change = length[i] * rest * (1 + 1e-9) + 1
+                bar = np.partition(score[i] - change, -k[i])[-k[i]]
+                members = np.flatnonzero(score[i] + change >= bar)
+                if last == 0 or len(members) <= max(8 * k[i], FEW * n):
+                    yield i, members
+                else:
+                    going.append(i)
+            live = np.array(going, np.int64)
+            if not len(live):
+                return
 
 
 def _search(k: int):
@@ -73,13 +86,17 @@ def _search(k: int):
         if len(rows) and len(queries):
             ids, values = rows["vec_id"].to_numpy(), matrix(rows["v"]).astype(np.int64)
             index = ImpactIndex(values)
-            for q_id, query in zip(queries["vec_id"].to_numpy(), matrix(queries["v"]).astype(np.int64)):
-                own = int((ids == q_id).sum())
-                near = index.possible(query, k + own)
-                near = near[ids[near] != q_id]
-                score = values[near] @ query
-                order = np.lexsort((ids[near], -score))[:k]
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[near][order], "score": score[order]}))
+            q_ids, q = queries["vec_id"].to_numpy(), matrix(queries["v"]).astype(np.int64)
+            repeated = pd.Series(ids).value_counts()
+            # A query's own rows are no results of it: look for as many more.
+            wanted = k + repeated.reindex(q_ids).fillna(0).to_numpy(np.int64)
+            for at in range(0, len(q), TOGETHER):
+                part = q[at : at + TOGETHER]
+                for i, near in index.possible(part, wanted[at : at + TOGETHER]):
+                    near = near[ids[near] != q_ids[at + i]]
+                    score = values[near] @ part[i]
+                    order = np.lexsort((ids[near], -score))[:k]
+                    out.append(pd.DataFrame({"query_id": q_ids[at + i], "vec_id": ids[near][order], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return search
