@@ -1 +1 @@
-"""."""
+"""Whole comparisons, from two sheets to a report."""

@@ -1 +1 @@
-"""."""
+"""Claims that arrive as a stream."""
