@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
 from tallyspark.plans.settings import FUZZY_POOL, STATUSES, STORED, Settings
+from tallyspark.sources.shared import settle
 
 #: IDF is held in millionths, so that sums don't depend on their order.
 MICRO = 1_000_000
@@ -197,7 +198,7 @@ def fuzzy_pool(claim_keys: DataFrame, keys: DataFrame) -> DataFrame:
     The position is that of the first touch (by the claim's words, then by the order of
     descriptions) where the pool holds all that were touched, else that of the weight.
     """
-    descriptions = keys.groupBy("key").agg(F.min(F.struct("key_rank", "b_row")).alias("first_at"))
+    descriptions = settle(keys.groupBy("key").agg(F.min(F.struct("key_rank", "b_row")).alias("first_at")), "descriptions")
     idf = token_idf(descriptions)
     left = claim_keys.select("a_key", F.posexplode(F.array_distinct(text.tokens(F.col("a_key")))).alias("tok_pos", "token"))
     right = descriptions.select("key", "first_at", F.explode(F.array_distinct(text.tokens(F.col("key")))).alias("token"))
@@ -254,16 +255,20 @@ def rank_candidates(hits: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> Data
 
 
 def match_stages(a: DataFrame, b: DataFrame, review_floor: int) -> tuple[DataFrame, DataFrame]:
-    """The code hits and the ranked candidates of prepared claims and costing rows."""
-    keys = description_keys(b)
-    hits = code_hits(a, b).persist()
+    """The code hits and the ranked candidates of prepared claims and costing rows.
+
+    Each stage reads what the stages before it wrote, and only works on the claims that they
+    left open.
+    """
+    keys = settle(description_keys(b), "description-keys")
+    hits = settle(code_hits(a, b), "code-hits")
     live = a.filter("gate is null").select("a_id", "a_cleaned")
     decided = hits.filter("kind <> 'weak'").select("a_id").distinct()
     open_claims = live.join(decided, "a_id", "left_anti")
-    exact = exact_hits(open_claims, keys).persist()
+    exact = settle(exact_hits(open_claims, keys), "exact-hits")
     left_open = open_claims.join(exact.select("a_id").distinct(), "a_id", "left_anti")
-    fuzzy = fuzzy_hits(left_open, keys, review_floor)
-    return hits, rank_candidates(hits, exact, fuzzy)
+    fuzzy = fuzzy_hits(settle(left_open, "open-claims"), keys, review_floor)
+    return hits, settle(rank_candidates(hits, exact, fuzzy), "candidates")
 
 
 def match(claims: DataFrame, costing: DataFrame, settings: Settings = Settings(), fold: bool = False) -> DataFrame:
@@ -272,8 +277,8 @@ def match(claims: DataFrame, costing: DataFrame, settings: Settings = Settings()
     ``fold`` also folds Unicode compatibility characters, for text that can hold them.
     """
     mode = resolve_mode(claims, settings)
-    a = prepare_claims(claims, mode, settings.code_pattern, fold)
-    b = prepare_costing(costing, alt_keys=mode == "firstToken", fold=fold)
+    a = settle(prepare_claims(claims, mode, settings.code_pattern, fold), "claims")
+    b = settle(prepare_costing(costing, alt_keys=mode == "firstToken", fold=fold), "costing")
     hits, ranked = match_stages(a, b, settings.review_floor)
     return classify(a, b, hits, ranked)
 

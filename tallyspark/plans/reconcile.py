@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import coverage, matching, report, valuation
 from tallyspark.operators.infer import AnalyzedSheet, check_runnable
 from tallyspark.plans.settings import Settings
+from tallyspark.sources.shared import settle
 from tallyspark.sources.workbook import engine_rows
 
 
@@ -18,7 +19,7 @@ from tallyspark.sources.workbook import engine_rows
 class Comparison:
     """Claims against costing rows (``row_num, raw_name, raw_price, raw_code, raw_qty``).
 
-    Everything is lazy; tables that several results need are built once and persisted.
+    Tables that several results need are written once, when they are first asked for.
     """
 
     claims: DataFrame
@@ -32,11 +33,11 @@ class Comparison:
 
     @cached_property
     def a(self) -> DataFrame:
-        return matching.prepare_claims(self.claims, self.mode, self.settings.code_pattern, self.fold).persist()
+        return settle(matching.prepare_claims(self.claims, self.mode, self.settings.code_pattern, self.fold), "claims")
 
     @cached_property
     def b(self) -> DataFrame:
-        return matching.prepare_costing(self.costing, alt_keys=self.mode == "firstToken", fold=self.fold).persist()
+        return settle(matching.prepare_costing(self.costing, alt_keys=self.mode == "firstToken", fold=self.fold), "costing")
 
     @cached_property
     def stages(self) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +46,7 @@ class Comparison:
 
     @cached_property
     def results(self) -> DataFrame:
-        return matching.classify(self.a, self.b, *self.stages).persist()
+        return settle(matching.classify(self.a, self.b, *self.stages), "results")
 
     @cached_property
     def claim_qty(self) -> DataFrame:
@@ -88,12 +89,6 @@ class Comparison:
             renamed = df.toDF(*[c.lower().replace(" %", "_pct").replace(" ", "_") for c in df.columns])
             renamed.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/{name}")
 
-    def release(self) -> None:
-        """Give back what was persisted."""
-        for name in ("a", "b", "results"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
-
 
 def compare_sheets(claims: DataFrame, a: AnalyzedSheet, costing: DataFrame, b: AnalyzedSheet, settings: Settings = Settings(), fold: bool = True) -> Comparison:
     """A comparison of two analysed sheets of cells."""
