@@ -106,15 +106,17 @@ def mix(
 
     # What the prefix leaves open, closed by the nearest size.
     gaps = drawn.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    gaps = gaps.withColumnRenamed("source", "s")
+    # Written, so that Spark knows the size of these tables of one row a source and needn't deal the documents out by source.
+    gaps = settle(gaps, "mix-gaps").withColumnRenamed("source", "s")
     off = F.abs(F.col("size") - F.col("gap"))
     rest = drawn.filter(~F.col("chosen") & (F.col("size") > 0)).join(gaps, same)
     closing = (
         rest.groupBy("source")
         .agg(F.min(F.struct(off.alias("off"), (-F.col("draw")).alias("o"), F.col("doc_id").alias("d"), F.col("gap").alias("g"))).alias("best"))
         .filter(F.col("best.off") < F.abs(F.col("best.g")))
-        .select(F.col("source").alias("s"), F.col("best.d").alias("closing_id"))
+        .select("source", F.col("best.d").alias("closing_id"))
     )
+    closing = settle(closing, "mix-closing").withColumnRenamed("source", "s")
     out = drawn.join(closing, same, "left").drop("s")
     # Rows that repeat a doc_id in one source close at most once.
     closes = ~F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("closing_id")) & F.col("closing_id").isNotNull()
