@@ -53,4 +53,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_simhash_near_dedup, op4_personal_data, op5_quality, op6_language_id, op7_best_fit_packing, op8_nearest_neighbours, op9_exact_top_k, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: DuckDB's SQL for the operators that SQL can express; tests compare the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+at AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win FROM at WHERE p + 49 <= len(words)),
+low AS (SELECT win, min(doc_id) AS low FROM win GROUP BY win),
+hit AS (SELECT doc_id, p FROM win JOIN low USING (win) WHERE doc_id > low),
+last AS (SELECT at.doc_id, at.p, at.words[at.p] AS word, max(hit.p) OVER (PARTITION BY at.doc_id ORDER BY at.p) AS hit
+         FROM at LEFT JOIN hit ON at.doc_id = hit.doc_id AND at.p = hit.p),
+gone AS (SELECT *, coalesce(p - hit < 50, FALSE) AS gone FROM last),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS starts FROM gone),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_intervals,
+                string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM edge GROUP BY doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_intervals, 0) AS n_intervals
+FROM w LEFT JOIN sums ON w.doc_id = sums.doc_id""",
+    "op9_exact_top_k": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+}
