@@ -58,12 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-at AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w),
-win AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win FROM at WHERE p + 49 <= len(words)),
+place AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win FROM place WHERE p + 49 <= len(words)),
 low AS (SELECT win, min(doc_id) AS low FROM win GROUP BY win),
 hit AS (SELECT doc_id, p FROM win JOIN low USING (win) WHERE doc_id > low),
-last AS (SELECT at.doc_id, at.p, at.words[at.p] AS word, max(hit.p) OVER (PARTITION BY at.doc_id ORDER BY at.p) AS hit
-         FROM at LEFT JOIN hit ON at.doc_id = hit.doc_id AND at.p = hit.p),
+last AS (SELECT place.doc_id, place.p, place.words[place.p] AS word, max(hit.p) OVER (PARTITION BY place.doc_id ORDER BY place.p) AS hit
+         FROM place LEFT JOIN hit ON place.doc_id = hit.doc_id AND place.p = hit.p),
 gone AS (SELECT *, coalesce(p - hit < 50, FALSE) AS gone FROM last),
 edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS starts FROM gone),
 sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_intervals,
