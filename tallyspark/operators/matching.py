@@ -55,9 +55,8 @@ def strip_mode_counts(names: DataFrame, column: str = "raw_name") -> DataFrame:
         F.count_if(like_last).alias("last_like"),
         F.count_distinct(F.when(like_last, text.bare_code(F.col("last")))).alias("last_distinct"),
     )
-    share = lambda like, distinct: F.when(
-        (F.col(like) / F.col("total") >= 0.6) & (F.col(distinct) / F.greatest(F.col(like), F.lit(1)) >= 0.4), F.col(like) / F.col("total")
-    ).otherwise(0.0)
+    per = lambda part, whole: F.col(part) / F.greatest(F.col(whole), F.lit(1))
+    share = lambda like, distinct: F.when((per(like, "total") >= 0.6) & (per(distinct, like) >= 0.4), per(like, "total")).otherwise(0.0)
     scored = counts.select("*", share("first_like", "first_distinct").alias("f"), share("last_like", "last_distinct").alias("l"))
     mode = F.when(F.col("total") == 0, "none").when((F.col("f") > 0) & (F.col("f") >= F.col("l")), "firstToken").when(F.col("l") > 0, "lastToken").otherwise("none")
     return scored.select("total", "first_like", "first_distinct", "last_like", "last_distinct", mode.alias("mode"))
