@@ -21,6 +21,10 @@ from tallyspark.sources.shared import settle
 MICRO = 1_000_000
 
 
+#: Distinct descriptions up to which the fuzzy join sends them to every task.
+BROADCAST_DESCRIPTIONS = 200_000
+
+
 def price_column(df: DataFrame, name: str) -> Column:
     """A typed column is a number already; text is read as typed prices are."""
     kind = dict(df.dtypes)[name]
@@ -198,9 +202,14 @@ def fuzzy_pool(claim_keys: DataFrame, keys: DataFrame) -> DataFrame:
     descriptions) where the pool holds all that were touched, else that of the weight.
     """
     descriptions = settle(keys.groupBy("key").agg(F.min(F.struct("key_rank", "b_row")).alias("first_at")), "descriptions")
-    idf = token_idf(descriptions)
-    left = claim_keys.select("a_key", F.posexplode(F.array_distinct(text.tokens(F.col("a_key")))).alias("tok_pos", "token"))
+    # A claim's words stay together from here to the ranking. The tables are small beside what
+    # the join makes of them, so the number of partitions is named, not left to their bytes.
+    parts = int(claim_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = claim_keys.repartition(parts, "a_key").select("a_key", F.posexplode(F.array_distinct(text.tokens(F.col("a_key")))).alias("tok_pos", "token"))
     right = descriptions.select("key", "first_at", F.explode(F.array_distinct(text.tokens(F.col("key")))).alias("token"))
+    idf = token_idf(descriptions)
+    if descriptions.count() <= BROADCAST_DESCRIPTIONS:  # else both sides are dealt out by word
+        idf, right = F.broadcast(idf), F.broadcast(right)
     # The claims' words are few beside the descriptions' postings: weigh them first.
     touched = (
         left.join(idf.select("token", "idf_micro"), "token")
