@@ -262,6 +262,17 @@ def rank_candidates(hits: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> Data
     return ranked.select("a_id", "pos", "b_row", "grp", "sim", "code")
 
 
+def open_after_codes(a: DataFrame, hits: DataFrame) -> DataFrame:
+    """``a_id, a_cleaned`` of the claims that no code decides: those the exact stage works on."""
+    decided = hits.filter("kind <> 'weak'").select("a_id").distinct()
+    return a.filter("gate is null").select("a_id", "a_cleaned").join(decided, "a_id", "left_anti")
+
+
+def open_after_names(open_claims: DataFrame, exact: DataFrame) -> DataFrame:
+    """The open claims without an exact hit: those the fuzzy stage works on."""
+    return open_claims.join(exact.select("a_id").distinct(), "a_id", "left_anti")
+
+
 def match_stages(a: DataFrame, b: DataFrame, review_floor: int) -> tuple[DataFrame, DataFrame]:
     """The code hits and the ranked candidates of prepared claims and costing rows.
 
@@ -270,11 +281,9 @@ def match_stages(a: DataFrame, b: DataFrame, review_floor: int) -> tuple[DataFra
     """
     keys = settle(description_keys(b), "description-keys")
     hits = settle(code_hits(a, b), "code-hits")
-    live = a.filter("gate is null").select("a_id", "a_cleaned")
-    decided = hits.filter("kind <> 'weak'").select("a_id").distinct()
-    open_claims = live.join(decided, "a_id", "left_anti")
+    open_claims = open_after_codes(a, hits)
     exact = settle(exact_hits(open_claims, keys), "exact-hits")
-    left_open = open_claims.join(exact.select("a_id").distinct(), "a_id", "left_anti")
+    left_open = open_after_names(open_claims, exact)
     fuzzy = fuzzy_hits(settle(left_open, "open-claims"), keys, review_floor)
     return hits, settle(rank_candidates(hits, exact, fuzzy), "candidates")
 

@@ -287,6 +287,9 @@ SELECT total, first_like, first_distinct, last_like, last_distinct, CASE WHEN to
     "code_join": f"WITH {PREPARED} SELECT a_id, b_row, code, kind, sim FROM hits",
     "exact_join": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN first_rows ON cleaned = key WHERE live",
     "fuzzy_topk": f"WITH {PREPARED}, wanted AS (SELECT cleaned FROM a WHERE live AND a_id % 20 IN (2, 12)), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores",
+    "fuzzy_topk_open": f"""WITH {PREPARED},
+open1 AS (SELECT a_id, cleaned FROM a WHERE live AND a_id NOT IN (SELECT a_id FROM hits WHERE kind <> 'weak')),
+wanted AS (SELECT cleaned FROM open1 WHERE cleaned NOT IN (SELECT key FROM keys)), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores""",
     "match_status": f"WITH {RESULTS} SELECT a_id, cleaned AS a_cleaned, a_price, status, method, score, b_row, b_price, difference, n_candidates FROM r",
     "status_counts": f"WITH {RESULTS} SELECT s.status, count(r.a_id) AS items FROM {_STATUS_ROWS} s LEFT JOIN r ON r.status = s.status GROUP BY s.status",
     "candidate_ranking": f"WITH {RESULTS} SELECT a_id, pos, b_row, sim AS similarity, code AS matched_code FROM cand",

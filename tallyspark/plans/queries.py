@@ -12,6 +12,7 @@ from tallyspark.operators import coverage, health, infer, matching, report, revi
 from tallyspark.plans import tables
 from tallyspark.plans.reconcile import Comparison
 from tallyspark.plans.settings import Settings
+from tallyspark.sources.shared import settle
 from tallyspark.sources.workbook import sheet_of_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,12 +168,24 @@ def exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the claims only, as its SQL has it; ``fuzzy_topk_open`` scores all that are open."""
     c = _comparison(spark, sf_dir)
     open_ = c.a.filter("gate is null and a_id % 20 in (2, 12)").select(F.col("a_cleaned").alias("a_key")).distinct()
     scores = matching.fuzzy_scores(open_, matching.description_keys(c.b), 60)
     return scores.select("a_key", "key", "pool_pos", "sim")
 
 
+@query
+def fuzzy_topk_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fuzzy stage: every claim that codes and exact descriptions leave open."""
+    c = _comparison(spark, sf_dir)
+    keys = matching.description_keys(c.b)
+    open_claims = matching.open_after_codes(c.a, matching.code_hits(c.a, c.b))
+    left_open = matching.open_after_names(open_claims, matching.exact_hits(open_claims, keys))
+    wanted = settle(left_open.select(F.col("a_cleaned").alias("a_key")).distinct(), "open-keys")
+    return matching.fuzzy_scores(wanted, keys, 60).select("a_key", "key", "pool_pos", "sim")
+
+
 @query
 def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _comparison(spark, sf_dir).results

@@ -138,3 +138,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r["a_id"], r["b_row"])
     assert sorted(map(key, spark.table("matched").collect())) == sorted(map(key, exact_matches(claims, costing, "firstToken").collect()))
+
+
+def test_fuzzy_query_scores_every_open_claim(spark):
+    from tallyspark.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    fuzzy = {r["a_cleaned"] for r in QUERIES["match_status"](spark, folder).filter("method = 'fuzzy'").collect()}
+    scored = {r["a_key"] for r in QUERIES["fuzzy_topk_open"](spark, folder).select("a_key").collect()}
+    assert any(name.endswith(" front left") for name in scored)
+    assert fuzzy and fuzzy <= scored
