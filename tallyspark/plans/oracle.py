@@ -262,6 +262,7 @@ _SHAPE = rf"^[(-]*\s*[₱$€£¥]?\s*({'|'.join(CURRENCIES)})?\s*[-+]?[0-9][0-9
 ORACLE_SQL: dict[str, str] = {
     "normalize_desc": f"WITH {_NAMES} SELECT row_num, {norm('raw_name')} AS cleaned FROM names",
     "normalize_documents": f"SELECT item_id, {norm('text')} AS cleaned FROM benchmark",
+    "normalize_document_texts": f"SELECT doc_id, {norm("coalesce(text, '')")} AS cleaned FROM documents",
     "clean_price": f"WITH {SIDES}, typed AS (SELECT row_num, raw_price FROM claims UNION ALL SELECT row_num, raw_price FROM costing), {price_cte('priced', 'typed', 'row_num, raw_price')} SELECT row_num, raw_price, price FROM priced",
     "part_code": f"WITH {SIDES} SELECT row_num, {part_code('raw_code')} AS code FROM costing",
     "text_codes": f"WITH {_NAMES}, {text_codes_cte('coded', 'names')} SELECT row_num, array_to_string(tcodes, ',') AS codes FROM coded",

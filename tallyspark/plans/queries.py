@@ -45,8 +45,16 @@ def normalize_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("row_num", text.normalize_description(F.col("raw_name")).alias("cleaned"))
 
 
+@query
+def normalize_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, with its long, empty and odd texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", text.normalize_description(F.col("text")).alias("cleaned"))
+
+
 @query
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of ``benchmark``, as its SQL has it; ``normalize_document_texts`` reads ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return docs.select("item_id", text.normalize_description(F.col("text")).alias("cleaned"))
 
