@@ -24,8 +24,8 @@ from tallyspark.llm.common import settle, small_batches
 CAPACITY, END_ID = 1024, 2
 #: A bin with at most so many free tokens is emitted.
 SLACK = 4
-#: Items a partition packs in the first round, and how many partitions merge into one later.
-ITEMS_PER_TASK, FAN_IN = 50_000, 8
+#: Items a partition packs in a round, and pieces for each of them on average, at most.
+ITEMS_PER_TASK, PIECES_AN_ITEM = 50_000, 4
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -126,26 +126,42 @@ def _packer(capacity: int):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """Pieces -> the same with ``sequence_id, offset``; no sequence holds over ``capacity`` tokens.
 
-    Rounds: items are dealt to ``rows / items_per_task`` partitions by a hash, each packs
-    best-fit and emits nearly full bins; underfull bins are the items of the next round on
-    ``1 / FAN_IN`` of the partitions, until one partition has packed what is left.  A bin
-    has at most ``capacity`` members, and a partition's items are bounded, because a round
-    leaves few bins underfull.
+    Rounds: items are dealt to ``items / items_per_task`` partitions by a hash, each packs
+    best-fit and emits nearly full bins; underfull bins are the items of the next round, on
+    as many partitions as they and their pieces need, until one partition has packed what is left.
+    Where a round doesn't halve the partitions, lengths fit badly: items are dealt once by
+    length, each beside those of the complementary length, and if a later round stalls
+    again, what is left is emitted as it is, from all partitions.
     """
     single = pieces.filter(F.col("length") >= capacity)
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     open_ = pieces.filter(F.col("length") < capacity).select(F.col("length").cast("int").alias("used"), F.array(item).alias("members"))
     full = [single.select(F.col("length").cast("int").alias("used"), F.array(item).alias("members"))]
-    tasks = max(1, -(-open_.count() // items_per_task))
+
+    def tasks_for(items: DataFrame) -> int:
+        n = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("pieces")).first()
+        return max(1, -(-n["items"] // items_per_task), -(-n["pieces"] // (PIECES_AN_ITEM * items_per_task)))
+
+    tasks, by_length, was_by_length = tasks_for(open_), False, False
     while True:
-        dealt = open_.repartition(tasks, F.xxhash64("members")) if tasks > 1 else open_.coalesce(1)
+        if tasks == 1:
+            dealt = open_.coalesce(1)
+        elif by_length:  # an item and what would fill its bin have the same key
+            dealt = open_.repartitionByRange(tasks, F.least(F.col("used"), capacity - F.col("used")), F.xxhash64("members"))
+        else:
+            dealt = open_.repartition(tasks, F.xxhash64("members"))
         packed = settle(dealt.mapInArrow(_packer(capacity), BIN), "packed")
         if tasks == 1:
             full.append(packed)
             break
         full.append(packed.filter(F.col("used") >= capacity - slack))
         open_ = packed.filter(F.col("used") < capacity - slack)
-        tasks = -(-tasks // FAN_IN)
+        left = tasks_for(open_)
+        stalled = 2 * left > tasks + 1
+        if stalled and was_by_length:
+            full.append(open_)
+            break
+        tasks, by_length, was_by_length = left, stalled, was_by_length or stalled
     bins = full[0]
     for more in full[1:]:
         bins = bins.unionByName(more)

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import SCHEMA, documents, prose, rows, texts
+from pyspark.sql import functions as F
 
 from tallyspark.llm import language, mixing, neighbours, packing, pii, quality, simhash, substring, topk, toxicity
 from tallyspark.llm.components import connected_components
@@ -272,6 +273,30 @@ def test_packing(spark, items_per_task):
     assert least <= len(used) <= least + 2
 
 
+@pytest.mark.parametrize("low,high", [(520, 1000), (13, 13), (300, 724)])
+def test_packing_tasks_stay_bounded(spark, monkeypatch, low, high):
+    rng = random.Random(6)
+    pieces = spark.createDataFrame([(i, 0, 0, rng.randint(low, high), i) for i in range(4000)], packing.PIECE)
+    plain, largest = packing.settle, []
+
+    def settle(df, name):
+        out = plain(df, name)
+        n = df.groupBy(F.spark_partition_id()).agg(F.sum(F.size("members")).alias("n"))
+        largest.append(max((r["n"] for r in n.collect()), default=0))
+        return out
+
+    monkeypatch.setattr(packing, "settle", settle)
+    got = packing.pack_pieces(pieces, items_per_task=100).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4000))
+    used = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024
+    assert max(largest) < len(got) // 3
+    if low == 300:  # complements meet
+        assert len(used) <= 1.1 * sum(used.values()) / 1024
+
+
 def test_best_fit_is_exact_and_tight():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1023) for _ in range(2000)]
