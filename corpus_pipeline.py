@@ -27,11 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")))
-    once = kept.filter("rows = 1").select(*COLUMNS)
-    return once.unionByName(kept.filter("rows > 1").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    return simhash.one_of_each(docs, COLUMNS)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.llm.common import settle, small_batches
 from tallyspark.llm.components import connected_components
@@ -50,16 +51,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, fp``; the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``doc_id, text`` -> the columns ``keep`` and ``fp``; the 64 bits as a signed long."""
     small_batches(docs.sparkSession)
+    taken = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text) for text in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(text) for text in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = StructType([taken.schema[c] for c in keep])
+    return taken.mapInArrow(run, schema.add("fp", "long"))
 
 
 class VantageTree:
@@ -141,19 +144,12 @@ def link_shard(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, fingerprint, component_id``.
-
-    Documents whose fingerprints differ in at most ``radius`` bits are linked; a component
-    carries its smallest doc_id.  Texts without a word (null, empty) share fingerprint zero,
-    which links like any other.  Equal fingerprints are one point of the tree, so groups of
-    copies cost one point.  Repeated rows get a row each; an empty table gives none.
+def link(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Written rows of distinct ``fp`` -> the same with ``root``, the smallest ``fp`` of the component.
 
     The tree is fitted on at most ``sample`` distinct fingerprints; every fingerprint is
     routed through it and compared.
     """
-    marks = settle(fingerprints(docs), "fingerprints")
-    points = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "points")
     n = points.count()
     step = max(1, -(-n // (sample // 2)))
     taken = points.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).limit(sample).toPandas()
@@ -166,16 +162,43 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, s
             for number, at in tree.route(here.view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(here[at])], ["shard", "fp"])
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
+    def link_part(part: pd.DataFrame) -> pd.DataFrame:
         here = np.unique(part["fp"].to_numpy(np.int64).view(np.uint64))
         label = link_shard(here, radius)
         moved = label != np.arange(len(here))
         return pd.DataFrame({"a": here[moved].view(np.int64), "b": here[label[moved]].view(np.int64)})
 
-    links = points.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInPandas(link, "a long, b long")
+    links = points.select("fp").mapInArrow(route, "shard int, fp long").groupBy("shard").applyInPandas(link_part, "a long, b long")
     roots = connected_components(links)
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    return points.join(roots, points["fp"] == roots["node"], "left").select(*points.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, text`` -> ``doc_id, fingerprint, component_id``.
+
+    Documents whose fingerprints differ in at most ``radius`` bits are linked; a component
+    carries its smallest doc_id.  Texts without a word (null, empty) share fingerprint zero,
+    which links like any other.  Equal fingerprints are one point of the tree, so groups of
+    copies cost one point.  Repeated rows get a row each; an empty table gives none.
+    """
+    marks = settle(fingerprints(docs), "fingerprints")
+    points = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "points")
+    rooted = link(points, radius, shard, sample)
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_point = rooted.join(first, "root").select(F.col("fp").alias("point"), "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marks.join(of_point, marks["fp"] == of_point["point"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` (``doc_id`` and ``text`` among them) of one row of each component.
+
+    The row with the smallest doc_id stays, one without doc_id only where all are.  Rows are
+    told apart by a number written beside them, as ids can be null or repeated.
+    """
+    hashed = fingerprints(docs, columns).withColumn("_hash", F.xxhash64("text"))
+    marks = settle(hashed.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", F.col("_hash").alias("hash"), F.col("_row").alias("row"))
+    points = settle(marks.groupBy("fp").agg(F.min(place).alias("place")), "points")
+    first = link(points).groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("first_row"))
+    return marks.join(first, marks["_row"] == first["first_row"]).select(*columns)

@@ -138,6 +138,16 @@ def test_simhash(spark):
     assert component[5] == component[6] == component[7] == 5 and component[9] == 1
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (prose(70 + k, 150) for k in range(5))
+    data = [(None, a, "en", "web"), (None, b, "en", "web"), (None, b, "en", "book"), (7, c, "en", "web"), (7, d, "en", "web"), (3, c.upper(), "en", "web"), (9, e, "en", "web"), (9, e, "en", "web"), (None, e, "en", "web")]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, data), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("3", c.upper()), ("7", d), ("9", e)])
+    assert got[0].__fields__ == list(corpus_pipeline.COLUMNS)
+
+
 def test_vantage_tree_loses_no_link():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 300, np.uint64)
