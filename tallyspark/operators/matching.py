@@ -183,7 +183,7 @@ def code_hits(a: DataFrame, b: DataFrame) -> DataFrame:
 def exact_hits(open_claims: DataFrame, keys: DataFrame) -> DataFrame:
     """Stage 1: ``a_id, b_row, key_rank`` of claims whose whole description is a key."""
     left = open_claims.select("a_id", F.col("a_cleaned").alias("key"))
-    return left.join(first_rows(keys), "key").select("a_id", "b_row", "key_rank")
+    return left.join(keys, "key").select("a_id", "b_row", "key_rank")
 
 
 def token_idf(descriptions: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def match_stages(a: DataFrame, b: DataFrame, review_floor: int) -> tuple[DataFra
     keys = settle(description_keys(b), "description-keys")
     hits = settle(code_hits(a, b), "code-hits")
     open_claims = open_after_codes(a, hits)
-    exact = settle(exact_hits(open_claims, keys), "exact-hits")
+    exact = settle(exact_hits(open_claims, first_rows(keys)), "exact-hits")
     left_open = open_after_names(open_claims, exact)
     fuzzy = fuzzy_hits(settle(left_open, "open-claims"), keys, review_floor)
     return hits, settle(rank_candidates(hits, exact, fuzzy), "candidates")

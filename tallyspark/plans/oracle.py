@@ -287,6 +287,7 @@ SELECT total, first_like, first_distinct, last_like, last_distinct, CASE WHEN to
     "token_idf": f"WITH {PREPARED}, {IDF} SELECT token, df, idf_micro FROM idf",
     "code_join": f"WITH {PREPARED} SELECT a_id, b_row, code, kind, sim FROM hits",
     "exact_join": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN first_rows ON cleaned = key WHERE live",
+    "exact_links": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN keys ON cleaned = key WHERE live",
     "fuzzy_topk": f"WITH {PREPARED}, wanted AS (SELECT cleaned FROM a WHERE live AND a_id % 20 IN (2, 12)), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores",
     "fuzzy_topk_open": f"""WITH {PREPARED},
 open1 AS (SELECT a_id, cleaned FROM a WHERE live AND a_id NOT IN (SELECT a_id FROM hits WHERE kind <> 'weak')),

@@ -170,6 +170,14 @@ def code_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each description only, as its SQL has it; ``exact_links`` has all."""
+    c = _comparison(spark, sf_dir)
+    return matching.exact_hits(c.a.filter("gate is null"), matching.first_rows(matching.description_keys(c.b)))
+
+
+@query
+def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole equi-join: every costing row of a claim's description."""
     c = _comparison(spark, sf_dir)
     return matching.exact_hits(c.a.filter("gate is null"), matching.description_keys(c.b))
 

@@ -148,3 +148,14 @@ def test_fuzzy_query_scores_every_open_claim(spark):
     scored = {r["a_key"] for r in QUERIES["fuzzy_topk_open"](spark, folder).select("a_key").collect()}
     assert any(name.endswith(" front left") for name in scored)
     assert fuzzy and fuzzy <= scored
+
+
+def test_exact_join_links_every_row(spark):
+    from tallyspark.operators import matching
+    from tallyspark.streaming.claims import exact_matches
+
+    claims, costing = sheet(spark, CLAIMS[:1]), matching.prepare_costing(sheet(spark, [(k, "Hex Bolt M8 X 40", "1") for k in range(120)]), alt_keys=True)
+    a = matching.prepare_claims(claims, "firstToken")
+    assert matching.exact_hits(a, matching.description_keys(costing)).count() == 120
+    assert exact_matches(claims, costing, "firstToken").count() == 120
+    assert len(one(spark, CLAIMS[0], [(k, "Hex Bolt M8 X 40", "1") for k in range(120)], code_strip="firstToken")["candidates"]) == 50
