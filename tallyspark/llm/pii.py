@@ -33,11 +33,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_ANY = re.compile(r"[0-9@]|[Pp]ass|[Pp]wd|[Ss]ecret|[Tt]oken|\b[Dd][Oo][Tt]\b")
+_ANY = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key)|AKIA|(?i:\bdot\b)")
 _DIGIT = re.compile(r"[0-9]")
 _WRITTEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}", re.I)
 _NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9()\x20./-]{5,30}[0-9](?!\w)")
-_SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,200}|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
+_SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,}+|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
 _OBVIOUS_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})\Z")
 
 #: Cue words of the gazetteer, by the kind they speak for.

@@ -196,6 +196,17 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(text) == brute_spans(text), text
 
 
+@pytest.mark.parametrize("head", ["PASSWORD=", "Passwd: ", "PWD=", "SECRET: ", "TOKEN=", "api_key=", "Api_Key: "])
+def test_secrets_are_whole_in_every_spelling(head):
+    weights = np.r_[np.zeros(pii.N_FEATURES), 1.0]  # accepts every candidate
+    for value in ("qwertyuiop", "aBcD-_" * 500, "x" * 200_000):
+        text = f"see {head}{value} there"
+        _, spans = pii.find_spans(text, weights)
+        assert spans == [("secret", 4, 4 + len(head) + len(value))]
+        assert pii.redact(text, spans) == "see [secret] there"
+    assert pii.find_spans("AKIA" + "Q" * 16, weights)[1] == [("secret", 0, 20)]
+
+
 def test_personal_data(spark):
     got = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark)).collect()}
     assert set(got) == {i for i, *_ in texts()}
