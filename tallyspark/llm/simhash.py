@@ -26,6 +26,8 @@ RADIUS, SHINGLE = 3, 3
 SHARD, BRUTE = 8_000, 4_000
 #: Fingerprints the driver fits the tree on, and shards of the tree, at most.
 SAMPLE, MOST_SHARDS = 100_000, 16_384
+#: The sample is one in so many fingerprints, or fewer.
+LEAST_STEP = 8
 #: Vantage points tried at each node.
 TRIES = 12
 
@@ -147,11 +149,12 @@ def link_shard(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 def link(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Written rows of distinct ``fp`` -> the same with ``root``, the smallest ``fp`` of the component.
 
-    The tree is fitted on at most ``sample`` distinct fingerprints; every fingerprint is
-    routed through it and compared.
+    The tree is fitted on one in ``LEAST_STEP`` of the distinct fingerprints and on at most
+    ``sample``; every fingerprint is routed through it and compared.  A sample too small to
+    split gives one shard, which splits itself.
     """
     n = points.count()
-    step = max(1, -(-n // (sample // 2)))
+    step = max(LEAST_STEP, -(-n // (sample // 2)))
     taken = points.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).limit(sample).toPandas()
     drawn = np.sort(taken["fp"].to_numpy(np.int64).view(np.uint64)) if len(taken) else np.empty(0, np.uint64)
     tree = VantageTree(drawn, max(1, shard // step), radius=radius)

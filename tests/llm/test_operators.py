@@ -148,6 +148,21 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
     assert got[0].__fields__ == list(corpus_pipeline.COLUMNS)
 
 
+def test_tree_is_fitted_on_a_fraction_of_the_fingerprints(spark, monkeypatch):
+    drawn, plain = [], simhash.VantageTree
+
+    def tree(sample, *args, **kwargs):
+        drawn.append(len(sample))
+        return plain(sample, *args, **kwargs)
+
+    monkeypatch.setattr(simhash, "VantageTree", tree)
+    data = [(k, prose(k, 30), "en", "web") for k in range(400)]
+    got = simhash.near_duplicates(documents(spark, data), shard=40).collect()
+    component = brute_components({i: brute_fingerprint(t) for i, t, *_ in data})
+    assert {r["doc_id"]: r["component_id"] for r in got} == component
+    assert 0 < drawn[0] <= 400 / 4
+
+
 def test_vantage_tree_loses_no_link():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 300, np.uint64)
