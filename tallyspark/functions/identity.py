@@ -55,7 +55,8 @@ def part_code(raw: Column) -> Column:
 
 def codes_in_text(raw: Column) -> Column:
     """Part codes in a raw description, in order of pattern, then of place; distinct."""
-    return let(F.upper(F.coalesce(raw, F.lit(""))), _codes_in_upper)
+    none = F.array().cast("array<string>")
+    return let(F.upper(F.coalesce(raw, F.lit(""))), lambda t: F.when(t.rlike("[0-9]{3}"), _codes_in_upper(t)).otherwise(none))
 
 
 def _codes_in_upper(text: Column) -> Column:
@@ -67,7 +68,8 @@ def _codes_in_upper(text: Column) -> Column:
 
 def dimensions(raw: Column) -> Column:
     """Sizes such as ``27x40x6``, first those with a multiplication sign, then hyphened ones."""
-    return let(F.upper(F.coalesce(raw, F.lit(""))), _sizes_in_upper)
+    none = F.array().cast("array<string>")
+    return let(F.upper(F.coalesce(raw, F.lit(""))), lambda t: F.when(t.rlike(r"[0-9]\s*[X×✕-]\s*[0-9]"), _sizes_in_upper(t)).otherwise(none))
 
 
 def _sizes_in_upper(text: Column) -> Column:

@@ -11,6 +11,7 @@ from tallyspark.functions.binding import let
 
 # What a spreadsheet trims as white space.
 WHITE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+WHITE_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Shorthand of the trade and the word it stands for.
 ABBREVIATIONS = {
@@ -55,7 +56,7 @@ TOTAL_SHAPE = r"^((grand|sub)\s+)*total(\s+[0-9][0-9,.]*)?\z"
 
 def js_trim(s: Column) -> Column:
     """Without leading and trailing white space, no-break spaces included."""
-    return F.regexp_replace(s, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(s, F.lit(WHITE_CHARACTERS))
 
 
 def is_blank(s: Column) -> Column:
@@ -81,7 +82,8 @@ def fold_compatibility(df: DataFrame, column: str) -> DataFrame:
 def join_sizes(s: Column) -> Column:
     """``27 x 40 x 6`` and ``27 40 6`` become ``27x40x6``."""
     joined = F.regexp_replace(s, r"(?<=[0-9])\s*x\s*(?=[0-9])", "x")
-    return F.regexp_replace(joined, r"\b([0-9]{1,3}) ([0-9]{1,3}) ([0-9]{1,3})\b", "$1x$2x$3")
+    joined = F.regexp_replace(joined, r"\b([0-9]{1,3}) ([0-9]{1,3}) ([0-9]{1,3})\b", "$1x$2x$3")
+    return F.when(s.rlike(r"[0-9]\s*x\s*[0-9]|[0-9] [0-9]"), joined).otherwise(s)  # most have none: one pattern, not two
 
 
 def expand_abbreviations(s: Column) -> Column:
@@ -92,7 +94,8 @@ def expand_abbreviations(s: Column) -> Column:
         words.setdefault(word, []).append(short)
     for word, shorts in words.items():
         out = F.regexp_replace(out, rf"\b({'|'.join(shorts)})\b", word)
-    return out
+    some = rf"\b(hi lux|{'|'.join(ABBREVIATIONS)})\b"
+    return F.when(s.rlike(some), out).otherwise(s)
 
 
 def normalize_description(s: Column) -> Column:
@@ -103,7 +106,7 @@ def normalize_description(s: Column) -> Column:
     """
     ascii_ = F.translate(F.coalesce(s, F.lit("")), "\u00D7\u2715", "xx")
     plain = F.trim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", " "))
-    return expand_abbreviations(join_sizes(plain))
+    return let(plain, lambda p: let(join_sizes(p), expand_abbreviations))
 
 
 def preflight_key(s: Column) -> Column:

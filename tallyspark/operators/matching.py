@@ -14,17 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
-from tallyspark.plans.settings import FUZZY_POOL, STATUSES, STORED, Settings
+from tallyspark.operators import fuzzy
+from tallyspark.plans.settings import STATUSES, STORED, Settings
 from tallyspark.sources.shared import settle
 
 #: IDF is held in millionths, so that sums don't depend on their order.
 MICRO = 1_000_000
 
 
-#: Distinct descriptions up to which the fuzzy join sends them to every task.
-BROADCAST_DESCRIPTIONS = 200_000
-
-
 def price_column(df: DataFrame, name: str) -> Column:
     """A typed column is a number already; text is read as typed prices are."""
     kind = dict(df.dtypes)[name]
@@ -194,52 +191,28 @@ def token_idf(descriptions: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(n)).select("token", "df", weight.alias("idf_micro"))
 
 
-def fuzzy_pool(claim_keys: DataFrame, keys: DataFrame) -> DataFrame:
-    """``a_key, key, pool_pos``: for each distinct claim description the ``FUZZY_POOL`` descriptions
-    whose shared words weigh most.
-
-    The position is that of the first touch (by the claim's words, then by the order of
-    descriptions) where the pool holds all that were touched, else that of the weight.
-    """
-    descriptions = settle(keys.groupBy("key").agg(F.min(F.struct("key_rank", "b_row")).alias("first_at")), "descriptions")
-    # A claim's words stay together from here to the ranking. The tables are small beside what
-    # the join makes of them, so the number of partitions is named, not left to their bytes.
-    parts = int(claim_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = claim_keys.repartition(parts, "a_key").select("a_key", F.posexplode(F.array_distinct(text.tokens(F.col("a_key")))).alias("tok_pos", "token"))
-    right = descriptions.select("key", "first_at", F.explode(F.array_distinct(text.tokens(F.col("key")))).alias("token"))
-    idf = token_idf(descriptions)
-    if descriptions.count() <= BROADCAST_DESCRIPTIONS:  # else both sides are dealt out by word
-        idf, right = F.broadcast(idf), F.broadcast(right)
-    # The claims' words are few beside the descriptions' postings: weigh them first.
-    touched = (
-        left.join(idf.select("token", "idf_micro"), "token")
-        .join(right, "token")
-        .groupBy("a_key", "key")
-        .agg(F.sum("idf_micro").alias("weight"), F.min("tok_pos").alias("touch"), F.first("first_at").alias("first_at"))
-    )
-    by_weight = Window.partitionBy("a_key").orderBy(F.desc("weight"), "touch", "first_at")
-    ranked = touched.withColumn("n", F.row_number().over(by_weight)).filter(F.col("n") <= FUZZY_POOL + 1)
-    of_claim = Window.partitionBy("a_key")
-    by_touch = of_claim.orderBy("touch", "first_at")
-    ranked = ranked.withColumn("overflow", F.max("n").over(of_claim) > FUZZY_POOL).withColumn("t", F.row_number().over(by_touch))
-    return ranked.filter(F.col("n") <= FUZZY_POOL).select("a_key", "key", F.when(F.col("overflow"), F.col("n")).otherwise(F.col("t")).alias("pool_pos"))
-
-
 def fuzzy_scores(claim_keys: DataFrame, keys: DataFrame, review_floor: int) -> DataFrame:
     """``a_key, key, pool_pos, sim`` of the pool's pairs that reach the floor."""
-    pool = fuzzy_pool(claim_keys, keys)
-    scored = pool.withColumn("sim", similarity.engine_score(F.col("a_key"), F.col("key")))
-    return scored.filter(F.col("sim") >= review_floor)
+    return fuzzy.fuzzy_scores(claim_keys, keys, token_idf, review_floor)
 
 
 def fuzzy_hits(open_claims: DataFrame, keys: DataFrame, review_floor: int) -> DataFrame:
-    """Stage 2: ``a_id, b_row, sim, o1, o2, o3`` of at most ``STORED`` costing rows a claim."""
+    """Stage 2: ``a_id, b_row, sim, o1, o2, o3`` of at most ``STORED`` costing rows a claim.
+
+    A costing row has two keys at most, so descriptions behind which ``2 * STORED`` rows
+    stand already can't add one; they go before their rows are listed.
+    """
     claim_keys = open_claims.select(F.col("a_cleaned").alias("a_key")).distinct()
-    rows = fuzzy_scores(claim_keys, keys, review_floor).join(first_rows(keys), "key")
-    place = F.struct((-F.col("sim")).alias("s"), F.col("pool_pos").alias("o1"), F.col("key_rank").alias("o2"), F.col("b_row").alias("o3"))
-    once = rows.groupBy("a_key", "b_row").agg(F.min(place).alias("p"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("a_key").orderBy("p"))).filter(F.col("n") <= STORED)
-    ranked = ranked.select("a_key", "b_row", (-F.col("p.s")).alias("sim"), F.col("p.o1").cast("long").alias("o1"), F.col("p.o2").cast("long").alias("o2"), F.col("p.o3").alias("o3"))
+    lists = first_rows(keys).groupBy("key").agg(F.collect_list(F.struct("key_rank", "b_row")).alias("rows"))
+    of_claim = Window.partitionBy("a_key")
+    ahead = of_claim.orderBy(F.desc("sim"), "pool_pos").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = fuzzy_scores(claim_keys, keys, review_floor).join(lists, "key")
+    pairs = pairs.withColumn("ahead", F.coalesce(F.sum(F.size("rows")).over(ahead), F.lit(0))).filter(F.col("ahead") < 2 * STORED)
+    rows = pairs.select("a_key", "sim", F.col("pool_pos").cast("long").alias("o1"), F.inline("rows").alias("o2", "b_row"))
+    place = (F.desc("sim"), "o1", "o2", "b_row")
+    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("a_key", "b_row").orderBy(*place))).filter("n = 1")
+    ranked = once.withColumn("n", F.row_number().over(of_claim.orderBy(*place))).filter(F.col("n") <= STORED)
+    ranked = ranked.select("a_key", "b_row", "sim", "o1", F.col("o2").cast("long").alias("o2"), F.col("b_row").alias("o3"))
     return open_claims.select("a_id", F.col("a_cleaned").alias("a_key")).join(ranked, "a_key").drop("a_key")
 
 

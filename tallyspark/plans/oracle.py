@@ -261,8 +261,8 @@ _SHAPE = rf"^[(-]*\s*[₱$€£¥]?\s*({'|'.join(CURRENCIES)})?\s*[-+]?[0-9][0-9
 
 ORACLE_SQL: dict[str, str] = {
     "normalize_desc": f"WITH {_NAMES} SELECT row_num, {norm('raw_name')} AS cleaned FROM names",
-    "normalize_documents": f"SELECT item_id, {norm('text')} AS cleaned FROM benchmark",
-    "normalize_document_texts": f"SELECT doc_id, {norm("coalesce(text, '')")} AS cleaned FROM documents",
+    "normalize_benchmark": f"SELECT item_id, {norm('text')} AS cleaned FROM benchmark",
+    "normalize_documents": f"SELECT doc_id, {norm("coalesce(text, '')")} AS cleaned FROM documents",
     "clean_price": f"WITH {SIDES}, typed AS (SELECT row_num, raw_price FROM claims UNION ALL SELECT row_num, raw_price FROM costing), {price_cte('priced', 'typed', 'row_num, raw_price')} SELECT row_num, raw_price, price FROM priced",
     "part_code": f"WITH {SIDES} SELECT row_num, {part_code('raw_code')} AS code FROM costing",
     "text_codes": f"WITH {_NAMES}, {text_codes_cte('coded', 'names')} SELECT row_num, array_to_string(tcodes, ',') AS codes FROM coded",
@@ -286,9 +286,9 @@ SELECT total, first_like, first_distinct, last_like, last_distinct, CASE WHEN to
     "engine_score": f"WITH {_NEXT} SELECT k, {engine('a', 'b')} AS engine, CAST(CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('a', 'b')} ELSE greatest(0, {dice('a', 'b')} - {penalty('a', 'b')}) END AS INTEGER) AS plain FROM pairs",
     "token_idf": f"WITH {PREPARED}, {IDF} SELECT token, df, idf_micro FROM idf",
     "code_join": f"WITH {PREPARED} SELECT a_id, b_row, code, kind, sim FROM hits",
-    "exact_join": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN first_rows ON cleaned = key WHERE live",
-    "exact_links": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN keys ON cleaned = key WHERE live",
-    "fuzzy_topk": f"WITH {PREPARED}, wanted AS (SELECT cleaned FROM a WHERE live AND a_id % 20 IN (2, 12)), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores",
+    "exact_stored": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN first_rows ON cleaned = key WHERE live",
+    "exact_join": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN keys ON cleaned = key WHERE live",
+    "fuzzy_topk": f"WITH {PREPARED}, wanted AS (SELECT cleaned FROM a WHERE live), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores",
     "fuzzy_topk_open": f"""WITH {PREPARED},
 open1 AS (SELECT a_id, cleaned FROM a WHERE live AND a_id NOT IN (SELECT a_id FROM hits WHERE kind <> 'weak')),
 wanted AS (SELECT cleaned FROM open1 WHERE cleaned NOT IN (SELECT key FROM keys)), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores""",

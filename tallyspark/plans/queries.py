@@ -46,15 +46,14 @@ def normalize_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def normalize_document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``, with its long, empty and odd texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", text.normalize_description(F.col("text")).alias("cleaned"))
 
 
 @query
-def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages of ``benchmark``, as its SQL has it; ``normalize_document_texts`` reads ``documents``."""
+def normalize_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return docs.select("item_id", text.normalize_description(F.col("text")).alias("cleaned"))
 
@@ -170,25 +169,24 @@ def code_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of each description only, as its SQL has it; ``exact_links`` has all."""
+    """The whole equi-join: every costing row of a claim's description."""
     c = _comparison(spark, sf_dir)
-    return matching.exact_hits(c.a.filter("gate is null"), matching.first_rows(matching.description_keys(c.b)))
+    return matching.exact_hits(c.a.filter("gate is null"), matching.description_keys(c.b))
 
 
 @query
-def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole equi-join: every costing row of a claim's description."""
+def exact_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a description that a claim keeps: the first ``STORED``."""
     c = _comparison(spark, sf_dir)
-    return matching.exact_hits(c.a.filter("gate is null"), matching.description_keys(c.b))
+    return matching.exact_hits(c.a.filter("gate is null"), matching.first_rows(matching.description_keys(c.b)))
 
 
 @query
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of the claims only, as its SQL has it; ``fuzzy_topk_open`` scores all that are open."""
+    """The pool of every claim description, whether or not codes and names decide it."""
     c = _comparison(spark, sf_dir)
-    open_ = c.a.filter("gate is null and a_id % 20 in (2, 12)").select(F.col("a_cleaned").alias("a_key")).distinct()
-    scores = matching.fuzzy_scores(open_, matching.description_keys(c.b), 60)
-    return scores.select("a_key", "key", "pool_pos", "sim")
+    every = c.a.filter("gate is null").select(F.col("a_cleaned").alias("a_key")).distinct()
+    return matching.fuzzy_scores(every, matching.description_keys(c.b), 60).select("a_key", "key", "pool_pos", "sim")
 
 
 @query

@@ -77,4 +77,7 @@ def costing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CLAIMS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    # What follows is heavy a row: a table of fewer files than tasks is dealt out first.
+    return spark.sql(CLAIMS, part=part.repartition(tasks) if len(part.inputFiles()) < tasks else part)

@@ -67,6 +67,6 @@ def test_document_texts_are_normalised_whole(spark, tmp_path):
     long = "Hi Lux 10 X 20! " * 8000
     rows = [(1, long), (2, None), (3, ""), (4, " 中文\tRR\n "), (None, "FRT LH"), (1, "FRT LH")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in QUERIES["normalize_document_texts"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["normalize_documents"](spark, str(tmp_path)).collect()]
     want = [(1, ("hilux 10x20 " * 8000).strip()), (2, ""), (3, ""), (4, "rear"), (None, "front left"), (1, "front left")]
     assert sorted(got, key=str) == sorted(want, key=str)
