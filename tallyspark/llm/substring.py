@@ -1,7 +1,10 @@
 """Substring deduplication: repeated windows of words, found by Rabin-Karp hashes.
 
-Every window of ``width`` words gets a Rabin-Karp hash.  Its anchor is the smallest hash
-of the ``PHRASE``-word phrases in it, so equal windows have equal anchors, and consecutive
+Words are the symbols (their XXH64), and every window of ``width`` words gets its polynomial
+modulo the prime 2**61 - 1 at two fixed random bases: the first is the Rabin-Karp hash, the
+second checks that windows of one hash are one word sequence (122 bits together, so that
+differing windows don't meet even at 10**14 of them).  A window's anchor is the smallest hash of
+the ``PHRASE``-word phrases in it, so equal windows have equal anchors, and consecutive
 windows mostly share theirs.  Spark counts the anchors first: a window whose anchor occurs
 in one document only occurs once, and isn't sent further.  The hashes of all other windows
 are then counted by anchor and hash, and repeated windows merge into maximal intervals.
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,63 +28,74 @@ from tallyspark.llm.common import settle, small_batches
 WIDTH, PHRASE = 50, 8
 #: Runs of one anchor beyond which its windows are counted one a row, so that no task gets them all.
 HOT_RUNS = 4_000
+#: Anchors that can be hot, at most: of more runs than all runs over this there are no more.
+HOT_ANCHORS = 500_000
+#: Tasks among which one hot window's rows are dealt.
+SALTS = 16
 LAST_ID = (1 << 63) - 1
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PRIME = (1 << 61) - 1
+#: Fixed random bases: of the Rabin-Karp hash, and of its check.
+BASE, CHECK_BASE = 0x1A2F0C5E7B9D3461, 0x0F3D6A91C27E58B5
 
+_LOW32, _LOW29, _P = np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1), np.uint64(PRIME)
+_3, _29, _32, _61 = (np.uint64(k) for k in (3, 29, 32, 61))
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """The base's powers and their inverses modulo 2**64, at least ``n``."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(1 << (n - 1).bit_length(), np.uint64(base))
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """``a * b`` modulo the prime, in 64-bit arithmetic."""
+    high, low = a >> _32, a & _LOW32
+    b_high, b_low = np.uint64(b >> 32), np.uint64(b & 0xFFFFFFFF)
+    ends, middle = low * b_low, high * b_low + low * b_high
+    return _reduced((ends & _P) + (ends >> _61) + ((high * b_high) << _3) + (middle >> _29) + ((middle & _LOW29) << _32))
+
+
+def polynomials(symbols: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
+    """The Rabin-Karp hash of every ``width`` symbols: of m + k of them from those of m and of k."""
+    out, done, part, size = symbols, 0, symbols, 1
+    while True:
+        if width & size:
+            n = max(0, len(symbols) - done - size + 1)
+            out = _reduced(times(out[:n], pow(base, size, PRIME)) + part[done : done + n]) if done else part
+            done += size
+        if done == width:
+            return out
+        part = _reduced(times(part[:-size], pow(base, size, PRIME)) + part[size:])
+        size *= 2
 
 
 class Hashed:
-    """A text's words and the prefix sums from which the hash of any word range follows."""
+    """A text's words as symbols, and the hashes of its windows."""
 
     def __init__(self, text: str | None):
-        self.words = (text or "").encode("utf-8", "surrogatepass").split()
-        self.n = len(self.words)
-        joined = np.frombuffer(b" ".join(self.words), np.uint8)
-        power, self.inverse = _power_tables(len(joined) + 1)
-        self.sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_BYTE[joined] * power[: len(joined)], out=self.sums[1:])
-        size = np.fromiter(map(len, self.words), np.int64, self.n)
-        self.ends = np.cumsum(size + 1) - 1
-        self.starts = self.ends - size
-
-    def ranges(self, first: np.ndarray, width: int) -> np.ndarray:
-        """Rabin-Karp hashes of the ``width`` words from each of ``first``."""
-        a, b = self.starts[first], self.ends[first + width - 1]
-        hashes = (self.sums[b] - self.sums[a]) * self.inverse[a]
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= _MIX
-        return hashes ^ (hashes >> np.uint64(29))
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        self.n = len(words)
+        self.symbols = _reduced(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, self.n))
 
     def anchors(self, width: int, phrase: int) -> np.ndarray:
         """For each window, the least hash of the phrases in it."""
-        low, reach, wide = self.ranges(np.arange(self.n - phrase + 1), phrase), 1, width - phrase + 1
+        low, reach, wide = polynomials(self.symbols, phrase), 1, width - phrase + 1
         while 2 * reach <= wide:
             low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
         more = wide - reach
         return np.minimum(low[: len(low) - more], low[more:])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Hash and check of every window, side by side."""
+        return np.stack([polynomials(self.symbols, width), polynomials(self.symbols, width, CHECK_BASE)], 1)
+
 
 def _runs(width: int, phrase: int):
     """``id, text_key, text`` -> runs of windows that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, first, count, anchor = [], [], [], [], []
+            ids, first, count, anchor = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 doc = Hashed(text)
                 if doc.n < width:
@@ -94,7 +109,7 @@ def _runs(width: int, phrase: int):
             rows = np.concatenate(ids) if ids else np.empty(0, np.int64)
             cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cat(anchor, np.uint64).view(np.int64)), pa.array(cat(first, np.int32)), pa.array(cat(count, np.int32))],
+                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cat(anchor, np.int64)), pa.array(cat(first, np.int32)), pa.array(cat(count, np.int32))],
                 ["id", "text_key", "anchor", "first", "windows"],
             )
 
@@ -109,9 +124,9 @@ def _window_hashes(width: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, key, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                doc = Hashed(text)
+                windows = Hashed(text).windows(width)
                 for r in runs:
-                    out.append((doc_id, key, r["anchor"], r["hot"], r["first"], doc.ranges(np.arange(r["first"], r["first"] + r["windows"]), width).tobytes()))
+                    out.append((doc_id, key, r["anchor"], r["hot"], r["first"], windows[r["first"] : r["first"] + r["windows"]].tobytes()))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
                     out = []
@@ -128,24 +143,25 @@ def _repeats(width: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, np.empty(0, np.uint64), np.empty(0, np.int64))
+        none = (None, np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+        kept: tuple = none
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, keys, anchors, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
             blobs = batch.column(5).to_pylist()
-            count = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
-            hashes = np.frombuffer(b"".join(blobs), np.uint64)
+            count = np.fromiter((len(b) // 16 for b in blobs), np.int64, len(blobs))
+            hashes = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
             row = np.repeat(np.arange(len(blobs)), count)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             turn = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]]))
-            before = kept if kept[0] == anchors[0] else (None, np.empty(0, np.uint64), np.empty(0, np.int64))
+            before = kept if kept[0] == anchors[0] else none
             n = len(before[1])
             h = np.concatenate([before[1], hashes])
             group = np.concatenate([np.zeros(n, np.int64), turn[row]])
             of = np.concatenate([before[2], ids[row]])
-            order = np.lexsort((h, group))  # stable: the smallest id of a window comes first
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])])
+            order = np.lexsort((h[:, 1], h[:, 0], group))  # stable: the smallest id of a window comes first
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1) | (group[order][1:] != group[order][:-1])])
             least = np.empty(len(h), np.int64)
             least[order] = of[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             last = order[new & (group[order] == turn[-1])]
@@ -198,8 +214,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
     are judged on the input.  ``kept`` is the remaining words joined by one space.
 
     Null or empty text: no words, nothing removed.  A null doc_id counts as larger than all
-    others.  Rows that repeat a doc_id don't remove each other's words.  Texts shorter than
-    a window stay as they are.  An empty table gives an empty result.
+    others.  Rows that repeat a doc_id don't remove each other's words; each is returned.  Texts
+    shorter than a window stay as they are.  A text of any length is read whole, at 16 bytes a
+    word.  Other columns aren't read, whatever their names.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,9 +224,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64("text").alias("text_key"), "text")
     runs = settle(keyed.filter("text is not null").mapInArrow(_runs(width, phrase), "id long, text_key long, anchor long, first int, windows int"), "runs")
 
+    hot_runs = max(hot_runs, runs.count() // HOT_ANCHORS)
     shared = runs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("runs"))
-    shared = shared.filter("low < high").select("anchor", (F.col("runs") > hot_runs).alias("hot"))
-    of_text = runs.join(shared, "anchor").groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
+    shared = settle(shared.filter("low < high").select("anchor", (F.col("runs") > hot_runs).alias("hot")), "anchors")
+    hot = F.broadcast(shared.filter("hot"))  # HOT_ANCHORS rows at most, by their least number of runs
+    cold_marks = runs.join(hot, "anchor", "left_anti").join(shared.filter("not hot"), "anchor")
+    marks = cold_marks.unionByName(runs.join(hot, "anchor"))
+    # Sets here and below: rows that repeat a text and its id have the same runs and spans.
+    of_text = marks.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
     hashed = settle(
         keyed.join(of_text, ["id", "text_key"]).select("id", "text_key", "text", "runs").mapInArrow(_window_hashes(width), "id long, text_key long, anchor long, hot boolean, first int, hashes binary"),
         "windows",
@@ -217,7 +239,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
     sorted_ = hashed.filter("not hot").repartition("anchor").sortWithinPartitions("anchor", "id")
     spans = sorted_.mapInArrow(_repeats(width), "id long, text_key long, from int, to int").unionByName(_hot_repeats(hashed.filter("hot"), width))
 
-    by_text = spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    by_text = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     marked = keyed.join(by_text, ["id", "text_key"], "left")
     doc_id = F.when(F.col("id") < last, F.col("id")).alias("doc_id")
     return marked.select(doc_id, "text", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept string")
@@ -225,16 +247,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
 
 def _hot_repeats(runs: DataFrame, width: int) -> DataFrame:
     """The same for anchors of very many runs, one row a window: the grouping combines before it shuffles."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("hashes") / 8 - 1).cast("int")), lambda i: _slice(F.col("hashes"), i)))
-    windows = runs.select("id", "text_key", "anchor", "first", at.alias("pos", "hash"))
-    least = windows.groupBy("anchor", "hash").agg(F.min("id").alias("least"))
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("hashes") / 16 - 1).cast("int")), lambda i: _slice(F.col("hashes"), i)))
+    windows = runs.select("id", "text_key", "anchor", "first", at.alias("pos", "hash"), F.pmod(F.xxhash64("id", "first"), F.lit(SALTS)).alias("salt"))
+    least = windows.groupBy("anchor", "hash").agg(F.min("id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     start = F.col("first") + F.col("pos")
     return (
-        windows.join(least, ["anchor", "hash"])
+        windows.join(least, ["anchor", "hash", "salt"])
         .filter("id > least")
         .select("id", "text_key", start.alias("from"), (start + width).alias("to"))
     )
 
 
 def _slice(blob: Column, i: Column) -> Column:
-    return F.substring(blob, (i * 8 + 1).cast("int"), F.lit(8))
+    return F.substring(blob, (i * 16 + 1).cast("int"), F.lit(16))

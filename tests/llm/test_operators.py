@@ -54,6 +54,32 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert [(r["doc_id"], r["n_removed"]) for r in got] == [(1, 0), (1, 0), (None, 60)]
 
 
+def test_window_hashes_are_polynomials_modulo_the_prime():
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, substring.PRIME, 80, np.uint64)
+    for base in (substring.BASE, substring.CHECK_BASE, substring.PRIME - 1):
+        for width in (1, 2, 7, 8, 50, 80):
+            plain = [sum(int(x) * pow(base, width - 1 - k, substring.PRIME) for k, x in enumerate(symbols[i : i + width])) % substring.PRIME for i in range(81 - width)]
+            assert substring.polynomials(symbols, width, base).tolist() == plain
+    assert len(substring.polynomials(symbols[:3], 50)) == 0
+
+
+def test_texts_built_to_collide_stay_apart(spark):
+    """Thue-Morse words and their complement collide for every odd base modulo 2**64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = [(1, "w " * 60 + word + " z" * 60, None, None), (2, "w " * 60 + other + " z" * 60, None, None)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(documents(spark, data)).collect()}
+    assert got == brute_repeats([(i, t) for i, t, *_ in data]) and got[2][1] == 120
+
+
+def test_many_copies_of_a_row_take_linear_time(spark):
+    t, u = prose(1, 300), prose(2, 300)
+    data = [(5, t, None, None)] * 3000 + [(None, t, None, None)] * 2000 + [(6, u, None, None), (7, u, None, None)]
+    got = Counter((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(documents(spark, data)).collect())
+    assert got == {(5, 0): 3000, (None, 300): 2000, (6, 0): 1, (7, 300): 1}
+
+
 # ---- op2 ---------------------------------------------------------------------------
 
 
