@@ -6,29 +6,24 @@ from tallyspark.plans.reconcile import Comparison
 from tallyspark.plans.settings import STATUSES, Settings
 
 SCHEMA = "row_num long, raw_name string, raw_price string, raw_code string, raw_qty double"
+# A made-up garden shop: each claim stands for one way of being matched or not.
 CLAIMS = [
-    (2, "AB-1001 HEX BOLT M8 X 40", "12.50"),
-    (3, "AB-1002 Steel Pipe 1/2 inch", "45"),
-    (4, "AB-1003 Gate Valve 2 inch", "500"),
-    (5, "AB-1004 Ball Valve 1 inch", "100"),
-    (6, "AB-1005 Carbon Brush", "₱75.00"),
-    (7, "AB-1006 Brass Hinge 3 inch", "1,250.50"),
-    (8, "AB-1007 Pneumatic Cylinder 60mm", "PHP 9,900"),
-    (9, "AB-1008 Safety Glove Leather", "210"),
-    (10, "AB-1009 Solvent Cleaner 5L", "2 500,00"),
+    (5, "GX700 Watering Can Zinc 9 l", "18.40"),  # the same words in the same order
+    (6, "GX701 Trowel Ash Handle Wide", "7"),  # one word more on the costing side
+    (7, "GX702 Hose Reel Wall Mounted 30 m", "64,90"),  # the same words in another order
+    (8, "GX703 Twine Jute Ball", "PHP 2.10"),  # two costing rows
+    (9, "GX704 Greenhouse Vent Opener", "1.049,00"),  # nothing like it
+    (10, "GX705 Seed Tray 24 Cells", "3.30"),  # a sibling: another number of cells, so another item
+    (11, "GX706 Grand Total", "99"),  # a footer
 ]
 COSTING = [
-    (2, "HEX BOLT M8 X 40", "12.50"),
-    (3, "HEX BOLT M8 X 40 ZINC", "12.50"),
-    (4, "1/2 Inch Steel Pipe", "45"),
-    (5, "2 Inch Gate Valve", "550"),
-    (6, "1 inch ball valve", "100"),
-    (7, "1 INCH BALL VALVE", "105"),
-    (8, "carbon brush", "70"),
-    (9, "carbon brush", "75"),
-    (10, "Stainless Hinge 3 Inch", "1,180"),
-    (11, "Leather Work Gloves Pair", "199"),
-    (12, "Solvent Cleaner 5L", "₱2,500.00"),
+    (3, "watering can, zinc - 9 L", "17.90"),
+    (4, "Trowel Ash Handle Wide Blade", "7.50"),
+    (5, "Wall mounted hose reel 30 m", "59"),
+    (6, "TWINE JUTE BALL", "2"),
+    (7, "Twine (jute) ball", "2.20"),
+    (8, "Seed Tray 60 Cells", "4.10"),
+    (9, "Rain Barrel Oak", "120"),
 ]
 
 
@@ -53,23 +48,21 @@ def test_every_claim_has_one_status(results):
 
 def test_statuses(results):
     assert {i: (r["status"], r["method"]) for i, r in results.items()} == {
-        2: ("STRONG", "exact"),
-        3: ("PROBABLE", "fuzzy"),
-        4: ("PROBABLE", "fuzzy"),
-        5: ("PROBABLE", "fuzzy"),
-        6: ("STRONG", "exact"),
+        5: ("STRONG", "exact"),
+        6: ("PROBABLE", "fuzzy"),
         7: ("PROBABLE", "fuzzy"),
-        8: ("UNMATCHED", None),
+        8: ("STRONG", "exact"),
         9: ("UNMATCHED", None),
-        10: ("STRONG", "exact"),
+        10: ("UNMATCHED", None),
+        11: ("UNMATCHED", None),
     }
 
 
 def test_details(results):
-    assert results[3]["score"] >= 90 and results[4]["difference"] == 50
-    assert len(results[5]["candidates"]) == 2 and results[5]["chosen"]["b_row"] == 6
-    assert len(results[6]["candidates"]) == 2 and not results[8]["candidates"] and not results[9]["candidates"]
-    assert 60 <= results[7]["score"] < 100 and results[10]["a_price"] == results[10]["b_price"] == 2500
+    assert results[5]["difference"] == -0.5 and results[7]["difference"] == -5.9 and results[9]["a_price"] == 1049
+    assert [c["b_row"] for c in results[8]["candidates"]] == [6, 7] and not results[9]["candidates"] and not results[11]["candidates"]
+    # 11 of 14 bigrams are shared, 79; two differing numbers cost 44, so it ends below the floor.
+    assert not results[10]["candidates"] and 60 <= results[6]["score"] < 100
 
 
 def one(spark, claim, costing, **settings):
@@ -77,26 +70,37 @@ def one(spark, claim, costing, **settings):
 
 
 def test_column_code_confirms(spark):
-    r = one(spark, (2, "A-1022 Engine Support", "1000"), [(2, "Engine Support LH", "810", "A-1022")])
-    assert (r["status"], r["method"], r["chosen"]["b_row"], r["difference"]) == ("CONFIRMED", "code", 2, -190)
+    r = one(spark, (4, "Q-8815 Gearbox Mount Rubber", "75"), [(9, "Gearbox Mount Rubber Front", "60.50", "Q 8815")])
+    assert (r["status"], r["method"], r["chosen"]["b_row"], r["difference"]) == ("CONFIRMED", "code", 9, -14.5)
 
 
 def test_code_of_another_item_conflicts(spark):
-    r = one(spark, (2, "23390-0L070 Fuel Filter", "100"), [(2, "Windshield Glass Assembly", "90", "23390-0L070")])
+    r = one(spark, (4, "71650-5T11 Cabin Lamp", "33"), [(9, "Tow Hook Chrome Plated", "21", "71650-5T11")])
     assert r["status"] == "CONFLICT" and r["chosen"] is None
 
 
 def test_sibling_number_does_not_win(spark):
-    r = one(spark, (2, "BRG-01 Ball Bearing 6202 ZZ", "50"), [(2, "ball bearing 6203 zz", "60"), (3, "Ball Bearing 6202 ZZ", "50")])
-    assert r["status"] == "STRONG" and r["chosen"]["b_row"] == 3
+    r = one(spark, (4, "ZW-3 Drill Chuck 13 Keyless", "41"), [(2, "drill chuck 10 keyless", "38"), (9, "Drill Chuck 13 Keyless", "40")])
+    assert r["status"] == "STRONG" and r["chosen"]["b_row"] == 9
 
 
 def test_tolerance_is_no_evidence(spark):
-    got = [one(spark, (2, "TOL-01 Widget Blue", "100"), [(2, "widget blue", "104")], price_tolerance=t) for t in (0.0, 5.0)]
-    assert [r["status"] for r in got] == ["STRONG", "STRONG"] and got[0]["difference"] == 4
+    got = [one(spark, (4, "ZW-9 Paint Roller Foam", "20"), [(2, "paint roller foam", "27")], price_tolerance=t) for t in (0.0, 50.0)]
+    assert [r["status"] for r in got] == ["STRONG", "STRONG"] and got[0]["difference"] == got[1]["difference"] == 7
 
 
-@pytest.mark.parametrize("mode,pattern", [("none", None), ("firstToken", None), ("lastToken", None), ("regex", "^ITM-\\d+\\s+")])
+def test_sizes_that_differ_are_noted(spark):
+    r = one(spark, (4, "ZW-12 Seal Ring 12x30x7 KD40881", "4"), [(9, "Seal Ring 12x32x7", "5", "KD-40881")])
+    assert r["status"] == "CONFIRMED" and any("dimensions differ (12x30x7 vs 12x32x7)" in n for n in r["notes"])
+
+
+def test_compatibility_characters_fold(spark):
+    claims, costing = sheet(spark, [(4, "ZW-1 Ｖａｌｖｅ Ｃａｐ ⅜", "4")]), sheet(spark, [(9, "valve cap 3 8", "5")])
+    plain, folded = (Comparison(claims, costing, Settings(), fold=f).results.first()["status"] for f in (False, True))
+    assert plain == "UNMATCHED" and folded == "STRONG"
+
+
+@pytest.mark.parametrize("mode,pattern", [("none", None), ("firstToken", None), ("lastToken", None), ("regex", "^GX\\d+\\s+")])
 def test_every_strip_mode(spark, mode, pattern):
     c = compare(spark, CLAIMS, COSTING, code_strip=mode, code_pattern=pattern)
     assert c.results.count() == len(CLAIMS)
@@ -108,9 +112,9 @@ def test_empty_sides(spark):
 
 
 def test_quantity_weighted_range(spark):
-    c = compare(spark, [(2, "Widget Blue", "400")], [(2, "widget blue", "350", None, 2.0), (3, "widget blue", "320", None, 8.0), (4, "widget blue", "0", None, 1.0)], code_strip="none")
+    c = compare(spark, [(4, "Paint Roller Foam", "90")], [(2, "paint roller foam", "60", None, 3.0), (3, "paint roller foam", "80", None, 1.0), (5, "paint roller foam", "0", None, 6.0)], code_strip="none")
     v = c.values.first().asDict()
-    assert (v["lowest"], v["highest"], v["weighted_avg"]) == (320, 350, 326)
+    assert (v["lowest"], v["highest"], v["weighted_avg"]) == (60, 80, 65)  # (3 * 60 + 80) / 4; what costs nothing doesn't count
     assert c.flagged().first()["flag"] == "above"
 
 
@@ -154,8 +158,8 @@ def test_exact_join_links_every_row(spark):
     from tallyspark.operators import matching
     from tallyspark.streaming.claims import exact_matches
 
-    claims, costing = sheet(spark, CLAIMS[:1]), matching.prepare_costing(sheet(spark, [(k, "Hex Bolt M8 X 40", "1") for k in range(120)]), alt_keys=True)
+    claims, costing = sheet(spark, CLAIMS[:1]), matching.prepare_costing(sheet(spark, [(k, "watering can zinc 9 l", "1") for k in range(120)]), alt_keys=True)
     a = matching.prepare_claims(claims, "firstToken")
     assert matching.exact_hits(a, matching.description_keys(costing)).count() == 120
     assert exact_matches(claims, costing, "firstToken").count() == 120
-    assert len(one(spark, CLAIMS[0], [(k, "Hex Bolt M8 X 40", "1") for k in range(120)], code_strip="firstToken")["candidates"]) == 50
+    assert len(one(spark, CLAIMS[0], [(k, "watering can zinc 9 l", "1") for k in range(120)], code_strip="firstToken")["candidates"]) == 50
