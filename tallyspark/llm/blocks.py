@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import settle
-
-#: Vectors and queries of one block, about.
-BLOCK, QUERIES = 20_000, 4_000
+#: Vectors of one block, and queries that meet it in one task, at most.
+BLOCK, QUERIES = 50_000, 100_000
+#: Queries below which a group isn't split to give every core a task.
+LEAST_QUERIES = 128
 
 
 def finite(vector: Column) -> Column:
@@ -27,32 +25,36 @@ def vectors(table: DataFrame) -> DataFrame:
     return taken.filter(F.col("vec_id").isNotNull() & finite(F.col("v")) & (F.size("v") > 0))
 
 
+def same_length(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Shorter vectors end in zeros, which change neither products nor lengths; and the length (0: no row)."""
+    dim = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))), dim
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def search_in_blocks(
-    candidates: DataFrame,
-    queries: DataFrame,
-    search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    found: str,
-    block: int = BLOCK,
-    query_block: int = QUERIES,
-) -> DataFrame:
-    """Run ``search`` on every pair of a block of candidates and a block of queries.
+def dealt(key: str, parts: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)).cast("int")
+
+
+def blocks_of(rows: DataFrame, block: int) -> int:
+    return max(1, -(-rows.count() // block))
 
-    Rows of either side are dealt to blocks by a hash, as many blocks as their counts ask
-    for.  Each block travels once for each block of the other side, so a task holds one block
-    of either, whatever the size of the tables; a row is never paired with a row by Spark.
+
+def query_groups(queries: DataFrame, blocks: int, at_most: int = QUERIES) -> int:
+    """Groups of queries: each block of vectors travels once for each, so there are few.
+
+    Enough to give every core a task, none above ``at_most`` queries.
     """
-    n, m = candidates.count(), queries.count()
-    rows, cols = max(1, -(-n // block)), max(1, -(-m // query_block))
-    dealt = lambda df, k, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = candidates.withColumn("row", dealt(candidates, rows, 1)).withColumn("col", every(cols))
-    right = queries.withColumn("col", dealt(queries, cols, 2)).withColumn("row", every(rows))
-    pairs = left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
-    return pairs.applyInPandas(search, found)
+    n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    spread = min(-(-2 * cores // blocks), n // LEAST_QUERIES)
+    return max(1, spread, -(-n // at_most))
+
+
+def every(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -64,6 +66,3 @@ def best(hits: DataFrame, k: int) -> DataFrame:
 def one_row_an_id(rows: DataFrame) -> DataFrame:
     """Queries are ids: of rows that repeat one, the smallest vector is the query."""
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-__all__ = ["best", "finite", "matrix", "one_row_an_id", "search_in_blocks", "settle", "vectors"]

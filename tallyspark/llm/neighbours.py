@@ -2,9 +2,10 @@
 
 Every vector is centred, turned by a random rotation and reduced to the signs of its
 components, packed into bits, with two scalars: its distance from the centre and how well
-the signs stand for it.  From these the inner product with a query is estimated, with an
-error bound; only vectors whose bound reaches the best ones found are ranked by their
-original components.
+the signs stand for it.  Codes and scalars alone meet the queries: a query's turned
+components are quantised to a few bits, so that its inner product with all codes is a count
+of common bits a bit plane.  From it the cosine follows with an error bound; only vectors
+whose bound reaches the best ones found are ranked by their original components.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.blocks import best, matrix, one_row_an_id, search_in_blocks, vectors
+from tallyspark.llm.blocks import BLOCK, best, blocks_of, dealt, every, matrix, one_row_an_id, query_groups, same_length, vectors
 from tallyspark.llm.common import settle
 
 #: Standard deviations of the error bound.
 EPSILON = 2.2
-#: Queries estimated together.
-TOGETHER = 64
+#: Bits of a query's component.
+QUERY_BITS = 4
 SEED = 17
 
+FOUND = "query_id long, vec_id long, score double"
+POSSIBLE = "query_id long, block int, part int, lows array<double>, ids binary, highs binary"
+
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
@@ -33,17 +37,23 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits, packed into 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def encode(unit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors -> packed signs, distance from the centre, and the signs' inner product with the direction."""
     off = unit - centre
     length = np.linalg.norm(off, axis=1)
     turned = (off / np.maximum(length, 1e-12)[:, None]) @ turn
     fit = np.abs(turned).sum(1) / np.sqrt(unit.shape[1])
-    return np.packbits(turned > 0, axis=1), length, fit
+    return _words(turned > 0), length, fit
 
 
 def index(rows: DataFrame, centre: np.ndarray) -> DataFrame:
-    """``vec_id, v`` -> the same with ``code, length, fit``: the code of every vector."""
+    """``vec_id, v`` -> ``vec_id, code, length, fit``: the code of every vector."""
     turn = rotation(len(centre))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,10 +61,81 @@ def index(rows: DataFrame, centre: np.ndarray) -> DataFrame:
             if not batch.num_rows:
                 continue
             v = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            bits, length, fit = encode(v / np.linalg.norm(v, axis=1)[:, None], centre, turn)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(fit)], ["vec_id", "v", "code", "length", "fit"])
+            words, length, fit = encode(v / np.linalg.norm(v, axis=1)[:, None], centre, turn)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(length), pa.array(fit)], ["vec_id", "code", "length", "fit"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, code binary, length double, fit double")
+
+
+def mean_direction(rows: DataFrame, dim: int) -> np.ndarray:
+    """The mean of all vectors' directions: sums a partition, in billionths, so that their order doesn't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(dim, np.int64)
+        for batch in batches:
+            v = np.array(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, dim)
+            n += len(v)
+            total += np.rint(v / np.linalg.norm(v, axis=1)[:, None] * 1e9).astype(np.int64).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(total), pa.array(np.full(dim, n))], ["at", "total", "n"])
+
+    sums = rows.select("v").mapInArrow(run, "at int, total long, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return np.array([r["total"] / max(r["n"], 1) / 1e9 for r in sums.orderBy("at").collect()])
+
+
+class Codes:
+    """The codes of a block, as words and scalars."""
+
+    def __init__(self, code: list[bytes], length: np.ndarray, fit: np.ndarray, centre: np.ndarray):
+        self.words = np.ascontiguousarray(np.frombuffer(b"".join(code), np.uint64).reshape(len(code), -1).T)
+        self.ones = np.bitwise_count(self.words).sum(0, dtype=np.int64)
+        self.length, self.fit, self.centre = length, np.maximum(fit, 1e-6), centre
+        self.turn = rotation(len(centre))
+        self.spread = EPSILON * length / self.fit
+
+    def common_bits(self, planes: np.ndarray) -> np.ndarray:
+        """The inner product of each code with a query's quantised components."""
+        total = np.zeros(self.words.shape[1], np.int64)
+        for bit, plane in enumerate(planes):
+            for word, mine in zip(plane, self.words):
+                total += np.bitwise_count(mine & word).astype(np.int64) << bit
+        return total
+
+    def estimate(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cosine of a unit query with every vector of the block, and how far off it may be."""
+        dim = len(unit)
+        turned = unit @ self.turn
+        low, step = turned.min(), max((turned.max() - turned.min()) / ((1 << QUERY_BITS) - 1), 1e-12)
+        level = np.rint((turned - low) / step).astype(np.int64)
+        planes = _words((level >> np.arange(QUERY_BITS)[:, None]) & 1)
+        total = low * dim + step * level.sum()
+        signs = (2 * (low * self.ones + step * self.common_bits(planes)) - total) / np.sqrt(dim)
+        # <unit query, unit vector> = <query, centre> + length * <query, direction>
+        guess = unit @ self.centre + self.length / self.fit * signs
+        # What the signs don't see of the query, and the rounding of its components.
+        unseen = np.sqrt(np.maximum(1 - self.fit**2, 0) / max(dim - 1, 1) + step**2 / 12)
+        return guess, self.spread * unseen
+
+
+def _possible(k: int, centre: np.ndarray):
+    """Codes of a block and queries -> for each query the vectors that can be among its nearest."""
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, code binary, length double, fit double")
+    def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(queries):
+            ids, block, part = rows["vec_id"].to_numpy(np.int64), int(rows["block"].iloc[0]), int(rows["part"].iloc[0])
+            codes = Codes(rows["code"].tolist(), rows["length"].to_numpy(), rows["fit"].to_numpy(), centre)
+            q = matrix(queries["v"])
+            for q_id, unit in zip(queries["vec_id"], q / np.linalg.norm(q, axis=1)[:, None]):
+                guess, slack = codes.estimate(unit)
+                other = ids != q_id
+                low, high = np.where(other, guess - slack, -np.inf), guess + slack
+                lows = np.sort(low[np.argpartition(low, -k)[-k:]] if len(low) > k else low)[::-1]
+                bar = lows[k - 1] if len(lows) >= k else -np.inf
+                near = np.flatnonzero((high >= bar) & other)
+                out.append((q_id, block, part, lows[np.isfinite(lows)], ids[near].tobytes(), high[near].tobytes()))
+        return pd.DataFrame(out, columns=["query_id", "block", "part", "lows", "ids", "highs"])
+
+    return search
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,60 +143,59 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b * a).sum(1) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum()))
 
 
-def _search(k: int, centre: np.ndarray):
-    dim = len(centre)
-    turn = rotation(dim)
+def _rerank(k: int):
+    """Original vectors of a block and the queries with their possible members -> the nearest."""
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, v, q_ids, q = rows["vec_id"].to_numpy(), matrix(rows["v"]), queries["vec_id"].to_numpy(), matrix(queries["v"])
-        code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        signs = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-        length, fit = rows["length"].to_numpy(), np.maximum(rows["fit"].to_numpy(), 1e-6)
-        unit = q / np.linalg.norm(q, axis=1)[:, None]
-        about = unit @ centre
-        slack = EPSILON * length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dim - 1, 1))
         out = []
-        for at in range(0, len(q), TOGETHER):
-            # <unit query, unit vector> = <query, centre> + length * <query, direction>
-            part = unit[at : at + TOGETHER]
-            # The signs stand for the direction; what they see of the query is corrected by their fit.
-            estimate = ((part @ turn).astype(np.float32) @ signs.T) * (length / fit) + about[at : at + TOGETHER, None]
-            for i, guess in enumerate(estimate):
-                guess[ids == q_ids[at + i]] = -np.inf
-                low, high = guess - slack, guess + slack
-                bar = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-                near = np.flatnonzero((high >= bar) & np.isfinite(guess))
-                exact = cosine(q[at + i], v[near])
-                order = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": q_ids[at + i], "vec_id": ids[near][order], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if len(rows) and len(queries):
+            rows = rows.sort_values("vec_id", kind="stable")
+            ids, v = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"])
+            for q_id, q, bar, near, highs in zip(queries["query_id"], queries["q"], queries["bar"], queries["ids"], queries["highs"]):
+                wanted = np.unique(np.frombuffer(near, np.int64)[np.frombuffer(highs, np.float64) >= bar])
+                first, last = np.searchsorted(ids, wanted), np.searchsorted(ids, wanted, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if (last - first > 1).any() else first
+                if not len(at):
+                    continue
+                score = cosine(np.asarray(q, np.float64), v[at])
+                order = np.lexsort((ids[at], -score))[:k]
+                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[at][order], "score": score[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     return search
 
 
-def nearest(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """``vec_id, embedding`` -> ``query_id, rank, vec_id, score`` for ids divisible by ``every``.
+def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOCK) -> DataFrame:
+    """``vec_id, embedding`` -> ``query_id, rank, vec_id, score`` for ids divisible by ``every_nth``.
+
+    Null and zero vectors, and those with a null or non-finite component, take no part, nor do
+    rows without an id; shorter vectors are continued by zeros.  Rows with the query's id aren't
+    its neighbours; of rows that repeat it the smallest vector is the query.  Ties go to the
+    smaller id; an empty table gives an empty result.  Other columns aren't read.  The centre is
+    the mean of all vectors' directions.
 
-    Null and zero vectors, and those with a null or non-finite component, take no part; nor do
-    vectors of another length than the most usual one.  Rows with the query's id aren't its
-    neighbours.  Ties go to the smaller id; an empty table gives an empty result.  The centre
-    is the mean of all vectors' directions.
+    Codes travel once for each group of queries; original vectors do so to be reranked, and of a
+    block only where a query's bound, over all blocks, leaves a member of it possible.
     """
     rows = vectors(table)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.filter((norm > 0) & (norm < float("inf")))
-    usual = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if usual is None:
+    rows, dim = same_length(rows.filter((norm > 0) & (norm < float("inf"))))
+    if not dim:
         return best(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
-    dim = usual["dim"]
-    rows = rows.filter(F.size("v") == dim)
-    # By rounded sums, so that the order of the rows doesn't matter to the centre.
-    unit = F.transform("v", lambda x: F.round(x / norm, 9).cast("decimal(38,9)"))
-    sums = rows.select(F.posexplode(unit).alias("at", "x")).groupBy("at").agg(F.avg("x").cast("double").alias("x"))
-    centre = np.array([r["x"] for r in sums.orderBy("at").collect()])
-    coded = settle(index(rows, centre), "codes")
-    queries = one_row_an_id(coded.filter(F.col("vec_id") % every == 0).select("vec_id", "v"))
-    hits = search_in_blocks(coded, queries, _search(k, centre), "query_id long, vec_id long, score double")
+    rows = settle(rows, "vectors")
+    centre = mean_direction(rows, dim)
+    codes = settle(index(rows, centre), "codes")
+    queries = settle(one_row_an_id(rows.filter(F.col("vec_id") % every_nth == 0)), "queries")
+    blocks = blocks_of(rows, block)
+    groups = query_groups(queries, blocks)
+    in_block = dealt("vec_id", blocks, 1)
+    left = codes.withColumn("block", in_block).withColumn("part", every(groups))
+    right = queries.withColumn("part", dealt("vec_id", groups, 2)).withColumn("block", every(blocks))
+    possible = settle(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_possible(k, centre), POSSIBLE), "possible")
+
+    lows = F.sort_array(F.flatten(F.collect_list("lows")), asc=False)
+    bars = possible.groupBy("query_id").agg(F.coalesce(F.get(lows, F.lit(k - 1)), F.lit(float("-inf"))).alias("bar"))
+    wanted = possible.join(bars, "query_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    originals = rows.withColumn("block", in_block).withColumn("part", every(groups))
+    hits = originals.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(_rerank(k), FOUND)
     return best(hits, k)

@@ -397,22 +397,59 @@ def brute_best(data, score):
     return {q: best for q, best in out.items() if best}
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("block", [50_000, 200])
+def test_exact_top_k(spark, block):
     data = vectors()
     got = defaultdict(list)
-    for r in sorted(topk.top_k(embeddings(spark, data)).collect(), key=lambda r: r["rank"]):
+    for r in sorted(topk.top_k(embeddings(spark, data), block=block).collect(), key=lambda r: r["rank"]):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert dict(got) == brute_best(data, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)))
 
 
-def test_nearest_neighbours_recall(spark):
+def test_impact_index_stops_on_proof_before_its_end():
+    rng = np.random.default_rng(9)
+    values = np.floor(256 * rng.normal(size=(5000, 64)) / 8).astype(np.int64)
+    values[:20] = 0
+    index = topk.ImpactIndex(topk.segments(values), len(values), 64)
+    assert (index.values == values).all()
+    postings = 0
+    for q in values[20:60]:
+        members = index.possible(q, 6)
+        postings += index.postings.sum()
+        assert set(np.argsort(-(values @ q), kind="stable")[:6]) <= set(members) and len(members) <= 0.02 * len(values)
+    print(f"postings touched: {index.touched} of {postings}")
+    assert index.touched < 0.95 * postings
+    large = topk.ImpactIndex(topk.segments(values * 2**30), len(values), 64)
+    assert len(large.possible(values[30] * 2**30, 6)) == len(values)  # sums too large to hold counts: all are rescored
+
+
+def test_common_bits_estimate_the_cosine():
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(3000, 100))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    centre, turn = unit.mean(0), neighbours.rotation(100)
+    words, length, fit = neighbours.encode(unit, centre, turn)
+    codes = neighbours.Codes([w.tobytes() for w in words], length, fit, centre)
+    levels = rng.integers(0, 16, 100)
+    planes = neighbours._words((levels >> np.arange(4)[:, None]) & 1)
+    signs = (unit - centre) @ turn > 0
+    assert codes.common_bits(planes).tolist() == (signs @ levels).tolist()
+    inside = []
+    for q in unit[:50]:
+        guess, slack = codes.estimate(q)
+        inside.append((np.abs(guess - unit @ q) <= slack).mean())
+    assert np.mean(inside) > 0.95
+
+
+@pytest.mark.parametrize("block", [50_000, 200])
+def test_nearest_neighbours_recall(spark, block):
     data = vectors()
 
     def cosine(a, b):
         return float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) if a.any() and b.any() else None
 
     got = defaultdict(dict)
-    for r in neighbours.nearest(embeddings(spark, data)).collect():
+    for r in neighbours.nearest(embeddings(spark, data), block=block).collect():
         got[r["query_id"]][r["vec_id"]] = r["score"]
     expected = brute_best(data, cosine)
     assert set(got) == set(expected)
@@ -422,6 +459,13 @@ def test_nearest_neighbours_recall(spark):
     assert all(s == pytest.approx(cosine(vector[q], vector[i]), abs=1e-12) for q in got for i, s in got[q].items())
 
 
+def test_shorter_vectors_are_continued_by_zeros(spark):
+    data = [(0, [1.0, 0.0, 1.0], 1), (7, [1.0], 1), (8, [0.0, 1.0, 0.0], 1), (8, [1.0, 0.0, 1.0], 1), (None, [1.0], 1)]
+    assert [(r["vec_id"], r["score"]) for r in sorted(topk.top_k(embeddings(spark, data)).collect(), key=lambda r: r["rank"])] == [(8, 131072), (7, 65536), (8, 0)]
+    near = sorted(neighbours.nearest(embeddings(spark, data)).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in near] == [8, 7, 8] and near[1]["score"] == pytest.approx(0.5**0.5)
+
+
 def test_few_candidates_are_all_returned(spark):
     data = [(0, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 1.0], 1)]
     for f in (topk.top_k, neighbours.nearest):
