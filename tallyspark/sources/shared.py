@@ -13,10 +13,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Only where that is unset (tests, a notebook) a folder of this machine is made.
+    Only where that is unset and one machine does all (tests, a notebook) a folder of this
+    machine is made; executors elsewhere would write to their own disks, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tallyspark-"))
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tallyspark-"))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
