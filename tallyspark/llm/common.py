@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.shared import settle, shared_dir
+
+__all__ = ["BATCH_BYTES", "WORD_PATTERN", "is_held_out", "settle", "shared_dir", "small_batches", "table", "word_count"]
+
 #: ASCII white space, the only word separators of these operators.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_BYTES = "16m"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (tests, a notebook) a folder of this machine is made.
-    """
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tallyspark-"))
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs one task, not the whole
-    history, and a table that is read several times is made once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, because texts can be very long."""
