@@ -4,8 +4,8 @@ Targets come from water-filling: every source gets its share by weight, none mor
 than ``max_epochs`` times its size, and what is cut off goes to the others.  A
 source's target is met by complete epochs first; the rest is drawn without
 replacement by Efraimidis-Spirakis keys, sorted within the source and prefix-summed
-up to the budget.  The prefix sum runs over ranges of the key, so a source that
-holds most rows is spread over many tasks.
+up to the budget.  The prefix sum runs over ranges of the key that hold about equally many
+rows, whatever the weights, so a source that holds most rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import settle, word_count
 
-#: Characters that ordinary prose has little of; their share lowers a document's weight.
-NOISE = "#$%&*|<>{}[]=~^\\!"
 #: Key ranges of a source for each million of its rows, and at least so many.
 RANGES_PER_MILLION, LEAST_RANGES = 64, 16
+#: Steps of the key, from one power of two to the next, that ranges are put together from.
+STEPS = 1024
 
 
 def quality_weight(text: Column) -> Column:
@@ -77,8 +77,10 @@ def mix(
     named = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
     # A uniform number from the id: (0, 1), the same in every run.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source"), 11) + 0.5) / float(1 << 53)
-    # exp(-key) of the exponential key -ln(u)/w; the draw takes the largest first.
-    sized = settle(named.withColumn("draw", F.pow(uniform, 1.0 / F.col("weight"))).drop("weight"), "mix-sizes")
+    # The exponential key; the draw takes the smallest first.
+    key = F.greatest(-F.log(uniform) / F.col("weight"), F.lit(1e-300))
+    step = F.floor(F.log2(F.col("key")) * STEPS).cast("int")
+    sized = settle(named.withColumn("key", key).withColumn("step", step).drop("weight"), "mix-sizes")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     sources = source_targets(totals, weights, max_epochs).join(totals.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -90,19 +92,27 @@ def mix(
     sources = settle(sources.drop("rows"), "mix-sources").withColumnRenamed("source", "s")
     same = F.col("source").eqNullSafe(F.col("s"))
 
-    drawn = sized.join(sources, same).drop("s")
-    drawn = drawn.withColumn("range", F.least(F.col("ranges") - 1, F.floor((1.0 - F.col("draw")) * F.col("ranges"))))
+    # A step holds a few in ten thousand of a source's rows at most; steps merge into ranges of equal rows.
+    steps = sized.groupBy("source", "step").agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    of_source = Window.partitionBy("source")
+    behind = F.coalesce(F.sum("rows").over(upto), F.lit(0)) / F.sum("rows").over(of_source)
+    steps = steps.withColumn("behind", behind).join(sources.select("s", "ranges"), same)
+    steps = settle(steps.select(F.col("source").alias("s"), F.col("step").alias("t"), F.floor(F.col("behind") * F.col("ranges")).alias("range")), "mix-ranges")
+
+    drawn = sized.join(sources.drop("ranges"), same).drop("s")
+    drawn = drawn.join(steps, same & (F.col("step") == F.col("t"))).drop("s", "t")
     # Words before each range, from sums of ranges; then the words before a document inside its range.
     by_range = drawn.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_range.select(
         F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("range_start")
     )
-    inside = Window.partitionBy("source", "range").orderBy(F.desc("draw"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.join(starts, same & (F.col("range") == F.col("r"))).drop("s", "r")
     words_before = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     drawn = drawn.withColumn("chosen", words_before + F.col("size") <= F.col("budget"))
-    drawn = settle(drawn.select("doc_id", "source", "size", "source_size", "target", "epochs", "budget", "draw", "chosen"), "mix-drawn")
+    drawn = settle(drawn.select("doc_id", "source", "size", "source_size", "target", "epochs", "budget", "key", "chosen"), "mix-drawn")
 
     # What the prefix leaves open, closed by the nearest size.
     gaps = drawn.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
@@ -110,19 +120,21 @@ def mix(
     gaps = settle(gaps, "mix-gaps").withColumnRenamed("source", "s")
     off = F.abs(F.col("size") - F.col("gap"))
     rest = drawn.filter(~F.col("chosen") & (F.col("size") > 0)).join(gaps, same)
+    nearest = F.struct(off.alias("off"), F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("n"), F.col("gap").alias("g"))
     closing = (
         rest.groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), (-F.col("draw")).alias("o"), F.col("doc_id").alias("d"), F.col("gap").alias("g"))).alias("best"))
+        .agg(F.min(nearest).alias("best"))
         .filter(F.col("best.off") < F.abs(F.col("best.g")))
-        .select("source", F.col("best.d").alias("closing_id"))
+        .select("source", F.col("best.d").alias("closing_id"), F.col("best.n").alias("closing_size"))
     )
     closing = settle(closing, "mix-closing").withColumnRenamed("source", "s")
     out = drawn.join(closing, same, "left").drop("s")
-    # Rows that repeat a doc_id in one source close at most once.
-    closes = ~F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("closing_id")) & F.col("closing_id").isNotNull()
-    once = F.row_number().over(Window.partitionBy("source", "doc_id", "closes").orderBy("size"))
-    closed = out.withColumn("closes", closes).filter("closes").withColumn("first", once == 1)
-    plain = out.withColumn("closes", closes).filter("not closes").withColumn("first", F.lit(False))
+    # Rows that repeat a doc_id and its size in one source close at most once.
+    closes = ~F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("closing_id")) & F.coalesce(F.col("size") == F.col("closing_size"), F.lit(False))
+    out = out.withColumn("closes", closes)
+    once = F.row_number().over(Window.partitionBy("source", "doc_id", "closes").orderBy("key"))
+    closed = out.filter("closes").withColumn("first", once == 1)
+    plain = out.filter("not closes").withColumn("first", F.lit(False))
     copies = F.col("epochs") + F.when(F.col("chosen") | F.col("first"), 1).otherwise(0)
     return plain.unionByName(closed).select(
         "doc_id",

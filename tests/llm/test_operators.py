@@ -121,6 +121,61 @@ def test_mixing(spark):
             assert all(r["copies"] in (epochs, epochs + 1) for r in got if r["source"] == s)
 
 
+def test_draw_prefix_and_closing_equal_plain_sampling(spark):
+    """Keys -ln(u)/w of the ids, sorted; documents while they fit the budget; one more by the nearest size."""
+    rng = random.Random(9)
+    data = [(i, prose(i, rng.randint(1, 40)) + (" ### $$ %%" if i % 3 == 0 else ""), None, rng.choice(["a", "a", "b", None])) for i in range(400)]
+    data += [(None, prose(5, 7), None, "a"), (3, prose(6, 2), None, "a"), (3, prose(7, 39), None, "a"), (8, None, None, "b")]
+    docs = documents(spark, data)
+    keyed = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("w"), F.xxhash64(F.lit(11), "doc_id", "source").alias("h")).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r["source"]] += r["size"]
+    target, expected = water_fill(sizes), Counter()
+    for s in sizes:
+        mine = sorted((max(-math.log((((r["h"] % 2**64) >> 11) + 0.5) / 2**53) / r["w"], 1e-300), -1 if r["doc_id"] is None else r["doc_id"], r["size"]) for r in keyed if r["source"] == s)
+        epochs = math.floor(target[s] / sizes[s])
+        budget, at, left_out = target[s] - epochs * sizes[s], 0, []
+        chosen = []
+        for key, i, size in mine:
+            (chosen if at + size <= budget else left_out).append((key, i, size))
+            at += size
+        gap = budget - sum(x[2] for x in chosen)
+        close = min(((abs(size - gap), key, i, size) for key, i, size in left_out if size), default=None)
+        if close and close[0] < abs(gap):
+            chosen.append(close[1:])
+        for _, i, size in mine:
+            expected[s, i, size * epochs] += 1
+        for _, i, size in chosen:
+            expected[s, i, size * epochs] -= 1
+            expected[s, i, size * (epochs + 1)] += 1
+    got = Counter((r["source"], -1 if r["doc_id"] is None else r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
+    assert got == +expected
+
+
+def test_key_ranges_are_even_whatever_the_weights(spark, monkeypatch):
+    data = [(i, ("a" if i % 3 else "!!! ### $$$ %%%"), None, "hot") for i in range(6000)]
+    plain, ranges = mixing.settle, []
+
+    def settle(df, name):
+        out = plain(df, name)
+        if name == "mix-sizes":
+            kept.append(out)
+        if name == "mix-ranges":
+            steps = out.collect()
+            counts = Counter(r["step"] for r in kept[0].select("step").collect())
+            rows_of = Counter()
+            for r in steps:
+                rows_of[r["range"]] += counts[r["t"]]
+            ranges.extend(rows_of.values())
+        return out
+
+    kept: list = []
+    monkeypatch.setattr(mixing, "settle", settle)
+    assert mixing.mix(documents(spark, data)).count() == 6000
+    assert len(ranges) == mixing.LEAST_RANGES and max(ranges) < 2 * sorted(ranges)[len(ranges) // 2]
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mix(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
