@@ -321,11 +321,26 @@ def test_expectation_maximisation_finds_the_good_labeler():
     truth = rng.random(4000) < 0.5
     vote = lambda accuracy: np.where(rng.random(4000) < accuracy, truth, ~truth).astype(int)
     votes = np.stack([vote(0.95), vote(0.9), vote(0.6)], 1)
-    post, table = pii.estimate_reliability(votes, np.ones(4000))
+    post, table, _ = pii.estimate_reliability(votes, np.ones(4000))
     assert ((post > 0.5) == truth).mean() > 0.93
     assert table[0, 1, pii.YES] > table[1, 1, pii.YES] > table[2, 1, pii.YES]
 
 
+def test_expectation_maximisation_never_lowers_its_likelihood():
+    rng = np.random.default_rng(12)
+    for share in (0.1, 0.5, 0.9):
+        truth = rng.random(3000) < share
+        votes = np.stack([np.where(rng.random(3000) < 0.3, pii.ABSTAIN, np.where(rng.random(3000) < a, truth, ~truth)) for a in (0.95, 0.9, 0.8, 0.7)], 1)
+        post, _, trace = pii.estimate_reliability(votes, rng.integers(1, 9, 3000).astype(float))
+        assert len(trace) > 3 and np.diff(trace).min() >= -1e-9 * abs(trace[-1])
+        assert ((post > 0.5) == truth).mean() > 0.9
+
+
+def test_written_addresses_are_whole():
+    text = "x" * 300 + " (at) " + "y" * 200 + " [dot] " + "z" * 60
+    assert [c[:3] for c in pii.candidates(f"to {text}, now", [])] == [("email", 3, 3 + len(text))]
+
+
 # ---- op6 ---------------------------------------------------------------------------
 
 
