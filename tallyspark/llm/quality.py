@@ -1,9 +1,11 @@
 """A quality classifier from positive and unlabelled text (non-negative unbiased risk).
 
-Trusted positives are documents labelled good; everything else of the training fold is
-unlabelled.  The share of good documents is estimated first: from the training labels if
-they hold both kinds, else from how the trusted ones stand out among the unlabelled.  Then
-small networks minimise the non-negative risk.  Which documents are labelled bad isn't used.
+Trusted positives are documents labelled good; every document of the training fold is
+unlabelled, whatever its label.  All of both count in the risk: each belongs to the nearest of
+a bounded number of drawn documents, and Spark sums the rows and features of these cells.
+The share of good documents is estimated first, from how the trusted ones stand out among the
+unlabelled.  Then small networks minimise the non-negative risk.  Which documents are labelled
+bad is never used.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import is_held_out, settle, small_batches
 from tallyspark.llm.labels import draw, training_labels
 
-#: Rows the model is fitted on, at most.
-POSITIVE_ROWS, UNLABELLED_ROWS = 15_000, 30_000
+#: Cells that the training fold is summed in, at most.
+CELLS = 4_000
+#: Sums are kept in these parts of one, so that their order doesn't matter.
+UNIT = 1e-6
 SYMBOLS = "!?.,;:'\"-_*#$%&|<>{}[]()=+/\\@~^"
 PREDICT_AT = 0.7
 HIDDEN, STEPS, RATE, DECAY = 24, 500, 0.02, 1e-4
@@ -109,67 +113,111 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled.
+def estimate_prior(value: np.ndarray, trusted: np.ndarray, rows: np.ndarray) -> float:
+    """The share of positives among ``rows``, from values at which ``trusted`` and ``rows`` documents stand.
 
-    Positives are a part of the unlabelled, so for any score threshold the unlabelled pass it
-    at least ``share`` times as often as the positives.  The least such ratio over thresholds,
+    Positives are a part of the unlabelled, so for any threshold of the value the unlabelled pass
+    it at least ``share`` times as often as the positives.  The least such ratio over thresholds,
     with a margin for chance where few rows pass, is the estimate.
     """
-    cuts = np.quantile(positive, np.linspace(0, 0.95, 96))
-    p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    margin = np.sqrt(np.log(40) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
-    best = int(np.argmin((u + margin) / p))
+    order = np.argsort(-value, kind="stable")
+    p, u = np.cumsum(trusted[order]) / trusted.sum(), np.cumsum(rows[order]) / rows.sum()
+    margin = np.sqrt(np.log(40) / 2) * (trusted.sum() ** -0.5 + rows.sum() ** -0.5)
+    enough = p >= 0.05
+    ratio = np.where(enough, (u + margin) / np.maximum(p, 1e-9), np.inf)
+    best = int(np.argmin(ratio))
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 5) -> Network:
-    """Minimise  pi R+(P) + max(0, R-(U) - pi R-(P))  with the logistic loss."""
-    everything = np.vstack([positive, unlabelled])
-    net = Network(everything, seed)
-    zp, zu = net.shaped(positive), net.shaped(unlabelled)
-    if prior is None:
-        # How a positive differs from the unlabelled, as an ordinary classifier of the two sees it.
-        sorter = Network(everything, seed=6)
-        z = np.vstack([zp, zu])
-        y = np.r_[np.ones(len(zp)), np.zeros(len(zu))]
-        w = np.where(y == 1, 0.5 / len(zp), 0.5 / len(zu))
+def risk(value: np.ndarray, trusted: np.ndarray, rows: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk  pi R+(P) + max(0, R-(U) - pi R-(P))  of values at which ``trusted`` and
+    ``rows`` documents stand, with the logistic loss; and the slope to follow.  Where the second
+    part is below zero, the step leads back."""
+    p, u = trusted / trusted.sum(), rows / rows.sum()
+    as_positive, as_negative = (p * np.logaddexp(0, -value)).sum(), ((u - prior * p) * np.logaddexp(0, value)).sum()
+    good = sigmoid(value)
+    slope = prior * p * (good - 1) + (u - prior * p) * good if as_negative >= 0 else -(u - prior * p) * good
+    return float(prior * as_positive + max(0.0, as_negative)), slope
+
+
+def class_prior(x: np.ndarray, trusted: np.ndarray, rows: np.ndarray) -> float:
+    """:func:`estimate_prior` on the values of an ordinary classifier of the two; each half of
+    the cells is judged by what the other half taught, so that nothing is learned by heart."""
+    value, half = np.zeros(len(x)), np.random.default_rng(7).permutation(len(x)) % 2
+    for part in (0, 1):
+        own = half == part
+        if not trusted[own].sum() or not rows[own].sum() or own.all():
+            continue
+        sorter = Network(x, seed=6)
+        z, p, u = sorter.shaped(x[own]), trusted[own] / trusted[own].sum() / 2, rows[own] / rows[own].sum() / 2
         for _ in range(150):
             v, h = sorter.value(z)
-            sorter.step(z, h, w * (sigmoid(v) - y))
-        prior = estimate_prior(sorter.value(zp)[0], sorter.value(zu)[0])
-    z = np.vstack([zp, zu])
-    n, m = len(zp), len(zu)
+            sorter.step(z, h, p * (sigmoid(v) - 1) + u * sigmoid(v))
+        value[~own] = sorter.value(sorter.shaped(x[~own]))[0]
+    return estimate_prior(value, trusted, rows)
+
+
+def fit(x: np.ndarray, trusted: np.ndarray, rows: np.ndarray, prior: float, seed: int = 5) -> Network:
+    """Minimise the non-negative risk; at ``x[k]`` stand ``trusted[k]`` and ``rows[k]`` documents."""
+    net = Network(x, seed)
+    z = net.shaped(x)
     for _ in range(STEPS):
         v, h = net.value(z)
-        vp, vu = v[:n], v[n:]
-        as_negative = np.logaddexp(0, vu).mean() - prior * np.logaddexp(0, vp).mean()
-        if as_negative >= 0:
-            slope = np.r_[prior * (sigmoid(vp) - 1) / n - prior * sigmoid(vp) / n, sigmoid(vu) / m]
-        else:  # the risk of the negatives can't be below zero: step back from where it is
-            slope = np.r_[prior * sigmoid(vp) / n, -sigmoid(vu) / m]
-        net.step(z, h, slope)
+        net.step(z, h, risk(v, trusted, rows, prior)[1])
     return net
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
+def cells_of(fold: DataFrame, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x, trusted`` -> of the rows nearest to each of ``drawn`` the mean features, the trusted and all.
+
+    Every row counts; a partition hands on one row a cell.
+    """
+    mean, scale = drawn.mean(0), drawn.std(0) + 1e-3
+    centres = ((drawn - mean) / scale).astype(np.float32)
+    half = (centres * centres).sum(1) / 2
+    dim = drawn.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, trusted, sums = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64), np.zeros((len(centres), dim), np.int64)
+        for batch in batches:
+            x = np.array(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, dim)
+            for at in range(0, len(x), 2_000):
+                part = x[at : at + 2_000]
+                cell = np.argmax(((part - mean) / scale).astype(np.float32) @ centres.T - half, axis=1)
+                np.add.at(rows, cell, 1)
+                np.add.at(trusted, cell, batch.column(1).to_numpy(zero_copy_only=False)[at : at + 2_000].astype(np.int64))
+                np.add.at(sums, cell, np.rint(part / UNIT).astype(np.int64))
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(trusted[some]), pa.array(rows[some]), pa.array(list(sums[some]), pa.list_(pa.int64()))], ["cell", "trusted", "rows", "sums"]
+        )
+
+    parts = fold.select("x", "trusted").mapInArrow(run, "cell int, trusted long, rows long, sums array<long>")
+    totals = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(dim)]
+    found = parts.groupBy("cell").agg(F.sum("trusted").alias("trusted"), F.sum("rows").alias("rows"), *totals).orderBy("cell").collect()
+    trusted, rows = (np.array([r[c] for r in found], np.float64) for c in ("trusted", "rows"))
+    return np.array([[r[f"s{k}"] for k in range(dim)] for r in found], np.float64) * UNIT / rows[:, None], trusted, rows
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, cells: int = CELLS) -> DataFrame:
     """``doc_id, text`` and ``doc_id, quality`` -> ``doc_id, held_out, score, predicted``.
 
-    Fitted on at most ``positive_rows`` trusted and ``unlabelled_rows`` other documents of the
-    training fold; every document's whole text is scored, null and empty ones too.  Without a
-    trusted positive every score is 0.  Repeated rows get a row each.
+    Fitted on all documents of the training fold, trusted or not, summed in at most ``cells``
+    cells; every document's whole text, however long, is scored, null and empty ones too.
+    Without a trusted positive every score is 0.  Repeated rows get a row each; rows without an
+    id are scored and not learned from.  Only the named columns are read.  An empty table gives
+    an empty result.
     """
     seen = settle(features(docs), "quality-features")
     fold = seen.filter(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    known = training_labels(labels, "quality")
-    trusted = known.filter("y > 0").select("doc_id")
-    good, bad = known.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
-    prior = good / (good + bad) if good and bad else None
-    sample = lambda rows, most: np.array([r["x"] for r in draw(rows, most).collect()], np.float64)
-    positive = sample(fold.join(trusted, "doc_id"), positive_rows)
-    unlabelled = sample(fold, unlabelled_rows)
-    nets = [fit(positive, unlabelled, prior, seed) for seed in SEEDS] if len(positive) and len(unlabelled) else []
+    good = training_labels(labels, "quality").filter("y > 0").select("doc_id", F.lit(True).alias("good"))
+    marked = fold.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
+    drawn, nets = np.array([r["x"] for r in draw(fold, cells).collect()], np.float64), []
+    if len(drawn):
+        x, trusted, rows = cells_of(marked, drawn)
+        if trusted.sum():
+            prior = class_prior(x, trusted, rows)
+            nets = [fit(x, trusted, rows, prior, seed) for seed in SEEDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

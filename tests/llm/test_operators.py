@@ -341,6 +341,55 @@ def test_written_addresses_are_whole():
     assert [c[:3] for c in pii.candidates(f"to {text}, now", [])] == [("email", 3, 3 + len(text))]
 
 
+# ---- op5 ---------------------------------------------------------------------------
+
+
+def test_non_negative_risk_and_its_slope():
+    rng = np.random.default_rng(3)
+    loss = lambda v: math.log(1 + math.exp(v))
+    for shift, prior in ((0.0, 0.3), (-6.0, 0.9)):  # the second has a negative part below zero
+        trusted, rows = rng.integers(0, 4, 9).astype(float), rng.integers(1, 5, 9).astype(float)
+        value = rng.normal(size=9) + 2 + np.where(trusted > 0, 0, shift)
+        if shift:
+            rows[trusted > 0] = 0
+        good, every = ([v for v, n in zip(value, count) for _ in range(int(n))] for count in (trusted, rows))
+        negative = sum(map(loss, every)) / len(every) - prior * sum(map(loss, good)) / len(good)
+        got, slope = quality.risk(value, trusted, rows, prior)
+        assert got == pytest.approx(prior * sum(loss(-v) for v in good) / len(good) + max(0, negative)) and (negative >= 0) == (shift == 0.0)
+        for k in range(9):
+            moved = quality.risk(value + 1e-6 * (np.arange(9) == k), trusted, rows, prior)[0]
+            if negative >= 0:
+                assert (moved - got) / 1e-6 == pytest.approx(slope[k], abs=1e-4)
+            elif not trusted[k]:
+                assert slope[k] < 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_is_found_without_negatives(share):
+    rng = np.random.default_rng(int(share * 10))
+    good, other = lambda n: rng.normal(1.5, 1, (n, 6)), lambda n: rng.normal(-1.5, 1, (n, 6))
+    n = 6000
+    x = np.vstack([good(int(n * share)), other(n - int(n * share))])
+    trusted = ((np.arange(n) < n * share) & (rng.random(n) < 0.3)).astype(float)
+    prior = quality.class_prior(x, trusted, np.ones(n))
+    assert prior == pytest.approx(share, abs=0.06)
+    net = quality.fit(x, trusted, np.ones(n), prior)
+    assert net.score(good(500)).mean() > 0.9 and net.score(other(500)).mean() < 0.1
+
+
+def test_cells_count_every_row(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4)).astype(np.float32)
+    table = spark.createDataFrame([([float(v) for v in r], i % 3 == 0) for i, r in enumerate(x)], "x array<float>, trusted boolean").repartition(5)
+    drawn = x[:40].astype(float)
+    mean, trusted, rows = quality.cells_of(table, drawn)
+    apart = (((x[:, None] - drawn[None]) / (drawn.std(0) + 1e-3)) ** 2).sum(2)
+    cell = apart.argmin(1)
+    assert rows.tolist() == [(cell == k).sum() for k in sorted(set(cell))] and rows.sum() == 900
+    assert trusted.tolist() == [(cell[::3] == k).sum() for k in sorted(set(cell))]
+    assert mean == pytest.approx(np.array([x[cell == k].mean(0) for k in sorted(set(cell))]), abs=1e-5)
+
+
 # ---- op6 ---------------------------------------------------------------------------
 
 
