@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import is_held_out, small_batches
 from tallyspark.llm.labels import draw, training_labels
 
-#: Training rows the model is fitted on, at most, and characters of each.
-TOXIC_ROWS, ORDINARY_ROWS, TRAINING_CHARS = 2_000, 5_000, 60_000
+#: Labelled documents the model is fitted on, at most; of each the whole text.
+TOXIC_ROWS, ORDINARY_ROWS = 2_000, 5_000
 #: Bytes of the ordinary and the toxic dictionary's own part.
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 2_048
 LEVEL, ENDING = 9, 24
@@ -172,23 +172,26 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` documents of the training fold,
-    the first ``TRAINING_CHARS`` characters of each; classes weigh as they occur in the labels."""
+    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` labelled documents of the training fold;
+    of rows that repeat an id the least text counts.  Classes weigh as they occur in the labels."""
     known = training_labels(labels, "toxic")
     counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     texts = []
     for kind, most in ((F.col("y") > 0, toxic_rows), (F.col("y") <= 0, ordinary_rows)):
         ids = draw(known.filter(kind), most)
-        rows = docs.join(ids, "doc_id").select("doc_id", F.substring("text", 1, TRAINING_CHARS).alias("text")).filter("text is not null")
-        texts.append([r["text"] for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))])
+        rows = docs.filter("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts.append([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
     return Model(*texts, counts.get(1, 0), counts.get(0, 0))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text`` and ``doc_id, toxic`` -> ``doc_id, held_out, score, predicted``.
 
-    Null and empty texts are scored as texts without windows.  With no training label of one
-    class every score is the other class.  Repeated rows get a row each.
+    Null and empty texts are scored as texts without windows; a text of any length is scored
+    whole.  With no training label of one class every score is the other class; of labels that
+    contradict each other toxic holds.  Repeated rows get a row each; rows without an id are
+    scored and not learned from.  Only the named columns are read.  An empty table gives an
+    empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")

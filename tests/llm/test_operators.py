@@ -419,6 +419,24 @@ def test_profiles_rank_by_count_then_code(spark):
     assert [r["place"] for r in sorted(got, key=lambda r: r["place"])] == [0, 1, 2, 3] and {r["lang"] for r in got} == {"x"}
 
 
+def test_nearest_profile_by_plain_out_of_place_distance(spark):
+    """Ranks of a document's most frequent n-grams against each profile's, one by one."""
+    data = [(i, f"der schnelle braune fuchs {i} und die katze springen über den zaun", "de", None) for i in range(30)]
+    data += [(100 + i, f"the quick brown fox {i} and the cat are jumping over the fence", "en", None) for i in range(30)]
+    size, table = 60, language.train_profiles(documents(spark, data), 60)
+    profiles = defaultdict(dict)
+    for r in table.collect():
+        profiles[r["lang"]][r["gram"]] = r["place"]
+    judge = language.Profiles(table.collect(), size)
+    for text in ("die katze und the fox", "zaun zaun fence", "x", "brown braune", "über " * 400):
+        counts = Counter(language.ngrams(text).tolist())
+        own = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+        apart = {lang: sum(abs(places[g] - k) if g in places else size for k, g in enumerate(own)) for lang, places in profiles.items()}
+        near = {lang: 1 - d / (size * len(own)) for lang, d in apart.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert judge.judge(text) == (best, pytest.approx(near[best] / sum(near.values()) if sum(near.values()) else 0.0))
+
+
 # ---- op7 ---------------------------------------------------------------------------
 
 
@@ -591,6 +609,44 @@ def test_few_candidates_are_all_returned(spark):
         assert [(r["rank"], r["vec_id"]) for r in sorted(f(embeddings(spark, data)).collect(), key=lambda r: r["rank"])] == [(1, 8), (2, 7)]
 
 
+# ---- op10 --------------------------------------------------------------------------
+
+
+def test_window_distances_are_plain_compressed_lengths():
+    import zstandard
+
+    toxic, ordinary = b"you utter nitwit and oaf " * 3, b"the calm river runs along the quiet meadow to the harbor and the old mill by the bridge"
+    distance = toxicity.Distance(toxic, ordinary)
+
+    def plain(word):
+        sizes = []
+        for content in (ordinary, toxic + ordinary):
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=toxicity.LEVEL)
+            packer = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
+            sizes.append(len(packer.compress(b" " + word + b" " + ordinary[-toxicity.ENDING :])))
+        return sizes[0] - sizes[1]
+
+    text = "The river nitwit " + "q" * 300 + " oaf utter"
+    words = ["the", "river", "nitwit", "q" * 96, "q" * 96, "q" * 96, "q" * 12, "oaf", "utter"]
+    saved = np.array([plain(w.encode()) for w in words])
+    got = distance.features(text)
+    assert saved.max() > 0 and got[0] == saved.max() and got[2] == pytest.approx(saved.mean()) and got[1] == pytest.approx(np.sort(saved)[-3:].mean())
+    for k, t in enumerate(toxicity.THRESHOLDS):
+        assert got[3 + k] == pytest.approx(math.log1p((saved >= t).sum()))
+
+
+def test_toxicity_learns_from_whole_texts_and_one_row_an_id(spark):
+    plain = [(i, prose(i, 60), None, None) for i in range(200)]
+    rude = [(1000 + i, prose(500 + i, 12_000 if i < 20 else 40) + " you blithering numbskull", None, None) for i in range(80)]
+    labels = spark.createDataFrame([(i, None, int(i >= 1000)) for i, *_ in plain + rude] + [(1000, None, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, plain + rude + [rude[0]] * 50 + [(None, "numbskull", None, None), (None, None, None, None)])
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(plain) + len(rude) + 52
+    judged = [(r["predicted"], int(r["doc_id"] >= 1000)) for r in got if r["doc_id"] is not None and r["held_out"]]
+    assert judged and np.mean([p == y for p, y in judged]) > 0.95
+
+
 # ---- empty tables ------------------------------------------------------------------
 
 
