@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import settle, word_count
 
 #: Key ranges of a source for each million of its rows, and at least so many.
-RANGES_PER_MILLION, LEAST_RANGES = 64, 16
+RANGES_PER_MILLION, LEAST_RANGES = 64, 64
 #: Steps of the key, from one power of two to the next, that ranges are put together from.
-STEPS = 1024
+STEPS = 128
 
 
 def quality_weight(text: Column) -> Column:
@@ -92,7 +92,7 @@ def mix(
     sources = settle(sources.drop("rows"), "mix-sources").withColumnRenamed("source", "s")
     same = F.col("source").eqNullSafe(F.col("s"))
 
-    # A step holds a few in ten thousand of a source's rows at most; steps merge into ranges of equal rows.
+    # A step holds two in a thousand of a source's rows at most; steps merge into ranges of equal rows.
     steps = sized.groupBy("source", "step").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     of_source = Window.partitionBy("source")
