@@ -312,6 +312,7 @@ FROM r LEFT JOIN hit_notes ON hit_notes.a_id = r.a_id""",
     "unmatched_costing": f"WITH {SUPPORT} SELECT b_row, raw_name AS name, b_price AS price, qty, {_EXT} AS extended FROM b WHERE b_row NOT IN (SELECT b_row FROM links)",
     "ledger": f"WITH {LEDGER} SELECT b_row, description, part_code, claimed_qty, assessed_qty, unit_price, total_cost, status, claim_rows, claim_items FROM lines",
     "a_duplicates": f"WITH {SIDES}, cl AS (SELECT row_num, {norm(strip('raw_name', 'firstToken'))} AS cleaned FROM claims) SELECT cleaned, string_agg(CAST(row_num AS VARCHAR), ',' ORDER BY row_num) AS rows FROM cl WHERE cleaned <> '' GROUP BY cleaned HAVING count(*) > 1",
+    "costing_duplicates": f"WITH {SIDES}, cl AS (SELECT row_num, {norm('raw_name')} AS cleaned FROM costing) SELECT cleaned, CAST(count(*) AS INTEGER) AS n, min(row_num) AS first_row, max(row_num) AS last_row FROM cl WHERE cleaned <> '' GROUP BY cleaned HAVING count(*) > 1",
     "b_coverage": f"WITH {SUPPORT}, u AS (SELECT DISTINCT b_row FROM links) SELECT count(*) AS total, count(u.b_row) AS paired, count(*) - count(u.b_row) AS unmatched FROM b LEFT JOIN u ON u.b_row = b.b_row",
     "reverse_search": f"WITH {PREPARED}, t AS (SELECT a_id, cleaned AS a, {norm(chr(39) + 'SMALL small ring 11mm' + chr(39))} AS b FROM a) SELECT a_id, greatest(0, greatest(CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('a', 'b')} ELSE greatest(0, {dice('a', 'b')} - {penalty('a', 'b')}) END, CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('b', 'a')} ELSE greatest(0, {dice('b', 'a')} - {penalty('b', 'a')}) END) - {penalty('a', 'b')}) AS sim FROM t ORDER BY sim DESC, a_id LIMIT 8",
     "price_summary": f"""WITH {flagged(0)}, g AS (SELECT *, CASE WHEN a_price <> 0 THEN abs(difference) / a_price * 100 END AS gap FROM f)
@@ -348,6 +349,7 @@ FROM (SELECT *, status = 'PROBABLE' AND n_candidates >= 2 AS p FROM r) r LEFT JO
     "header_detect": f"""WITH {SIDES}, cells AS (SELECT row_num, unnest([raw_name, raw_price, raw_code]) AS s, 'str' AS kind FROM claims WHERE row_num <= 20 UNION ALL SELECT row_num, CAST(CAST(raw_qty AS BIGINT) AS VARCHAR), 'num' FROM claims WHERE row_num <= 20 AND raw_qty IS NOT NULL
   UNION ALL SELECT 1, unnest(['Item Name', 'Unit Price', 'Part No.', 'Qty']), 'str'), filled AS (SELECT *, s AS raw_price FROM cells WHERE s IS NOT NULL AND trim(s) <> ''), {price_cte("cp", "filled", "row_num, s, kind")}
 SELECT CAST(row_num AS INTEGER) AS row_num, count(*) AS filled, count(*) FILTER (kind = 'str') AS strings, count(*) FILTER (price IS NOT NULL AND regexp_matches(trim(s), '^[0-9(£$€¥₱\\s.,-]+$')) AS numbers FROM cp GROUP BY row_num""",
+    "column_roles": "SELECT CAST(0 AS INTEGER) AS header_row, CAST(0 AS INTEGER) AS name_col, CAST(1 AS INTEGER) AS price_col, CAST(2 AS INTEGER) AS code_col, CAST(3 AS INTEGER) AS qty_col",
     "column_profile": f"""WITH {SIDES}, cells AS (SELECT row_num, 0 AS pos, raw_name AS s, 'str' AS kind FROM claims UNION ALL SELECT row_num, 1, raw_price, 'str' FROM claims UNION ALL SELECT row_num, 2, raw_code, 'str' FROM claims UNION ALL SELECT row_num, 3, CAST(CAST(raw_qty AS BIGINT) AS VARCHAR), 'num' FROM claims),
 filled AS (SELECT *, kind = 'num' OR (regexp_matches(s, '[0-9]') AND regexp_matches(trim(s), '{_SHAPE}', 'i')) AS numeric FROM cells WHERE s IS NOT NULL AND trim(s) <> '' AND row_num BETWEEN 2 AND 301)
 SELECT CAST(pos AS INTEGER) AS pos, count(*) AS filled, count(*) FILTER (NOT numeric) AS strings, count(*) FILTER (numeric) AS numbers, array_to_string(list_slice(list(trim(s) ORDER BY row_num), 1, 3), '|') AS samples FROM filled GROUP BY pos""",

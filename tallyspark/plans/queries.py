@@ -270,6 +270,13 @@ def a_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("cleaned", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
 
 
+@query
+def costing_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one description, names as they are written; of a group its size and ends."""
+    groups = coverage.duplicate_groups(tables.costing(spark, sf_dir))
+    return groups.select("cleaned", F.size("rows").alias("n"), F.element_at("rows", 1).alias("first_row"), F.element_at("rows", -1).alias("last_row"))
+
+
 @query
 def b_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _comparison(spark, sf_dir)
@@ -417,6 +424,13 @@ def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row_num", "filled", "strings", "numbers")
 
 
+@query
+def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header and the columns that are picked of a sheet."""
+    m = infer.analyze_sheet(_sheet(spark, sf_dir)).mapping
+    return spark.range(1).select(*[F.lit(getattr(m, c)).cast("int").alias(c) for c in ("header_row", "name_col", "price_col", "code_col", "qty_col")])
+
+
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = infer.column_profile(_sheet(spark, sf_dir), 0)
