@@ -20,15 +20,15 @@ def finite(vector: Column) -> Column:
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """``vec_id, v`` (array of double): the rows that take part."""
-    taken = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    """``vec_id, v``: the rows that take part."""
+    taken = table.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
     return taken.filter(F.col("vec_id").isNotNull() & finite(F.col("v")) & (F.size("v") > 0))
 
 
 def same_length(rows: DataFrame) -> tuple[DataFrame, int]:
     """Shorter vectors end in zeros, which change neither products nor lengths; and the length (0: no row)."""
-    dim = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
-    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))), dim
+    dim, kind = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0, rows.schema["v"].dataType.elementType
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(kind), F.lit(dim) - F.size("v")))), dim
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -43,13 +43,13 @@ def blocks_of(rows: DataFrame, block: int) -> int:
     return max(1, -(-rows.count() // block))
 
 
-def query_groups(queries: DataFrame, blocks: int, at_most: int = QUERIES) -> int:
+def query_groups(queries: DataFrame, blocks: int, tasks_a_core: int = 1, at_most: int = QUERIES) -> int:
     """Groups of queries: each block of vectors travels once for each, so there are few.
 
-    Enough to give every core a task, none above ``at_most`` queries.
+    Enough to give every core ``tasks_a_core`` tasks, none above ``at_most`` queries.
     """
     n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
-    spread = min(-(-2 * cores // blocks), n // LEAST_QUERIES)
+    spread = min(-(-tasks_a_core * cores // blocks), n // LEAST_QUERIES)
     return max(1, spread, -(-n // at_most))
 
 

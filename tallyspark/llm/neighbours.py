@@ -178,7 +178,7 @@ def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOC
     block only where a query's bound, over all blocks, leaves a member of it possible.
     """
     rows = vectors(table)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows, dim = same_length(rows.filter((norm > 0) & (norm < float("inf"))))
     if not dim:
         return best(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)

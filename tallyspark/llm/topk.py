@@ -19,11 +19,11 @@ from tallyspark.llm.blocks import BLOCK, best, blocks_of, dealt, every, matrix,
 from tallyspark.llm.common import settle
 
 #: Levels of impact in a block.
-LEVELS = 12
+LEVELS = 8
 #: A query stops once at most this share of the block's vectors is possible.
 FEW = 0.01
 #: Shares of a block's postings after which a query looks whether it may stop.
-LOOKS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+LOOKS = (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 1.0)
 
 SEGMENT = "block int, dim int, top long, ids binary, values binary"
 #: The count of a vector's added postings stands in the low bits of its score.
@@ -106,7 +106,7 @@ def _search(k: int):
             ids = np.frombuffer(index.loc[index["dim"] < 0, "ids"].iloc[0], np.int64)
             index = index[index["dim"] >= 0]
             q_ids, q = queries["vec_id"].to_numpy(), matrix(queries["v"]).astype(np.int64)
-            parts = [(d, t, np.frombuffer(i, np.int32), np.frombuffer(v, np.int64)) for d, t, i, v in zip(index["dim"], index["top"], index["ids"], index["values"])]
+            parts = [(d, t, np.frombuffer(i, np.int32).astype(np.intp), np.frombuffer(v, np.int64)) for d, t, i, v in zip(index["dim"], index["top"], index["ids"], index["values"])]
             block = ImpactIndex(parts, len(ids), q.shape[1])
             for q_id, query in zip(q_ids, q):
                 # A query's own rows are no results of it: look for as many more.
@@ -132,11 +132,11 @@ def top_k(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOCK)
     rows, dim = same_length(vectors(table))
     if not dim:
         return best(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")), k)
-    rows = settle(rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256.0).cast("double")).alias("v")), "quantised")
+    rows = settle(rows.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * 256.0).cast("double")).alias("v")), "quantised")
     queries = one_row_an_id(rows.filter(F.col("vec_id") % every_nth == 0))
     blocks = blocks_of(rows, block)
     index = settle(rows.withColumn("block", dealt("vec_id", blocks, 1)).groupBy("block").applyInPandas(_index, SEGMENT), "postings")
-    groups = query_groups(queries, blocks)
+    groups = query_groups(queries, blocks, tasks_a_core=2)
     left = index.withColumn("part", every(groups))
     right = queries.withColumn("part", dealt("vec_id", groups, 2)).withColumn("block", every(blocks))
     hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
