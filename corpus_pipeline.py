@@ -7,11 +7,11 @@ operators' docstrings; an empty table passes through as an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language, mixing, packing, pii, simhash
-from tallyspark.llm.common import settle, table
+from tallyspark.llm.common import settle, table, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("lang", "source", "n_chars")
@@ -38,11 +38,21 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is repeated as often as the mix takes it; those it doesn't take go."""
-    taken = mixing.mix(docs).filter("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.max("copies").alias("copies"))
-    chosen = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """A document is repeated as often as the mix takes it; those it doesn't take go.
+
+    Rows that share doc_id, source and size are taken as often in total as the mix says: where it
+    takes some of them once more, those of the greatest weight come first, as in its draw.
+    """
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"))
+    taken = taken.agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum(F.col("copies").cast("long")).alias("all"), F.count("*").alias("rows"))
+    taken = settle(taken, "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))
+    chosen = docs.select(*COLUMNS, word_count(F.col("text")).alias("size")).join(taken.filter("most > 0"), same)
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc(mixing.quality_weight(F.col("text"))), F.xxhash64("text", "lang", "n_chars"))
+    more = F.row_number().over(alike) <= F.col("all") - F.col("rows") * F.col("least")
+    even = chosen.filter("least = most").withColumn("copies", F.col("least"))
+    uneven = chosen.filter("least < most").withColumn("copies", F.col("least") + more.cast("int")).filter("copies > 0")
+    return even.unionByName(uneven).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
