@@ -360,4 +360,29 @@ d AS (SELECT *, CASE WHEN rows > 0 THEN floor(readable / CAST(rows AS DOUBLE) *
 e AS (SELECT *, CAST(blank_names > 0 AS INTEGER) + CAST(unreadable > 0 AS INTEGER) + CAST(duplicates > 0 AS INTEGER) + CAST(zero > 0 AS INTEGER) + CAST(negative > 0 AS INTEGER) AS issues FROM d)
 SELECT rows, blank_names, duplicates, readable, readable_pct, unreadable, missing, zero, negative, date_like, text_price, issues, CASE WHEN rows = 0 OR readable_pct < 80 THEN 'problems' WHEN issues > 0 THEN 'warnings' ELSE 'looks good' END AS verdict FROM e""",
     "duplicate_names": f"WITH {_DUPS} SELECT key, count(*) AS n, first(name ORDER BY row_num) AS name, array_to_string(list_slice(list(CAST(row_num AS VARCHAR) ORDER BY row_num), 1, 3), ',') AS first_rows FROM kept GROUP BY key HAVING count(*) > 1",
+    "duplicate_value": f"""WITH {SIDES}, {price_cte("priced", "claims", "row_num, raw_price, raw_name")}, cl AS (SELECT price, {norm(strip('raw_name', 'firstToken'))} AS cleaned FROM priced),
+d AS (SELECT price, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE cleaned <> '') SELECT count(*) AS rows, {_round2("coalesce(sum(price), 0)")} AS value FROM d WHERE n > 1""",
+    "screening_cells": f"""WITH {SIDES}, d AS (SELECT row_num, CASE WHEN row_num % 7 = 0 THEN NULL WHEN row_num % 2 = 0 THEN 'MATCH' ELSE 'NOT_MATCH' END AS verdict,
+ CASE WHEN row_num % 5 = 0 THEN NULL WHEN row_num % 3 = 0 THEN (row_num % 101) / CAST(100 AS DOUBLE) ELSE CAST(row_num % 90 + 11 AS DOUBLE) END AS c FROM claims)
+SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict ELSE verdict || ' · ' || CAST(CAST(least(100, floor(CASE WHEN c <= 1 THEN c * 100 ELSE c END + 0.5)) AS BIGINT) AS VARCHAR) || '%' END AS cell FROM d""",
+    "ledger_order": f"WITH {LEDGER} SELECT b_row, status FROM lines ORDER BY matched, b_row LIMIT 100",
+    "health_samples": f"""{"WITH " + _DUPS}, flags AS (SELECT row_num, name, raw_price, unnest(['blank_names', 'unreadable', 'zero', 'negative']) AS flag,
+ unnest([name IS NULL, name IS NOT NULL AND price IS NULL, name IS NOT NULL AND price = 0, name IS NOT NULL AND price < 0]) AS holds FROM named)
+SELECT flag, row_num, raw_price AS raw FROM flags WHERE holds QUALIFY row_number() OVER (PARTITION BY flag ORDER BY row_num) <= 5""",
 }
+
+_HINTS = (
+    ("blank_names", "Blank-name rows are skipped by the matcher."),
+    ("unreadable", "Unreadable prices can''t be compared — those rows will need review."),
+    ("date_like", "These may be Excel dates — check the price column dropdown."),
+    ("duplicates", "Duplicate names make 1:1 matching ambiguous (MULTIPLE matches)."),
+    ("zero", "Zero prices are compared as 0 and may flag false mismatches."),
+    ("negative", "Negative prices may be credits or sign errors — double-check them."),
+)
+_SNIP = "CASE WHEN length({0}) > 48 THEN substr({0}, 1, 47) || '…' ELSE {0} END AS {0}"
+
+ORACLE_SQL["health_hints"] = f"""WITH h AS ({ORACLE_SQL["file_health"]}), x AS (SELECT unnest([{", ".join(f"{c} > 0" for c, _ in _HINTS)}]) AS holds, unnest([{", ".join(f"'{t}'" for _, t in _HINTS)}]) AS hint, unnest(range({len(_HINTS)})) AS i FROM h)
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS pos, hint FROM x WHERE holds"""
+ORACLE_SQL["code_pattern"] = f"""WITH m AS ({ORACLE_SQL["code_mode_detect"]}), {SIDES},
+n AS (SELECT row_num, mode, trim(raw_name) AS raw, CASE mode WHEN 'firstToken' THEN {strip("trim(raw_name)", "firstToken")} WHEN 'lastToken' THEN {strip("trim(raw_name)", "lastToken")} ELSE trim(raw_name) END AS stripped FROM claims, m WHERE trim(raw_name) <> '')
+SELECT mode, 'codes: ' || CASE mode WHEN 'firstToken' THEN 'first token' ELSE 'last token' END AS label, {_SNIP.format("raw")}, {_SNIP.format("stripped")} FROM n WHERE stripped <> raw AND stripped <> '' ORDER BY row_num LIMIT 1"""

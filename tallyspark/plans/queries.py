@@ -370,6 +370,32 @@ def ledger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("b_row", "description", cents(F.col("diff_pct")).alias("diff_pct"))
 
 
+@query
+def duplicate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose description stands on several rows: their number and value."""
+    claims = tables.claims(spark, sf_dir).withColumn("raw_name", text.strip_code(F.col("raw_name"), "firstToken"))
+    groups = coverage.duplicate_groups(claims).select(F.explode("rows").alias("a_row"))
+    priced = claims.select(F.col("row_num").cast("long").alias("a_row"), matching.price_column(claims, "raw_price").alias("a_price"))
+    v = report.duplicate_value(priced, groups)
+    return v.select("rows", cents(F.col("value")).alias("value"))
+
+
+@query
+def screening_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's screening cell of every claim, for decisions given as shares and as percentages."""
+    k = F.col("row_num")
+    verdict = F.when(k % 7 == 0, None).otherwise(F.when(k % 2 == 0, "MATCH").otherwise("NOT_MATCH"))
+    confidence = F.when(k % 5 == 0, None).when(k % 3 == 0, (k % 101) / 100.0).otherwise((k % 90 + 11).cast("double"))
+    return tables.claims(spark, sf_dir).select("row_num", report.screening_cell(verdict, confidence).alias("cell"))
+
+
+@query
+def ledger_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the ledger in its order: unmatched lines first."""
+    c = _comparison(spark, sf_dir)
+    return views.page(views.sort_ledger(coverage.ledger(c.items, c.results)), 0, 100).select("b_row", "status")
+
+
 # ---- review ------------------------------------------------------------------------
 
 
@@ -454,3 +480,24 @@ def file_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     dups = health.duplicate_names(_checked(spark, sf_dir))
     return dups.select("key", "n", "name", F.array_join(F.transform("first_rows", lambda x: x.cast("string")), ",").alias("first_rows"))
+
+
+@query
+def health_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hints of the file's health, one row each, in their order."""
+    return health.file_health(_checked(spark, sf_dir)).select(F.posexplode("hints").alias("pos", "hint"))
+
+
+@query
+def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows that carry each flag."""
+    shown = [health.samples(_checked(spark, sf_dir), flag).select(F.lit(flag).alias("flag"), "row_num", "raw") for flag in ("blank_names", "unreadable", "zero", "negative")]
+    return matching.union_all(shown)
+
+
+@query
+def code_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where claim names carry their code, and the first name that stripping it changes."""
+    names = tables.claims(spark, sf_dir).select("row_num", F.col("raw_name").alias("name"))
+    found = health.code_pattern(names)
+    return health.strip_example(names, found.mode).select(F.lit(found.mode).alias("mode"), F.lit(found.label).alias("label"), "raw", "stripped")
