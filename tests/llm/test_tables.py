@@ -8,6 +8,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyspark.llm.queries import ORACLE_SQL, QUERIES
 
@@ -104,3 +106,14 @@ def test_pipeline_stages(spark):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_takes_repeated_rows_as_often_as_the_mix_says(spark):
+    from tallyspark.llm import mixing
+
+    rows = [(1, "a b c", "x", "s", 5)] * 1000 + [(i, "w " * i, "x", "t", 2 * i) for i in range(2, 60)]
+    rows += [(None, "p q", "y", None, 3), (None, "r s", "y", None, 3), (7, None, "z", "t", 0), (7, "", "z", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    said = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    kept = {r["source"]: r["count"] for r in corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").count().collect()}
+    assert kept == said and kept["s"] < 1000
