@@ -80,8 +80,9 @@ def fold_compatibility(df: DataFrame, column: str) -> DataFrame:
 
 
 def join_sizes(s: Column) -> Column:
-    """``27 x 40 x 6`` and ``27 40 6`` become ``27x40x6``."""
-    joined = F.regexp_replace(s, r"(?<=[0-9])\s*x\s*(?=[0-9])", "x")
+    """``27 x 40 x 6`` and ``27 40 6`` become ``27x40x6``; of a longer run four numbers at a time."""
+    further = r"(?:\s*(x)\s*([0-9]+))?"
+    joined = F.regexp_replace(s, rf"([0-9]+)\s*x\s*([0-9]+){further}{further}", "$1x$2$3$4$5$6")
     joined = F.regexp_replace(joined, r"\b([0-9]{1,3}) ([0-9]{1,3}) ([0-9]{1,3})\b", "$1x$2x$3")
     return F.when(s.rlike(r"[0-9]\s*x\s*[0-9]|[0-9] [0-9]"), joined).otherwise(s)  # most have none: one pattern, not two
 

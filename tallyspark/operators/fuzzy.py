@@ -19,8 +19,9 @@ from tallyspark.functions.similarity import SIBLING_MOST, SIBLING_STEP
 from tallyspark.plans.settings import FUZZY_POOL
 from tallyspark.sources.shared import settle
 
-#: Descriptions of a block, and claims' descriptions that meet it in one task.
-BLOCK, CLAIM_BLOCK = 100_000, 400
+#: Descriptions of a block, and claims' descriptions that meet it in one task; fewer, down to
+#: ``FEWEST_CLAIMS``, where tasks would be idle otherwise.
+BLOCK, CLAIM_BLOCK, FEWEST_CLAIMS = 100_000, 400, 40
 #: Rows of a claim and a block that one task merges.
 MERGE = 2_000
 #: Words of the vocabulary up to which it is sent to every task.
@@ -241,7 +242,9 @@ def fuzzy_scores(
     if words.count() * blocks <= BROADCAST_WORDS:
         words = F.broadcast(words)
     wanted = settle(weighed_words(claim_keys, words, size), "claim-words")
-    chunks = max(1, -(-wanted.count() // claim_block))
+    claims, tasks = wanted.count(), claim_keys.sparkSession.sparkContext.defaultParallelism
+    claim_block = min(claim_block, max(FEWEST_CLAIMS, -(-claims * blocks // tasks)))
+    chunks = max(1, -(-claims // claim_block))
     left = wanted.withColumn("chunk", dealt("a_key", chunks, 2)).select("a_key", "words", "chunk", F.explode("blocks").alias("block"))
     right = firsts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     both = left.repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk").cogroup(right.repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk"))

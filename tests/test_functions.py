@@ -21,7 +21,7 @@ def test_rounding_is_half_up(spark):
 
 
 def test_normalize_description(spark):
-    cases = {"WOOD SCREW M5 X 35": "wood screw m5x35", "Shim 8 x 14 x 2": "shim 8x14x2", "Lamp 8 14 2": "lamp 8x14x2", "Door Seal RR RH": "door seal rear right", "  Tapón  ": "tap n", None: ""}
+    cases = {"WOOD SCREW M5 X 35": "wood screw m5x35", "Shim 8 x 14 x 2": "shim 8x14x2", "Lamp 8 14 2": "lamp 8x14x2", "Strip 3 x 4 x 5 x 6 x 7": "strip 3x4x5x6 x 7", "4 x 5 and 6x 7": "4x5 and 6x7", "Door Seal RR RH": "door seal rear right", "  Tapón  ": "tap n", None: ""}
     assert values(spark, list(cases), text.normalize_description) == list(cases.values())
 
 
