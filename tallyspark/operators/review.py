@@ -103,6 +103,26 @@ def apply_decisions(results: DataFrame, verdicts: DataFrame, pairs: DataFrame) -
     return df.select(*[(changed[c] if c in changed else F.col(c)).alias(c) for c in results.columns])
 
 
+def details(results: DataFrame, claim_qty: DataFrame, costing_qty: DataFrame) -> DataFrame:
+    """What the view of one claim adds: ``a_id, pickable, same_name, claimed_qty, assessed_qty, qty_differs``.
+
+    ``same_name``: the chosen row has the claim's cleaned name.  Quantities differ only where
+    both are known.
+    """
+    claimed = claim_qty.select("a_row", F.col("qty").alias("claimed_qty"))
+    assessed = costing_qty.select(F.col("b_row").alias("chosen_row"), F.col("qty").alias("assessed_qty"))
+    df = results.withColumn("chosen_row", F.col("chosen.b_row")).join(claimed, "a_row", "left").join(assessed, "chosen_row", "left")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return df.select(
+        "a_id",
+        pickable(F.col("status"), F.col("candidates")).alias("pickable"),
+        known(F.col("chosen.cleaned") == F.col("a_cleaned")).alias("same_name"),
+        "claimed_qty",
+        "assessed_qty",
+        known(F.col("claimed_qty") != F.col("assessed_qty")).alias("qty_differs"),
+    )
+
+
 def pickable(status: Column, candidates: Column) -> Column:
     """Whether a candidate may be picked by hand."""
     return status.isin(*OPEN) | ((status == "UNMATCHED") & (F.size(candidates) > 0))

@@ -15,8 +15,7 @@ def _list(words: tuple[str, ...]) -> str:
 
 def norm(x: str) -> str:
     s = f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-    for _ in range(2):
-        s = rf"regexp_replace({s}, '([0-9])\s*x\s*([0-9])', '\1x\2', 'g')"
+    s = rf"regexp_replace({s}, '([0-9]+)\s*x\s*([0-9]+)(?:\s*(x)\s*([0-9]+))?(?:\s*(x)\s*([0-9]+))?', '\1x\2\3\4\5\6', 'g')"
     s = rf"regexp_replace({s}, '\b([0-9]{{1,3}}) ([0-9]{{1,3}}) ([0-9]{{1,3}})\b', '\1x\2x\3', 'g')"
     for pattern, word in (("hi lux", "hilux"), ("(frt|fr)", "front"), ("rr", "rear"), ("assy", "assembly"), ("(lh|lhs)", "left"), ("(rh|rhs)", "right"), ("hi", "hilux")):
         s = rf"regexp_replace({s}, '\b{pattern}\b', '{word}', 'g')"
@@ -246,6 +245,11 @@ AUDIT = f"""SELECT a_id AS a_row, raw_name AS a_item_name, cleaned AS a_cleaned_
   {_round2("CASE WHEN a_price <> 0 THEN abs(difference) / a_price * 100 END")} AS gap_pct, score, coalesce(method, '') AS method,
   upper(substr(status, 1, 1)) || lower(substr(status, 2)) AS status FROM f"""
 
+_REVIEW = "list_position(['CONFLICT', 'PROBABLE', 'UNMATCHED', 'STRONG', 'CONFIRMED'], status)"
+_ORDERS = (
+    ("row", "a_id", "DESC"), ("name", "lower(raw_name)", "ASC"), ("aPrice", "a_price", "DESC NULLS LAST"), ("bPrice", "b_price", "ASC NULLS FIRST"),
+    ("diff", "difference", "ASC NULLS FIRST"), ("score", "score", "DESC NULLS LAST"), ("status", _REVIEW, "ASC"),
+)
 _STATUS_ROWS = "(SELECT unnest([" + ", ".join(f"'{s}'" for s in STATUSES) + "]) AS status)"
 _NAMES = f"{SIDES}, names AS (SELECT row_num, raw_name FROM claims UNION ALL SELECT row_num, raw_name FROM costing)"
 _NEXT = "pairs AS (SELECT x.p_partkey AS k, lower(x.p_type || ' ' || x.p_name || ' ' || x.p_size || 'mm') AS a, lower(y.p_type || ' ' || y.p_name || ' ' || y.p_size || 'mm') AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 5)"
@@ -365,6 +369,12 @@ d AS (SELECT price, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE clea
     "screening_cells": f"""WITH {SIDES}, d AS (SELECT row_num, CASE WHEN row_num % 7 = 0 THEN NULL WHEN row_num % 2 = 0 THEN 'MATCH' ELSE 'NOT_MATCH' END AS verdict,
  CASE WHEN row_num % 5 = 0 THEN NULL WHEN row_num % 3 = 0 THEN (row_num % 101) / CAST(100 AS DOUBLE) ELSE CAST(row_num % 90 + 11 AS DOUBLE) END AS c FROM claims)
 SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict ELSE verdict || ' · ' || CAST(CAST(least(100, floor(CASE WHEN c <= 1 THEN c * 100 ELSE c END + 0.5)) AS BIGINT) AS VARCHAR) || '%' END AS cell FROM d""",
+    "detail_view": f"""WITH {RESULTS} SELECT a_id, status IN ('PROBABLE', 'CONFLICT') OR (status = 'UNMATCHED' AND n_candidates > 0) AS pickable, coalesce(r.cleaned = r.b_cleaned, false) AS same_name,
+ aq AS claimed_qty, b.qty AS assessed_qty, coalesce(aq <> b.qty, false) AS qty_differs FROM r LEFT JOIN b ON b.b_row = r.b_row""",
+    "sort_orders": f"WITH {RESULTS}, o AS (" + " UNION ALL ".join(f"SELECT '{k}' AS sort_key, a_id, row_number() OVER (ORDER BY {c} {o}, a_id) AS pos FROM r" for k, c, o in _ORDERS) + ") SELECT sort_key, CAST(pos AS INTEGER) AS pos, a_id FROM o WHERE pos <= 50",
+    "sheet_preview": f"WITH {SIDES} SELECT CAST(row_num AS INTEGER) AS row_num, raw_name AS \"A\", raw_price AS \"B\", raw_code AS \"C\" FROM claims WHERE row_num BETWEEN 2 AND 9",
+    "run_gate": f"WITH {SIDES}, n AS (SELECT count(*) FILTER (trim(coalesce(raw_name, '')) <> '') AS data_rows FROM claims) SELECT data_rows, data_rows > 0 AS runnable FROM n",
+    "size_notes": f"WITH s AS (SELECT p_partkey AS k, p_partkey % 40 + 5 AS x, p_partkey % 7 + 2 AS y FROM part) SELECT k, CASE WHEN k % 3 = 0 THEN x || 'x' || (x + 9) || 'x' || y ELSE x || 'x' || (x + 9) || 'x' || (y + k % 2) END AS dims, k % 3 <> 0 AND k % 2 = 1 AS differ FROM s",
     "ledger_order": f"WITH {LEDGER} SELECT b_row, status FROM lines ORDER BY matched, b_row LIMIT 100",
     "health_samples": f"""{"WITH " + _DUPS}, flags AS (SELECT row_num, name, raw_price, unnest(['blank_names', 'unreadable', 'zero', 'negative']) AS flag,
  unnest([name IS NULL, name IS NOT NULL AND price IS NULL, name IS NOT NULL AND price = 0, name IS NOT NULL AND price < 0]) AS holds FROM named)

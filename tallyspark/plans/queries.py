@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
@@ -13,7 +13,7 @@ from tallyspark.plans import tables
 from tallyspark.plans.reconcile import Comparison
 from tallyspark.plans.settings import Settings
 from tallyspark.sources.shared import settle
-from tallyspark.sources.workbook import sheet_of_table
+from tallyspark.sources.workbook import preview, sheet_of_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -363,6 +363,16 @@ def audit_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.page(views.sort_results(wanted, "diff", ascending=False), 1, 25).select("a_id", "a_raw_name", "difference")
 
 
+@query
+def sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 claims by each key they can be sorted by, upwards or downwards."""
+    r = _comparison(spark, sf_dir).results.select("a_id", "a_row", "a_raw_name", "a_price", "b_price", "difference", "score", "status")
+    down = ("row", "aPrice", "score")
+    firsts = [views.page(views.sort_results(r, key, ascending=key not in down), 0, 50).select(F.lit(key).alias("sort_key"), "a_id", F.monotonically_increasing_id().alias("at")) for key in views.SORT_KEYS]
+    place = F.row_number().over(Window.partitionBy("sort_key").orderBy("at"))
+    return matching.union_all(firsts).select("sort_key", place.alias("pos"), "a_id")
+
+
 @query
 def ledger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _comparison(spark, sf_dir)
@@ -432,6 +442,24 @@ def apply_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("a_id", "status", "method", "score", F.col("chosen.b_row").alias("b_row"), "b_price", "difference", F.size("candidates").alias("n_candidates"))
 
 
+@query
+def detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _comparison(spark, sf_dir)
+    return review.details(c.results, c.claim_qty, c.costing_qty)
+
+
+@query
+def size_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a claim's and a costing name, separators typed in different ways, and whether they differ."""
+    k = F.col("p_partkey")
+    x, y = k % 40 + 5, k % 7 + 2
+    third = F.when(k % 3 == 0, y).otherwise(y + k % 2)
+    name = lambda sign, last: F.concat(F.lit("Seal "), F.concat_ws(sign, *[c.cast("string") for c in (x, x + 9, last)]))
+    own, other = identity.dimensions(name(" X ", third)), identity.dimensions(name("-", y))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), own.alias("own"), other.alias("other"))
+    return parts.select("k", F.array_join("own", ",").alias("dims"), identity.sizes_differ(F.col("own"), F.col("other")).alias("differ"))
+
+
 # ---- sheets ------------------------------------------------------------------------
 
 
@@ -457,6 +485,24 @@ def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(getattr(m, c)).cast("int").alias(c) for c in ("header_row", "name_col", "price_col", "code_col", "qty_col")])
 
 
+@query
+def sheet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows below the header: the limit is the preview."""
+    return preview(_sheet(spark, sf_dir), 0, columns=3)
+
+
+@query
+def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a name, and whether the sheet can be compared with itself."""
+    sheet = infer.analyze_sheet(_sheet(spark, sf_dir))
+    try:
+        infer.check_runnable(sheet, sheet)
+        runnable = True
+    except ValueError:
+        runnable = False
+    return spark.range(1).select(F.lit(sheet.data_rows).cast("long").alias("data_rows"), F.lit(runnable).alias("runnable"))
+
+
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = infer.column_profile(_sheet(spark, sf_dir), 0)
