@@ -38,7 +38,7 @@ _DIGIT = re.compile(r"[0-9]")
 _WRITTEN_EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,}+", re.I
 )
-_NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9()\x20./-]{5,30}[0-9](?!\w)")
+_NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9()\x20./-]{5,}[0-9](?!\w)")
 _SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,}+|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
 _OBVIOUS_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})\Z")
 
@@ -50,7 +50,7 @@ CUES = {
     "secret": ("password", "passwd", "pwd", "secret", "token", "api_key", "key", "passwort"),
 }
 #: Words before a number that speak against personal data.
-PLAIN_CUES = ("version", "page", "chapter", "isbn", "section", "no", "figure", "seite", "page")
+PLAIN_CUES = ("version", "page", "chapter", "isbn", "section", "no", "figure", "seite")
 _CUE_OF = {word: kind for kind, words in CUES.items() for word in words}
 
 YES, NO, ABSTAIN = 1, 0, 2
@@ -118,7 +118,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 
 
 def _judge(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, int]:
-    span = text[a : min(b, a + 400)]
+    span = text[a:b]
     digits, letters = sum(c.isdigit() for c in span), sum(c.isalpha() for c in span)
     before = re.findall(r"[\w-]+", text[max(0, a - 40) : a].lower())[-3:]
     cue = next((_CUE_OF[w] for w in reversed(before) if w in _CUE_OF), None)
