@@ -18,14 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import is_held_out, small_batches
+from tallyspark.llm.common import is_held_out, settle, small_batches
 from tallyspark.llm.labels import draw, training_labels
 
-#: Labelled documents the model is fitted on, at most; of each the whole text.
-TOXIC_ROWS, ORDINARY_ROWS = 2_000, 5_000
+#: Labelled documents the model is fitted on, at most, and bytes of their texts for each class: documents
+#: are drawn while both last, and of each the whole text counts.  A text over a
+#: ``LARGEST``-th of the bytes would leave no room for others; it is scored and not learned from.
+TOXIC_ROWS, ORDINARY_ROWS, FIT_BYTES, LARGEST = 2_000, 5_000, 64 << 20, 64
 #: Bytes of the ordinary and the toxic dictionary's own part.
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 2_048
 LEVEL, ENDING = 9, 24
@@ -138,18 +140,22 @@ class Distance(dict):
 
 
 class Model:
-    def __init__(self, toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int):
+    """Both dictionaries, and the logistic calibration of a text's distances."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str]):
         self.constant = None if toxic and ordinary else float(bool(toxic))
         if self.constant is not None:
             return
-        plain = [w for t in ordinary for w in re.findall(r"\S+(?:\s+\S+){0,7}", t.lower())]
-        samples = [w.encode("utf-8", "surrogatepass") for w in plain[:: max(1, len(plain) // 40_000)]]
-        self.ordinary = _train_dictionary(samples, ORDINARY_BYTES)
+        phrases = [w.encode("utf-8", "surrogatepass") for t in ordinary for w in re.findall(r"\S+(?:\s+\S+){0,7}", t.lower())]
+        self.ordinary = _train_dictionary(phrases, ORDINARY_BYTES)
         self.toxic = _train_dictionary(toxic_strings(toxic, ordinary), TOXIC_BYTES)
+
+    def features(self):
+        """The features of a batch of texts, a row each."""
         distance = Distance(self.toxic, self.ordinary)
-        x = np.array([distance.features(t) for t in [*toxic, *ordinary]])
-        y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-        weight = np.where(y == 1, n_toxic / len(toxic), n_ordinary / len(ordinary))
+        return lambda texts: np.array([distance.features(t) for t in texts]).reshape(len(texts), -1)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
         self.weights = np.zeros(z.shape[1])
@@ -162,26 +168,55 @@ class Model:
     def scorer(self):
         if self.constant is not None:
             return lambda texts: np.full(len(texts), self.constant)
-        distance = Distance(self.toxic, self.ordinary)
+        features = self.features()
 
         def score(texts: list[str | None]) -> np.ndarray:
-            x = (np.array([distance.features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale
+            x = (features(texts) - self.mean) / self.scale
             return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` labelled documents of the training fold;
-    of rows that repeat an id the least text counts.  Classes weigh as they occur in the labels."""
-    known = training_labels(labels, "toxic")
-    counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    texts = []
-    for kind, most in ((F.col("y") > 0, toxic_rows), (F.col("y") <= 0, ordinary_rows)):
-        ids = draw(known.filter(kind), most)
-        rows = docs.filter("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        texts.append([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])])
-    return Model(*texts, counts.get(1, 0), counts.get(0, 0))
+def drawn_texts(docs: DataFrame, known: DataFrame, most: int, fit_bytes: int) -> DataFrame:
+    """``doc_id, y, text`` of at most ``most`` labelled documents that hold ``fit_bytes`` together."""
+    ids = F.broadcast(draw(known, most))  # at most ``most`` rows
+    size = F.octet_length("text").cast("long")
+    fitting = docs.filter("text is not null").filter(size <= fit_bytes // LARGEST).join(ids, "doc_id")
+    rows = settle(fitting.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled-texts")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = rows.select("doc_id", F.sum(size).over(order).alias("upto")).filter(F.col("upto") <= fit_bytes).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id")
+
+
+def _featured(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = model.features()
+        for batch in batches:
+            x = features(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Fit on at most ``toxic_rows`` and ``ordinary_rows`` labelled documents of the training fold,
+    and ``fit_bytes`` of text of either class; of rows that repeat an id the least text counts.
+    Classes weigh as they occur in the labels.  The dictionaries are trained on the driver
+    from those texts, all their phrases; the distances they are calibrated by come from Spark tasks."""
+    known = training_labels(labels, "toxic").withColumn("y", (F.col("y") > 0).cast("int"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = [drawn_texts(docs, known.filter(F.col("y") == y), most, fit_bytes) for y, most in ((1, toxic_rows), (0, ordinary_rows))]
+    model = Model(*([r["text"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])] for rows in drawn))
+    if model.constant is None:
+        spread = docs.sparkSession.sparkContext.defaultParallelism
+        x, y, weight = [], [], []
+        for value, rows in zip((1, 0), drawn):
+            found = sorted(rows.select("doc_id", "text").repartition(spread).mapInArrow(_featured(model), "doc_id long, x array<double>").collect())
+            x += [r["x"] for r in found]
+            y += [value] * len(found)
+            weight += [counts[value] / len(found)] * len(found)
+        model.calibrate(np.array(x), np.array(y, float), np.array(weight))
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
