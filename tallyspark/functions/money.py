@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions.binding import let
 from tallyspark.functions.text import js_trim
 
+#: Amounts are summed in millionths, as whole numbers.
+MICRO, EXACT = 1_000_000, "decimal(38,0)"
+
 
 def clean_price(s: Column) -> Column:
     """A typed price as a number; null where none can be recovered.
@@ -81,3 +84,24 @@ def difference(b_price: Column, a_price: Column) -> Column:
 def gap_percent(diff: Column, a_price: Column) -> Column:
     """The absolute difference as a percentage of the claimed price; null for a price of 0."""
     return F.when(a_price != 0, F.abs(diff) / a_price * 100)
+
+
+def micro(x: Column) -> Column:
+    """An amount in whole millionths, so that sums of amounts are exact and don't depend on their order."""
+    return F.floor(x * MICRO + 0.5).cast(EXACT)
+
+
+def total(x: Column) -> Column:
+    """The exact sum of amounts (to millionths); null where there is none."""
+    return F.sum(micro(x)).cast("double") / MICRO
+
+
+def mean(x: Column) -> Column:
+    return total(x) / F.count(x)
+
+
+def cents_of_quotient(value: Column, units: Column) -> Column:
+    """``value / units`` of whole numbers (value in millionths, both positive) to cents; exact halves go up."""
+    whole = lambda c: c.cast(EXACT)
+    rounded = F.call_function("div", whole(value) * 200 + whole(units) * MICRO, whole(units) * (2 * MICRO))
+    return rounded / 100.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import ext_amount, gap_percent, round2, round_half_up
+from tallyspark.functions.money import ext_amount, gap_percent, mean, round2, round_half_up, total
 from tallyspark.operators.valuation import flagged
 from tallyspark.plans.settings import PAIRED, STATUSES, Settings
 
@@ -96,15 +96,15 @@ def price_summary(results: DataFrame, values: DataFrame, depreciation_pct: float
     df = flagged(results, values, depreciation_pct)
     gap = gap_percent(F.col("difference"), F.col("a_price"))
     above = F.col("flag") == "above"
-    over = F.sum(F.when(above, F.col("a_price") - F.col("highest")))
-    a, b = F.sum("a_price"), F.sum("b_price")
+    over = total(F.when(above, F.col("a_price") - F.col("highest")))
+    a, b = total(F.col("a_price")), total(F.col("b_price"))
     net = F.when(a.isNotNull() | b.isNotNull(), F.coalesce(b, F.lit(0.0)) - F.coalesce(a, F.lit(0.0)))
     return df.agg(
         a.alias("total_a"),
         b.alias("total_b"),
         net.alias("net_difference"),
-        F.sum(F.abs("difference")).alias("total_abs_difference"),
-        F.avg(gap).alias("avg_gap_pct"),
+        total(F.abs("difference")).alias("total_abs_difference"),
+        mean(gap).alias("avg_gap_pct"),
         F.max(gap).alias("max_gap_pct"),
         F.count_if(F.col("flag") == "in-range").alias("in_range"),
         F.count_if(above).alias("above"),
@@ -118,7 +118,7 @@ def price_summary(results: DataFrame, values: DataFrame, depreciation_pct: float
 def status_money(results: DataFrame) -> DataFrame:
     """``status, items, sum_a, sum_b, sum_diff`` for all five statuses."""
     every = results.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in STATUSES])).alias("status"))
-    seen = results.groupBy("status").agg(F.count("*").alias("n"), F.sum("a_price").alias("sum_a"), F.sum("b_price").alias("sum_b"), F.sum("difference").alias("sum_diff"))
+    seen = results.groupBy("status").agg(F.count("*").alias("n"), total(F.col("a_price")).alias("sum_a"), total(F.col("b_price")).alias("sum_b"), total(F.col("difference")).alias("sum_diff"))
     return every.join(F.broadcast(seen), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("items"), "sum_a", "sum_b", "sum_diff")
 
 
@@ -133,15 +133,15 @@ def screen_summary(results: DataFrame, values: DataFrame, depreciation_pct: floa
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return df.agg(
         F.count("a_price").alias("rows_with_a"),
-        zero(F.sum("a_price")).alias("total_a"),
+        zero(total(F.col("a_price"))).alias("total_a"),
         F.count_if(both).alias("rows_with_both"),
-        zero(F.sum(diff)).alias("net_diff"),
-        zero(F.sum(F.abs(diff))).alias("abs_diff"),
-        zero(F.avg(F.abs(diff) / base * 100)).alias("avg_abs_diff_pct"),
+        zero(total(diff)).alias("net_diff"),
+        zero(total(F.abs(diff))).alias("abs_diff"),
+        zero(mean(F.abs(diff) / base * 100)).alias("avg_abs_diff_pct"),
         F.count_if(diff > 0).alias("higher"),
-        zero(F.sum(F.when(diff > 0, diff))).alias("higher_amount"),
+        zero(total(F.when(diff > 0, diff))).alias("higher_amount"),
         F.count_if(diff < 0).alias("lower"),
-        zero(F.sum(F.when(diff < 0, -diff))).alias("lower_amount"),
+        zero(total(F.when(diff < 0, -diff))).alias("lower_amount"),
         F.count_if(diff == 0).alias("equal"),
         F.when(priced > 0, F.count_if(F.col("flag") == "in-range") / priced * 100).otherwise(100.0).alias("in_range_pct"),
     )
@@ -160,8 +160,8 @@ def quantity_check(results: DataFrame, claim_qty: DataFrame, costing_qty: DataFr
     zero = F.lit(0.0)
     return df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum("aq"), zero).alias("claimed_units"),
-        F.coalesce(F.sum("bq"), zero).alias("verified_units"),
+        F.coalesce(total(F.col("aq")), zero).alias("claimed_units"),
+        F.coalesce(total(F.col("bq")), zero).alias("verified_units"),
         F.count_if(~F.col("aq").eqNullSafe(F.col("bq"))).alias("mismatches"),
     )
 
@@ -169,13 +169,13 @@ def quantity_check(results: DataFrame, claim_qty: DataFrame, costing_qty: DataFr
 def extended_amounts(results: DataFrame, claim_qty: DataFrame, costing_qty: DataFrame) -> DataFrame:
     """One row: ``claimed, verified``; the verified side uses the claimed quantity where it has none."""
     df = with_quantities(results, claim_qty, costing_qty)
-    return df.agg(F.sum(ext_amount(F.col("aq"), F.col("a_price"))).alias("claimed"), F.sum(ext_amount(F.coalesce("bq", "aq"), F.col("b_price"))).alias("verified"))
+    return df.agg(total(ext_amount(F.col("aq"), F.col("a_price"))).alias("claimed"), total(ext_amount(F.coalesce("bq", "aq"), F.col("b_price"))).alias("verified"))
 
 
 def duplicate_value(results: DataFrame, duplicate_rows: DataFrame) -> DataFrame:
     """One row, ``rows, value``: claims whose description stands on several rows."""
     df = results.join(duplicate_rows.select("a_row").distinct(), "a_row", "left_semi")
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum("a_price"), F.lit(0.0)).alias("value"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(total(F.col("a_price")), F.lit(0.0)).alias("value"))
 
 
 def inventory_variance(results: DataFrame, costing: DataFrame, claim_qty: DataFrame) -> DataFrame:
@@ -183,14 +183,14 @@ def inventory_variance(results: DataFrame, costing: DataFrame, claim_qty: DataFr
     quantity counts its price, one without a price nothing."""
     zero = F.lit(0.0)
     a = results.join(claim_qty.select("a_row", F.col("qty").alias("aq")), "a_row", "left")
-    claimed = a.agg(F.coalesce(F.sum(F.coalesce(ext_amount(F.col("aq"), F.col("a_price")), F.col("a_price"))), zero).alias("claimed"))
-    adjuster = costing.agg(F.coalesce(F.sum(F.coalesce(ext_amount(F.col("qty"), F.col("b_price")), F.col("b_price"))), zero).alias("adjuster"))
+    claimed = a.agg(F.coalesce(total(F.coalesce(ext_amount(F.col("aq"), F.col("a_price")), F.col("a_price"))), zero).alias("claimed"))
+    adjuster = costing.agg(F.coalesce(total(F.coalesce(ext_amount(F.col("qty"), F.col("b_price")), F.col("b_price"))), zero).alias("adjuster"))
     return claimed.join(F.broadcast(adjuster)).select("claimed", "adjuster", (F.col("adjuster") - F.col("claimed")).alias("variance"))
 
 
 def unmatched_value(unmatched: DataFrame) -> DataFrame:
     """One row, ``rows, value``, of :func:`tallyspark.operators.coverage.unmatched_costing`."""
-    return unmatched.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.coalesce("extended", "price")), F.lit(0.0)).alias("value"))
+    return unmatched.agg(F.count("*").alias("rows"), F.coalesce(total(F.coalesce("extended", "price")), F.lit(0.0)).alias("value"))
 
 
 def summary(results: DataFrame, settings: Settings, mode: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import round2
+from tallyspark.functions.money import cents_of_quotient, micro, round2, total
 
 
 def linked_records(results: DataFrame, qty: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def valuation(results: DataFrame, qty: DataFrame) -> DataFrame:
     """``a_id, count, zero_count, lowest, highest, weighted_avg`` of claims that have candidates.
 
     Records without a positive price are counted apart.  The average is weighted by quantity
-    over records that have one, and plain where none has.
+    over records that have one, and plain where none has; it is a quotient of whole numbers
+    (millionths), so neither partitions nor the order of the records show in a half cent.
     """
     records = linked_records(results, qty)
     priced = F.col("price") > 0
@@ -33,12 +34,13 @@ def valuation(results: DataFrame, qty: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.min(price).alias("lowest"),
         F.max(price).alias("highest"),
-        F.sum(F.col("price") * weight).alias("value"),
-        F.sum(weight).alias("units"),
-        F.avg(price).alias("mean"),
+        F.sum(micro(F.col("price")) * micro(weight)).alias("value"),
+        F.sum(micro(weight)).alias("units"),
+        F.sum(micro(price)).alias("prices"),
     )
-    average = F.when(F.col("units") > 0, F.col("value") / F.col("units")).otherwise(F.col("mean"))
-    return grouped.select("a_id", "count", (F.col("n") - F.col("count")).alias("zero_count"), "lowest", "highest", round2(average).alias("weighted_avg"))
+    average = F.when(F.col("units") > 0, cents_of_quotient(F.col("value"), F.col("units")))
+    average = average.when(F.col("count") > 0, cents_of_quotient(F.col("prices"), F.col("count")))
+    return grouped.select("a_id", "count", (F.col("n") - F.col("count")).alias("zero_count"), "lowest", "highest", average.alias("weighted_avg"))
 
 
 def flag(a_price: Column, depreciation_pct: float = 0.0) -> Column:
@@ -66,5 +68,5 @@ def flagged(results: DataFrame, values: DataFrame, depreciation_pct: float = 0.0
 def exposure(results: DataFrame, values: DataFrame, depreciation_pct: float = 0.0) -> DataFrame:
     """One row, ``count, amount``: claims above the whole range, and by how much in sum."""
     above = flagged(results, values, depreciation_pct).filter("flag = 'above'")
-    amount = F.coalesce(F.sum(F.col("a_price") - F.col("highest")), F.lit(0.0))
+    amount = F.coalesce(total(F.col("a_price") - F.col("highest")), F.lit(0.0))
     return above.agg(F.count("*").alias("count"), round2(amount).alias("amount"))

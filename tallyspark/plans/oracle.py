@@ -147,6 +147,24 @@ def _round2(x: str) -> str:
     return f"floor(({x}) * 100 + 0.5) / 100"
 
 
+def _micro(x: str) -> str:
+    return f"CAST(floor(({x}) * 1000000 + 0.5) AS HUGEINT)"
+
+
+def _total(x: str, where: str = "") -> str:
+    """The exact sum of amounts in millionths."""
+    return f"(CAST(sum({_micro(x)}){f' FILTER ({where})' if where else ''} AS DOUBLE) / 1000000)"
+
+
+def _mean(x: str) -> str:
+    return f"({_total(x)} / count({x}))"
+
+
+def _quotient(value: str, units: str) -> str:
+    """To cents, exact halves upwards."""
+    return f"(CAST(({value} * 200 + {units} * 1000000) // ({units} * 2000000) AS DOUBLE) / 100)"
+
+
 SIDES = f"claims AS ({CLAIMS.replace('{', '').replace('}', '')}), costing AS ({COSTING.replace('{', '').replace('}', '')})"
 
 PREPARED = f"""{SIDES},
@@ -216,8 +234,8 @@ r AS (SELECT a_id, raw_name, cleaned, a_price, aq, codes, status, n_candidates,
 VALUES = f"""{RESULTS},
 records AS (SELECT c.a_id, b.b_price AS price, b.qty FROM cand c JOIN b USING (b_row)),
 v0 AS (SELECT a_id, count(*) FILTER (price > 0) AS "count", count(*) AS n, min(price) FILTER (price > 0) AS lowest, max(price) FILTER (price > 0) AS highest,
-  sum(price * qty) FILTER (price > 0 AND qty > 0) AS pq, sum(qty) FILTER (price > 0 AND qty > 0) AS q, avg(price) FILTER (price > 0) AS mean FROM records GROUP BY a_id),
-v AS (SELECT a_id, "count", n - "count" AS zero_count, lowest, highest, {_round2("CASE WHEN q > 0 THEN pq / q ELSE mean END")} AS weighted_avg FROM v0)"""
+  sum({_micro("price")} * {_micro("qty")}) FILTER (price > 0 AND qty > 0) AS pq, sum({_micro("qty")}) FILTER (price > 0 AND qty > 0) AS q, sum({_micro("price")}) FILTER (price > 0) AS p FROM records GROUP BY a_id),
+v AS (SELECT a_id, "count", n - "count" AS zero_count, lowest, highest, CASE WHEN q > 0 THEN {_quotient("pq", "q")} WHEN "count" > 0 THEN {_quotient("p", 'CAST("count" AS HUGEINT)')} END AS weighted_avg FROM v0)"""
 
 
 def flagged(depreciation: float) -> str:
@@ -311,8 +329,8 @@ SELECT r.a_id, concat_ws(' | ',
 FROM r LEFT JOIN hit_notes ON hit_notes.a_id = r.a_id""",
     "valuation_range": f"WITH {VALUES} SELECT * FROM v",
     "valuation_flag": f"WITH {flagged(0)} SELECT a_id, flag FROM f",
-    "exposure": f"WITH {flagged(0)} SELECT count(*) AS \"count\", {_round2('coalesce(sum(a_price - highest), 0)')} AS amount FROM f WHERE flag = 'above'",
-    "depreciation_exposure": f"WITH {flagged(45)} SELECT count(*) AS \"count\", {_round2('coalesce(sum(a_price - highest), 0)')} AS amount FROM f WHERE flag = 'above'",
+    "exposure": f"WITH {flagged(0)} SELECT count(*) AS \"count\", {_round2('coalesce(' + _total('a_price - highest') + ', 0)')} AS amount FROM f WHERE flag = 'above'",
+    "depreciation_exposure": f"WITH {flagged(45)} SELECT count(*) AS \"count\", {_round2('coalesce(' + _total('a_price - highest') + ', 0)')} AS amount FROM f WHERE flag = 'above'",
     "unmatched_costing": f"WITH {SUPPORT} SELECT b_row, raw_name AS name, b_price AS price, qty, {_EXT} AS extended FROM b WHERE b_row NOT IN (SELECT b_row FROM links)",
     "ledger": f"WITH {LEDGER} SELECT b_row, description, part_code, claimed_qty, assessed_qty, unit_price, total_cost, status, claim_rows, claim_items FROM lines",
     "a_duplicates": f"WITH {SIDES}, cl AS (SELECT row_num, {norm(strip('raw_name', 'firstToken'))} AS cleaned FROM claims) SELECT cleaned, string_agg(CAST(row_num AS VARCHAR), ',' ORDER BY row_num) AS rows FROM cl WHERE cleaned <> '' GROUP BY cleaned HAVING count(*) > 1",
@@ -320,20 +338,20 @@ FROM r LEFT JOIN hit_notes ON hit_notes.a_id = r.a_id""",
     "b_coverage": f"WITH {SUPPORT}, u AS (SELECT DISTINCT b_row FROM links) SELECT count(*) AS total, count(u.b_row) AS paired, count(*) - count(u.b_row) AS unmatched FROM b LEFT JOIN u ON u.b_row = b.b_row",
     "reverse_search": f"WITH {PREPARED}, t AS (SELECT a_id, cleaned AS a, {norm(chr(39) + 'SMALL small ring 11mm' + chr(39))} AS b FROM a) SELECT a_id, greatest(0, greatest(CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('a', 'b')} ELSE greatest(0, {dice('a', 'b')} - {penalty('a', 'b')}) END, CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('b', 'a')} ELSE greatest(0, {dice('b', 'a')} - {penalty('b', 'a')}) END) - {penalty('a', 'b')}) AS sim FROM t ORDER BY sim DESC, a_id LIMIT 8",
     "price_summary": f"""WITH {flagged(0)}, g AS (SELECT *, CASE WHEN a_price <> 0 THEN abs(difference) / a_price * 100 END AS gap FROM f)
-SELECT {_round2("sum(a_price)")} AS total_a, {_round2("sum(b_price)")} AS total_b, {_round2("coalesce(sum(b_price), 0) - coalesce(sum(a_price), 0)")} AS net_difference, {_round2("sum(abs(difference))")} AS total_abs_difference,
- {_round2("avg(gap)")} AS avg_gap_pct, {_round2("max(gap)")} AS max_gap_pct, count(*) FILTER (flag = 'in-range') AS in_range, count(*) FILTER (flag = 'above') AS above,
- {_round2("sum(a_price - highest) FILTER (flag = 'above')")} AS above_amount, count(*) FILTER (flag = 'above-allowed') AS above_allowed, count(*) FILTER (flag = 'below') AS below, count(*) FILTER (flag = 'unpriced') AS unpriced FROM g""",
-    "status_money": f"WITH {RESULTS} SELECT s.status, count(r.a_id) AS items, {_round2('sum(a_price)')} AS sum_a, {_round2('sum(b_price)')} AS sum_b, {_round2('sum(difference)')} AS sum_diff FROM {_STATUS_ROWS} s LEFT JOIN r ON r.status = s.status GROUP BY s.status",
+SELECT {_round2(_total("a_price"))} AS total_a, {_round2(_total("b_price"))} AS total_b, {_round2("coalesce(" + _total("b_price") + ", 0) - coalesce(" + _total("a_price") + ", 0)")} AS net_difference, {_round2(_total("abs(difference)"))} AS total_abs_difference,
+ {_round2(_mean("gap"))} AS avg_gap_pct, {_round2("max(gap)")} AS max_gap_pct, count(*) FILTER (flag = 'in-range') AS in_range, count(*) FILTER (flag = 'above') AS above,
+ {_round2(_total("a_price - highest", "flag = 'above'"))} AS above_amount, count(*) FILTER (flag = 'above-allowed') AS above_allowed, count(*) FILTER (flag = 'below') AS below, count(*) FILTER (flag = 'unpriced') AS unpriced FROM g""",
+    "status_money": f"WITH {RESULTS} SELECT s.status, count(r.a_id) AS items, {_round2(_total('a_price'))} AS sum_a, {_round2(_total('b_price'))} AS sum_b, {_round2(_total('difference'))} AS sum_diff FROM {_STATUS_ROWS} s LEFT JOIN r ON r.status = s.status GROUP BY s.status",
     "screen_summary": f"""WITH {flagged(0)}, g AS (SELECT *, CASE WHEN a_price IS NOT NULL AND b_price IS NOT NULL THEN coalesce(difference, 0) END AS d FROM f)
-SELECT count(a_price) AS rows_with_a, {_round2("coalesce(sum(a_price), 0)")} AS total_a, count(d) AS rows_with_both, {_round2("coalesce(sum(d), 0)")} AS net_diff, {_round2("coalesce(sum(abs(d)), 0)")} AS abs_diff,
- {_round2("coalesce(avg(abs(d) / CASE WHEN a_price = 0 THEN 1 ELSE a_price END * 100), 0)")} AS avg_abs_diff_pct, count(*) FILTER (d > 0) AS higher, {_round2("coalesce(sum(d) FILTER (d > 0), 0)")} AS higher_amount,
- count(*) FILTER (d < 0) AS lower, {_round2("coalesce(-sum(d) FILTER (d < 0), 0)")} AS lower_amount, count(*) FILTER (d = 0) AS equal,
+SELECT count(a_price) AS rows_with_a, {_round2("coalesce(" + _total("a_price") + ", 0)")} AS total_a, count(d) AS rows_with_both, {_round2("coalesce(" + _total("d") + ", 0)")} AS net_diff, {_round2("coalesce(" + _total("abs(d)") + ", 0)")} AS abs_diff,
+ {_round2("coalesce(" + _mean("abs(d) / CASE WHEN a_price = 0 THEN 1 ELSE a_price END * 100") + ", 0)")} AS avg_abs_diff_pct, count(*) FILTER (d > 0) AS higher, {_round2("coalesce(" + _total("d", "d > 0") + ", 0)")} AS higher_amount,
+ count(*) FILTER (d < 0) AS lower, {_round2("coalesce(" + _total("-d", "d < 0") + ", 0)")} AS lower_amount, count(*) FILTER (d = 0) AS equal,
  {_round2("CASE WHEN count(*) FILTER (flag <> 'unpriced') > 0 THEN count(*) FILTER (flag = 'in-range') / CAST(count(*) FILTER (flag <> 'unpriced') AS DOUBLE) * 100 ELSE 100 END")} AS in_range_pct FROM g""",
     "qty_check": f"WITH {RESULTS}, q AS (SELECT aq, (SELECT qty FROM b WHERE b.b_row = r.b_row) AS bq FROM r WHERE b_row IS NOT NULL) SELECT count(*) AS rows, coalesce(sum(aq), 0) AS claimed_units, coalesce(sum(bq), 0) AS verified_units, count(*) FILTER (aq IS DISTINCT FROM bq) AS mismatches FROM q WHERE aq IS NOT NULL OR bq IS NOT NULL",
-    "extended_amounts": f"WITH {RESULTS}, q AS (SELECT aq, a_price, b_price, (SELECT qty FROM b WHERE b.b_row = r.b_row) AS bq FROM r WHERE b_row IS NOT NULL) SELECT {_round2('sum(' + _round2('aq * a_price') + ')')} AS claimed, {_round2('sum(' + _round2('coalesce(bq, aq) * b_price') + ')')} AS verified FROM q",
-    "inventory_variance": f"""WITH {PREPARED}, x AS (SELECT coalesce(sum(coalesce({_round2("aq * a_price")}, a_price)), 0) AS claimed FROM a), y AS (SELECT coalesce(sum(coalesce({_EXT}, b_price)), 0) AS adjuster FROM b)
+    "extended_amounts": f"WITH {RESULTS}, q AS (SELECT aq, a_price, b_price, (SELECT qty FROM b WHERE b.b_row = r.b_row) AS bq FROM r WHERE b_row IS NOT NULL) SELECT {_round2(_total(_round2('aq * a_price')))} AS claimed, {_round2(_total(_round2('coalesce(bq, aq) * b_price')))} AS verified FROM q",
+    "inventory_variance": f"""WITH {PREPARED}, x AS (SELECT coalesce({_total(f'coalesce({_round2("aq * a_price")}, a_price)')}, 0) AS claimed FROM a), y AS (SELECT coalesce({_total(f'coalesce({_EXT}, b_price)')}, 0) AS adjuster FROM b)
 SELECT {_round2("claimed")} AS claimed, {_round2("adjuster")} AS adjuster, {_round2("adjuster - claimed")} AS variance FROM x, y""",
-    "unmatched_value": f"WITH {SUPPORT} SELECT count(*) AS rows, {_round2(f'coalesce(sum(coalesce({_EXT}, b_price)), 0)')} AS value FROM b WHERE b_row NOT IN (SELECT b_row FROM links)",
+    "unmatched_value": f"WITH {SUPPORT} SELECT count(*) AS rows, {_round2('coalesce(' + _total(f'coalesce({_EXT}, b_price)') + ', 0)')} AS value FROM b WHERE b_row NOT IN (SELECT b_row FROM links)",
     "full_audit": f"WITH {flagged(0)} {AUDIT}",
     "action_list": f"WITH {flagged(0)} {AUDIT} WHERE status NOT IN ('CONFIRMED', 'STRONG')",
     "audit_filter_sort": f"WITH {RESULTS} SELECT a_id, raw_name AS a_raw_name, difference FROM r WHERE (contains(lower(raw_name), 'gear') OR contains(lower(coalesce(b_name, '')), 'gear')) AND CASE WHEN a_price <> 0 THEN abs(difference) / a_price * 100 END > 50 ORDER BY difference DESC NULLS LAST, a_id LIMIT 25 OFFSET 25",
@@ -365,7 +383,7 @@ e AS (SELECT *, CAST(blank_names > 0 AS INTEGER) + CAST(unreadable > 0 AS INTEGE
 SELECT rows, blank_names, duplicates, readable, readable_pct, unreadable, missing, zero, negative, date_like, text_price, issues, CASE WHEN rows = 0 OR readable_pct < 80 THEN 'problems' WHEN issues > 0 THEN 'warnings' ELSE 'looks good' END AS verdict FROM e""",
     "duplicate_names": f"WITH {_DUPS} SELECT key, count(*) AS n, first(name ORDER BY row_num) AS name, array_to_string(list_slice(list(CAST(row_num AS VARCHAR) ORDER BY row_num), 1, 3), ',') AS first_rows FROM kept GROUP BY key HAVING count(*) > 1",
     "duplicate_value": f"""WITH {SIDES}, {price_cte("priced", "claims", "row_num, raw_price, raw_name")}, cl AS (SELECT price, {norm(strip('raw_name', 'firstToken'))} AS cleaned FROM priced),
-d AS (SELECT price, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE cleaned <> '') SELECT count(*) AS rows, {_round2("coalesce(sum(price), 0)")} AS value FROM d WHERE n > 1""",
+d AS (SELECT price, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE cleaned <> '') SELECT count(*) AS rows, {_round2("coalesce(" + _total("price") + ", 0)")} AS value FROM d WHERE n > 1""",
     "screening_cells": f"""WITH {SIDES}, d AS (SELECT row_num, CASE WHEN row_num % 7 = 0 THEN NULL WHEN row_num % 2 = 0 THEN 'MATCH' ELSE 'NOT_MATCH' END AS verdict,
  CASE WHEN row_num % 5 = 0 THEN NULL WHEN row_num % 3 = 0 THEN (row_num % 101) / CAST(100 AS DOUBLE) ELSE CAST(row_num % 90 + 11 AS DOUBLE) END AS c FROM claims)
 SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict ELSE verdict || ' · ' || CAST(CAST(least(100, floor(CASE WHEN c <= 1 THEN c * 100 ELSE c END + 0.5)) AS BIGINT) AS VARCHAR) || '%' END AS cell FROM d""",

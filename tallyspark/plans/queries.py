@@ -28,7 +28,7 @@ def _comparison(spark: SparkSession, sf_dir: str, settings: Settings = Settings(
 
 
 def cents(c: Column) -> Column:
-    """Sums of doubles to cents, so that their order doesn't show."""
+    """Exact sums, and shares of them, as cents."""
     return money.round2(c)
 
 
