@@ -1,15 +1,16 @@
 """Substring deduplication: repeated windows of words, found by Rabin-Karp hashes.
 
 Words are the symbols (their XXH64), and every window of ``width`` words gets its polynomial
-modulo the prime 2**61 - 1 at two fixed random bases: the first is the Rabin-Karp hash, the
-second checks that windows of one hash are one word sequence (122 bits together, so that
-differing windows don't meet even at 10**14 of them).  A window's anchor is the smallest hash of
-the ``PHRASE``-word phrases in it, so equal windows have equal anchors, and consecutive
-windows mostly share theirs.  Spark counts the anchors first: a window whose anchor occurs
-in one document only occurs once, and isn't sent further.  The hashes of all other windows
-are then counted by anchor and hash, and repeated windows merge into maximal intervals.
-
-That count is the same as of all windows, for a twentieth of the shuffle.
+modulo the prime 2**61 - 1 at a fixed random base, the Rabin-Karp hash.  A window's anchor is
+the smallest hash of the ``PHRASE``-word phrases in it, so equal windows have equal anchors, and
+consecutive windows mostly share theirs.  Spark counts the anchors first: a window whose anchor
+occurs in one document only occurs once, and isn't sent further.  The hashes of all other
+windows are then counted by anchor and hash, and repeated windows merge into maximal intervals.
+
+That count is the same as of all windows, for a twentieth of the shuffle.  A hash only proposes:
+before any word goes, the words of every repeated interval are compared, as SHA-256 of
+short pieces, with those of the document it repeats.  Anchors under which a piece differs are
+judged again by the SHA-256 of whole windows instead of hashes.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ SALTS = 16
 LAST_ID = (1 << 63) - 1
 
 PRIME = (1 << 61) - 1
-#: Fixed random bases: of the Rabin-Karp hash, and of its check.
-BASE, CHECK_BASE = 0x1A2F0C5E7B9D3461, 0x0F3D6A91C27E58B5
+#: Fixed random base of the Rabin-Karp hash.
+BASE = 0x1A2F0C5E7B9D3461
+#: Intervals are compared in pieces that end at multiples of so many words of the earlier document,
+#: so that its many copies ask for the same few pieces.
+PIECE_WORDS = 64
+
+SPAN = "id long, text_key long, anchor long, from int, to int, rep_id long, rep_key long, rep_from int"
 
 _LOW32, _LOW29, _P = np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1), np.uint64(PRIME)
 _3, _29, _32, _61 = (np.uint64(k) for k in (3, 29, 32, 61))
@@ -69,11 +75,15 @@ def polynomials(symbols: np.ndarray, width: int, base: int = BASE) -> np.ndarray
         size *= 2
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 class Hashed:
     """A text's words as symbols, and the hashes of its windows."""
 
     def __init__(self, text: str | None):
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+        words = _words(text)
         self.n = len(words)
         self.symbols = _reduced(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, self.n))
 
@@ -86,8 +96,8 @@ class Hashed:
         return np.minimum(low[: len(low) - more], low[more:])
 
     def windows(self, width: int) -> np.ndarray:
-        """Hash and check of every window, side by side."""
-        return np.stack([polynomials(self.symbols, width), polynomials(self.symbols, width, CHECK_BASE)], 1)
+        """The hash of every window."""
+        return polynomials(self.symbols, width)
 
 
 def _runs(width: int, phrase: int):
@@ -137,46 +147,114 @@ def _window_hashes(width: int):
 
 
 def _repeats(width: int):
-    """Runs sorted by anchor and id -> intervals of words whose windows start earlier, in another document.
+    """Runs sorted by anchor and id -> ``SPAN``: intervals of words whose windows start earlier, in
+    another document, and where the first of these has them.
 
     What is remembered between batches is the last anchor's distinct windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (None, np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+        none = (None, np.empty(0, np.uint64), np.empty((0, 3), np.int64))
         kept: tuple = none
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, keys, anchors, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
             blobs = batch.column(5).to_pylist()
-            count = np.fromiter((len(b) // 16 for b in blobs), np.int64, len(blobs))
-            hashes = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
+            count = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
             row = np.repeat(np.arange(len(blobs)), count)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             turn = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]]))
             before = kept if kept[0] == anchors[0] else none
             n = len(before[1])
-            h = np.concatenate([before[1], hashes])
+            h = np.concatenate([before[1], np.frombuffer(b"".join(blobs), np.uint64)])
             group = np.concatenate([np.zeros(n, np.int64), turn[row]])
-            of = np.concatenate([before[2], ids[row]])
-            order = np.lexsort((h[:, 1], h[:, 0], group))  # stable: the smallest id of a window comes first
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1) | (group[order][1:] != group[order][:-1])])
-            least = np.empty(len(h), np.int64)
-            least[order] = of[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            at = np.concatenate([before[2], np.stack([ids[row], keys[row], first[row] + offset], 1)])
+            order = np.lexsort((h, group))  # stable: the smallest id of a window comes first
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])])
+            rep = np.empty(len(h), np.int64)
+            rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
             last = order[new & (group[order] == turn[-1])]
-            kept = (anchors[-1], h[last], of[last])
-            hit = np.flatnonzero((of > least)[n:])
-            if not len(hit):
-                continue
-            starts = first[row[hit]] + offset[hit]
-            cut = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (starts[1:] != starts[:-1] + 1)])
-            a = np.flatnonzero(cut)
-            b = np.append(a[1:], len(hit)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row[hit[a]]]), pa.array(keys[row[hit[a]]]), pa.array(starts[a].astype(np.int32)), pa.array((starts[b] + width).astype(np.int32))],
-                ["id", "text_key", "from", "to"],
-            )
+            kept = (anchors[-1], h[last], at[last])
+            hit = n + np.flatnonzero((at[:, 0] > at[rep, 0])[n:])
+            if len(hit):
+                yield _spans(row[hit - n], at[hit], anchors[row[hit - n]], at[rep[hit]], width)
+
+    return run
+
+
+def _spans(row: np.ndarray, at: np.ndarray, anchor: np.ndarray, rep: np.ndarray, width: int) -> pa.RecordBatch:
+    """Windows one after another, which repeat windows one after another, as one interval."""
+    step = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (at[1:, 2] == at[:-1, 2] + 1) & (rep[1:, :2] == rep[:-1, :2]).all(1) & (rep[1:, 2] == rep[:-1, 2] + 1)
+    a = np.flatnonzero(np.concatenate([[True], ~step]))
+    b = np.append(a[1:], len(row)) - 1
+    columns = (at[a, 0], at[a, 1], anchor[a], at[a, 2].astype(np.int32), (at[b, 2] + width).astype(np.int32), rep[a, 0], rep[a, 1], rep[a, 2].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "text_key", "anchor", "from", "to", "rep_id", "rep_key", "rep_from"])
+
+
+def _merge(width: int):
+    """``id, text_key, windows`` of one text -> ``SPAN``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, key, windows in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = np.array(sorted((w["from"], w["anchor"], w["rep_id"], w["rep_key"], w["rep_from"]) for w in windows), np.int64)
+                own = np.stack([np.full(len(rows), doc_id), np.full(len(rows), key), rows[:, 0]], 1)
+                yield _spans(np.zeros(len(rows), np.int64), own, rows[:, 1], rows[:, 2:], width)
+
+    return run
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, text_key, text, spans, asked`` -> the SHA-256 of each piece, named by the earlier document's place.
+
+    ``spans`` are the text's own repeats, ``asked`` the pieces that others say they repeat of it.
+    """
+    schema = pa.schema([("rep_id", pa.int64()), ("rep_key", pa.int64()), ("at", pa.int32()), ("upto", pa.int32()), ("digest", pa.binary())])
+    for batch in batches:
+        out: set[tuple] = set()
+        for doc_id, key, text, spans, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            words = _words(text)
+            for s in spans or []:
+                shift = s["from"] - s["rep_from"]
+                for a, b in _cuts(s["rep_from"], s["rep_from"] + s["to"] - s["from"]):
+                    out.add((s["rep_id"], s["rep_key"], a, b, _digest(words[a + shift : b + shift])))
+            for s in asked or []:
+                out.add((doc_id, key, s["at"], s["upto"], _digest(words[s["at"] : s["upto"]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _cuts(a: int, b: int) -> list[tuple[int, int]]:
+    """``a`` to ``b``, cut at multiples of ``PIECE_WORDS``."""
+    edges = [a, *range((a // PIECE_WORDS + 1) * PIECE_WORDS, b, PIECE_WORDS), b]
+    return list(zip(edges, edges[1:]))
+
+
+def pieces_of(spans: DataFrame) -> DataFrame:
+    """``rep_id, rep_key, at, upto, anchor``: the same cuts, of the earlier documents."""
+    end = F.col("rep_from") + F.col("to") - F.col("from")
+    first = F.floor(F.col("rep_from") / PIECE_WORDS).cast("int")
+    block = F.explode(F.sequence(first, F.floor((end - 1) / PIECE_WORDS).cast("int")))
+    cut = spans.select("rep_id", "rep_key", "anchor", "rep_from", end.alias("end"), block.alias("block"))
+    start, stop = F.col("block") * PIECE_WORDS, (F.col("block") + 1) * PIECE_WORDS
+    return cut.select("rep_id", "rep_key", F.greatest("rep_from", start).alias("at"), F.least("end", stop).alias("upto"), "anchor")
+
+
+def _whole_windows(width: int):
+    """``id, text_key, text, runs`` -> each window's own SHA-256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("anchor", pa.int64()), ("from", pa.int32()), ("digest", pa.binary())])
+        for batch in batches:
+            for doc_id, key, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _words(text)
+                out = [(doc_id, key, r["anchor"], i, _digest(words[i : i + width])) for r in runs for i in range(r["first"], r["first"] + r["windows"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
 
@@ -186,7 +264,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
+            words = _words(text)
             merged: list[list[int]] = []
             for a, b in sorted((s["from"], s["to"]) for s in spans or []):
                 if merged and a <= merged[-1][1]:
@@ -237,7 +315,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
         "windows",
     )
     sorted_ = hashed.filter("not hot").repartition("anchor").sortWithinPartitions("anchor", "id")
-    spans = sorted_.mapInArrow(_repeats(width), "id long, text_key long, from int, to int").unionByName(_hot_repeats(hashed.filter("hot"), width))
+    proposed = settle(sorted_.mapInArrow(_repeats(width), SPAN).unionByName(_hot_repeats(hashed.filter("hot"), width)), "repeats")
+    spans = _confirmed(proposed, keyed, marks, width)
 
     by_text = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     marked = keyed.join(by_text, ["id", "text_key"], "left")
@@ -245,18 +324,42 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, ho
     return marked.select(doc_id, "text", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept string")
 
 
+def _confirmed(proposed: DataFrame, keyed: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """``id, text_key, from, to`` of the repeats whose words are those of the earlier document.
+
+    Each piece of an interval has one SHA-256 if all that repeat it, and the document they
+    repeat, have the same words; where it has several, its anchors are judged by whole windows.
+    """
+    own = proposed.groupBy("id", "text_key").agg(F.collect_set(F.struct("from", "to", "rep_id", "rep_key", "rep_from")).alias("spans"))
+    asked = pieces_of(proposed).select("rep_id", "rep_key", "at", "upto").distinct()
+    asked = asked.groupBy(F.col("rep_id").alias("id"), F.col("rep_key").alias("text_key")).agg(F.collect_list(F.struct("at", "upto")).alias("asked"))
+    read = keyed.join(own.join(asked, ["id", "text_key"], "full"), ["id", "text_key"]).select("id", "text_key", "text", "spans", "asked")
+    digests = read.mapInArrow(_digests, "rep_id long, rep_key long, at int, upto int, digest binary")
+    place = ["rep_id", "rep_key", "at", "upto"]
+    differing = settle(digests.groupBy(*place).agg(F.count_distinct("digest").alias("n")).filter("n > 1").drop("n"), "differing")
+    if differing.isEmpty():
+        return proposed.select("id", "text_key", "from", "to")
+
+    anchors = settle(pieces_of(proposed).join(differing, place).select("anchor").distinct(), "differing-anchors")
+    runs = marks.join(anchors, "anchor", "left_semi").groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows", "anchor")).alias("runs"))
+    windows = settle(keyed.join(runs, ["id", "text_key"]).select("id", "text_key", "text", "runs").mapInArrow(_whole_windows(width), "id long, text_key long, anchor long, from int, digest binary"), "whole-windows")
+    least = windows.groupBy("anchor", "digest").agg(F.min("id").alias("least"))
+    again = windows.join(least, ["anchor", "digest"]).filter("id > least")
+    kept = proposed.join(anchors, "anchor", "left_anti").select("id", "text_key", "from", "to")
+    return kept.unionByName(again.select("id", "text_key", "from", (F.col("from") + width).alias("to")))
+
+
 def _hot_repeats(runs: DataFrame, width: int) -> DataFrame:
-    """The same for anchors of very many runs, one row a window: the grouping combines before it shuffles."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("hashes") / 16 - 1).cast("int")), lambda i: _slice(F.col("hashes"), i)))
+    """``SPAN`` of anchors of very many runs, one row a window: the grouping combines before it shuffles."""
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("hashes") / 8 - 1).cast("int")), lambda i: _slice(F.col("hashes"), i)))
     windows = runs.select("id", "text_key", "anchor", "first", at.alias("pos", "hash"), F.pmod(F.xxhash64("id", "first"), F.lit(SALTS)).alias("salt"))
-    least = windows.groupBy("anchor", "hash").agg(F.min("id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    start = F.col("first") + F.col("pos")
-    return (
-        windows.join(least, ["anchor", "hash", "salt"])
-        .filter("id > least")
-        .select("id", "text_key", start.alias("from"), (start + width).alias("to"))
-    )
+    windows = windows.select("id", "text_key", "anchor", (F.col("first") + F.col("pos")).alias("from"), "hash", "salt")
+    least = windows.groupBy("anchor", "hash").agg(F.min(F.struct("id", "text_key", "from")).alias("rep"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    hits = windows.join(least, ["anchor", "hash", "salt"]).filter(F.col("id") > F.col("rep.id"))
+    window = F.struct("from", "anchor", F.col("rep.id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), F.col("rep.from").alias("rep_from"))
+    return hits.groupBy("id", "text_key").agg(F.collect_set(window).alias("windows")).mapInArrow(_merge(width), SPAN)
 
 
 def _slice(blob: Column, i: Column) -> Column:
-    return F.substring(blob, (i * 16 + 1).cast("int"), F.lit(16))
+    return F.substring(blob, (i * 8 + 1).cast("int"), F.lit(8))
