@@ -1,8 +1,10 @@
 """For each claim's description the descriptions of the costing side that share its rarest words.
 
-Words are numbered and posted inside blocks of descriptions, so that a claim's shared words
-are summed over arrays and a pair of descriptions never becomes a row; a row is a claim and a
-block, and what reaches the floor.
+The costing side is a store of blocks, built once and written: a row holds a block's descriptions,
+the postings of its words and its bigrams as packed arrays.  Claims go to the blocks in which
+their rare words are posted, many thousands to a task, and a task reads its block's arrays as they
+are.  A claim's shared words are summed over them, so a pair of descriptions never becomes a
+row; a row is a claim and a block, and what can still be in the claim's pool.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tallyspark.sources.shared import settle
 
 #: Descriptions of a block, and claims' descriptions that meet it in one task; fewer, down to
 #: ``FEWEST_CLAIMS``, where tasks would be idle otherwise.
-BLOCK, CLAIM_BLOCK, FEWEST_CLAIMS = 100_000, 400, 40
+BLOCK, CLAIM_BLOCK, FEWEST_CLAIMS = 100_000, 20_000, 40
 #: Rows of a claim and a block that one task merges.
 MERGE = 2_000
 #: Words of the vocabulary up to which it is sent to every task.
@@ -33,36 +35,59 @@ PARTIAL = "a_key string, sure boolean, touched long, places binary, sims binary,
 PLACE = np.dtype([("weight", np.int64), ("touch", np.int64), ("key_rank", np.int64), ("b_row", np.int64)])
 
 
+#: The store's arrays, and how they are packed.
+ARRAYS = {
+    "key_rank": np.int32, "b_row": np.int64, "place": np.int32, "has": np.int32, "times": np.int32, "has_from": np.int64,
+    "posting": np.int32, "posting_from": np.int64, "length": np.int32, "gram": np.uint16, "digit": np.bool_,
+}
+STORE = "block int, keys string, words string, " + ", ".join(f"{name} binary" for name in ARRAYS)
+
+
+def build_block(descriptions: pd.DataFrame) -> pd.DataFrame:
+    """``block, key, key_rank, b_row`` of one block -> its row of the store."""
+    keys = descriptions["key"].tolist()
+    key_rank, b_row = descriptions["key_rank"].to_numpy(np.int64), descriptions["b_row"].to_numpy(np.int64)
+    n = len(keys)
+    words = [k.split() for k in keys]
+    ids, vocabulary = pd.factorize(pd.Series([w for ws in words for w in ws], dtype=object))
+    v = max(len(vocabulary), 1)
+    of = np.repeat(np.arange(n), [len(ws) for ws in words])
+    pair, times = np.unique(of * v + ids, return_counts=True)
+    has, row = pair % v, pair // v
+    by_word = np.argsort(has, kind="stable")
+    place = np.empty(n, np.int64)
+    place[np.lexsort((b_row, key_rank))] = np.arange(n)
+    letters = np.frombuffer("".join(keys).replace(" ", "").encode("ascii", "replace"), np.uint8).astype(np.uint16)
+    arrays = {
+        "key_rank": key_rank,
+        "b_row": b_row,
+        "place": place,
+        "has": has,
+        "times": times,
+        "has_from": np.searchsorted(row, np.arange(n + 1)),
+        "posting": row[by_word],
+        "posting_from": np.searchsorted(has[by_word], np.arange(v + 1)),
+        "length": np.fromiter((len(k) - k.count(" ") for k in keys), np.int64, n),
+        "gram": np.append(letters[:-1] * 256 + letters[1:], 0) if len(letters) else np.zeros(1),
+        "digit": np.fromiter((any("0" <= c <= "9" for c in w) for w in vocabulary), bool, len(vocabulary)),
+    }
+    packed = {name: [arrays[name].astype(kind).tobytes()] for name, kind in ARRAYS.items()}
+    return pd.DataFrame({"block": descriptions["block"].iloc[:1].to_numpy(), "keys": ["\n".join(keys)], "words": ["\n".join(vocabulary)], **packed})
+
+
 class Block:
-    """Descriptions with their words' postings and their bigrams, as arrays."""
-
-    def __init__(self, keys: list[str], key_rank: np.ndarray, b_row: np.ndarray):
-        self.keys, self.key_rank, self.b_row = np.array(keys, object), key_rank, b_row
-        n = len(keys)
-        words = [k.split() for k in keys]
-        flat = pd.Series([w for ws in words for w in ws], dtype=object)
-        ids, vocabulary = pd.factorize(flat)
-        self.word = {w: i for i, w in enumerate(vocabulary)}
-        v = max(len(vocabulary), 1)
-        self.digit = np.fromiter((any("0" <= c <= "9" for c in w) for w in vocabulary), bool, len(vocabulary))
-        of = np.repeat(np.arange(n), [len(ws) for ws in words])
-        pair, self.times = np.unique(of * v + ids, return_counts=True)
-        self.has, row = pair % v, pair // v
-        self.has_from = np.searchsorted(row, np.arange(n + 1))
-        by_word = np.argsort(self.has, kind="stable")
-        self.posting = row[by_word]
-        self.posting_from = np.searchsorted(self.has[by_word], np.arange(v + 1))
-        order = np.empty(n, np.int64)
-        order[np.lexsort((b_row, key_rank))] = np.arange(n)
-        self.order = order
-        self.packed = [k.replace(" ", "") for k in keys]
-        self.length = np.fromiter(map(len, self.packed), np.int64, n)
-        letters = np.frombuffer("".join(self.packed).encode("ascii", "replace"), np.uint8).astype(np.int64)
-        self.letter_from = np.concatenate([[0], np.cumsum(self.length)])
-        self.gram = np.append(letters[:-1] * 256 + letters[1:], 0) if len(letters) else np.zeros(1, np.int64)
+    """Descriptions with their words' postings and their bigrams: a row of the store."""
+
+    def __init__(self, stored: pd.Series):
+        self.keys = np.array(stored["keys"].split("\n"), object)
+        self.word = {w: i for i, w in enumerate(stored["words"].split("\n"))}
+        for name, kind in ARRAYS.items():
+            setattr(self, name, np.frombuffer(stored[name], kind))
+        n = len(self.keys)
+        self.letter_from = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
         self.weight, self.touch = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.seen = np.zeros(1 << 16, bool)
-        self.count = np.zeros(v, np.int64)
+        self.count = np.zeros(max(len(self.word), 1), np.int64)
 
     def postings(self, word: int) -> np.ndarray:
         return self.posting[self.posting_from[word] : self.posting_from[word + 1]]
@@ -92,9 +117,9 @@ class Block:
             above, level = found[weight > least], found[weight == least]
             want = size - len(above)
             if want < len(level):
-                level = level[np.argpartition(self.touch[level] * len(self.keys) + self.order[level], want - 1)[:want]]
+                level = level[np.argpartition(self.touch[level] * len(self.keys) + self.place[level], want - 1)[:want]]
             chosen = np.concatenate([above, level])
-        return len(found), chosen[np.lexsort((self.order[chosen], self.touch[chosen], -self.weight[chosen]))]
+        return len(found), chosen[np.lexsort((self.place[chosen], self.touch[chosen], -self.weight[chosen]))]
 
     def _ragged(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all ranges one after another, and where each range begins."""
@@ -112,12 +137,13 @@ class Block:
         self.seen[grams] = True
         size = self.length[chosen]
         start = self.letter_from[chosen]
+        size = size.astype(np.int64)
         at, begin = self._ragged(start, start + np.maximum(size - 1, 0))
         shared = _sums(self.seen[self.gram[at]].astype(np.int64), begin, size > 1)
         self.seen[grams] = False
         pairs = len(a) - 1 + size - 1
         base = np.where((size < 2) | (len(a) < 2), 0, np.floor(2 * shared / np.maximum(pairs, 1) * 100 + 0.5)).astype(np.int64)
-        equal = np.fromiter((self.packed[i] == a for i in chosen), bool, len(chosen))
+        equal = [k for k in np.flatnonzero(size == len(a)) if self.keys[chosen[k]].replace(" ", "") == a]
         base[equal] = 100
         return np.where(base == 100, 100, np.maximum(0, base - self._penalties(a_key, chosen)))
 
@@ -170,14 +196,16 @@ def merge_parts(parts: pd.DataFrame, review_floor: int, size: int) -> pd.DataFra
 
 
 def search_block(review_floor: int, size: int, whole: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Claims and one block of descriptions -> their parts, or the result if there is no other block."""
+    """Claims and one block of the store -> their parts, or the result if there is no other block."""
 
-    def search(claims: pd.DataFrame, descriptions: pd.DataFrame) -> pd.DataFrame:
+    def search(claims: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(claims) and len(descriptions):
-            block = Block(descriptions["key"].tolist(), descriptions["key_rank"].to_numpy(np.int64), descriptions["b_row"].to_numpy(np.int64))
-            for a_key, words in zip(claims["a_key"], claims["words"]):
+        if len(claims) and len(stored):
+            block = Block(stored.iloc[0])
+            for a_key, words, filled in zip(claims["a_key"], claims["words"], claims["filled"].fillna(-1)):
                 touched, chosen = block.pool(list(words), size)
+                if not whole:  # over ``size`` descriptions weigh at least ``filled``
+                    chosen = chosen[block.weight[chosen] >= filled]
                 sims = block.scores(a_key, chosen)
                 places = np.empty(len(chosen), PLACE)
                 places["weight"], places["touch"] = block.weight[chosen], block.touch[chosen]
@@ -197,10 +225,10 @@ def vocabulary(descriptions: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def weighed_words(claim_keys: DataFrame, words: DataFrame, size: int) -> DataFrame:
-    """``a_key, words, blocks``: a claim's words, and the blocks its essential words occur in.
+    """``a_key, words, filled, blocks``: a claim's words, and the blocks its essential words occur in.
 
     A word of more than ``size`` descriptions fills the pool with weights of at least its
-    own, so a description can't enter by words that weigh less together; these aren't essential.
+    own (``filled``), so a description can't enter by words that weigh less together; these aren't essential.
     """
     seen = claim_keys.select("a_key", F.posexplode(F.array_distinct(text.tokens(F.col("a_key")))).alias("tok_pos", "token")).join(words, "token")
     of_claim = Window.partitionBy("a_key")
@@ -210,6 +238,7 @@ def weighed_words(claim_keys: DataFrame, words: DataFrame, size: int) -> DataFra
     seen = seen.withColumn("essential", F.col("filled").isNull() | (F.col("below") >= F.col("filled")))
     return seen.groupBy("a_key").agg(
         F.array_sort(F.collect_list(F.struct("tok_pos", "token", "idf_micro", "essential"))).alias("words"),
+        F.first("filled").alias("filled"),
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("essential"), F.col("blocks"))))).alias("blocks"),
     )
 
@@ -230,8 +259,8 @@ def fuzzy_scores(
     by weight, or by first touch where the pool holds all that were touched.
 
     ``claim_keys`` (``a_key``) and ``keys`` (``key, key_rank, b_row``) hold normalised
-    descriptions.  A claim travels to the blocks that hold one of its essential words, and a
-    block once for each ``claim_block`` claims; either is all that a task holds.
+    descriptions.  A claim travels to the blocks that hold one of its essential words; a task
+    holds one block and at most ``claim_block`` claims, and only blocks that claims go to are read.
     """
     firsts = keys.groupBy("key").agg(F.min(F.struct("key_rank", "b_row")).alias("first_at")).select("key", "first_at.key_rank", "first_at.b_row")
     firsts = settle(firsts, "descriptions")
@@ -239,15 +268,21 @@ def fuzzy_scores(
     dealt = lambda key, n, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int")
     firsts = firsts.withColumn("block", dealt("key", blocks, 1))
     words = settle(vocabulary(firsts, idf_of(firsts)), "vocabulary")
+    store = settle(firsts.repartition(blocks, "block").groupBy("block").applyInPandas(build_block, STORE), "block-store")
     if words.count() * blocks <= BROADCAST_WORDS:
         words = F.broadcast(words)
     wanted = settle(weighed_words(claim_keys, words, size), "claim-words")
-    claims, tasks = wanted.count(), claim_keys.sparkSession.sparkContext.defaultParallelism
-    claim_block = min(claim_block, max(FEWEST_CLAIMS, -(-claims * blocks // tasks)))
-    chunks = max(1, -(-claims // claim_block))
-    left = wanted.withColumn("chunk", dealt("a_key", chunks, 2)).select("a_key", "words", "chunk", F.explode("blocks").alias("block"))
-    right = firsts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    both = left.repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk").cogroup(right.repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk"))
+    # Visits of claims to blocks, and among how many tasks each block's are dealt: a row a block.
+    visits = wanted.select("a_key", "words", "filled", F.explode("blocks").alias("block"))
+    tasks = 2 * claim_keys.sparkSession.sparkContext.defaultParallelism
+    per_block = wanted.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count("*").alias("n"))
+    all_ = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spread = F.least(F.ceil(F.col("n") * tasks / F.sum("n").over(all_)), F.ceil(F.col("n") / FEWEST_CLAIMS))
+    per_block = settle(per_block.select("block", F.greatest(spread, F.ceil(F.col("n") / claim_block)).cast("int").alias("chunks")), "block-visits")
+    n_tasks = max(1, per_block.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n")).first()["n"])
+    left = visits.join(per_block, "block").withColumn("chunk", F.pmod(F.xxhash64("a_key", F.lit(2)), F.col("chunks")).cast("int")).drop("chunks")
+    right = store.join(per_block, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    both = left.repartition(n_tasks, "block", "chunk").groupBy("block", "chunk").cogroup(right.repartition(n_tasks, "block", "chunk").groupBy("block", "chunk"))
     if blocks == 1:
         return both.applyInPandas(search_block(review_floor, size, True), SCORED)
     parts = settle(both.applyInPandas(search_block(review_floor, size, False), PARTIAL), "fuzzy-parts")
