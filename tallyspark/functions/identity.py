@@ -91,9 +91,18 @@ def content_words(raw: Column, codes: Column, dims: Column, cleaned: Column | No
     """Normalised words without stop words, sizes and the tokens of codes and sizes."""
     words = tokens(normalize_description(raw) if cleaned is None else cleaned)
     words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & ~w.rlike(r"^[0-9]+(x[0-9]+)+\z"))
-    of_code = F.flatten(F.transform(codes, lambda c: F.concat(F.array(F.lower(c)), F.regexp_extract_all(F.lower(c), F.lit("(^[a-z]+|[0-9]+[a-z0-9]*)"), F.lit(1)))))
     of_size = F.flatten(F.transform(dims, lambda d: F.split(d, "x")))
-    return let(F.concat(of_code, of_size), lambda used: F.filter(words, lambda w: ~F.array_contains(used, w)))
+    return let(F.concat(code_tokens(codes), of_size), lambda used: F.filter(words, lambda w: ~F.array_contains(used, w)))
+
+
+def code_tokens(codes: Column) -> Column:
+    """Each code in lower case, and its letters and digits apart."""
+    return F.flatten(F.transform(codes, lambda c: F.concat(F.array(F.lower(c)), F.regexp_extract_all(F.lower(c), F.lit("(^[a-z]+|[0-9]+[a-z0-9]*)"), F.lit(1)))))
+
+
+def without_code_tokens(words: Column, codes: Column) -> Column:
+    """Content words without the tokens of further codes."""
+    return F.when(F.size(codes) == 0, words).otherwise(let(code_tokens(codes), lambda used: F.filter(words, lambda w: ~F.array_contains(used, w))))
 
 
 def word_overlap(a: Column, b: Column) -> Column:

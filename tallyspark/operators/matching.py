@@ -4,6 +4,10 @@ Claims and costing rows have ``row_num, raw_name, raw_price, raw_code`` (the cos
 also ``raw_qty``); ``row_num`` identifies a row.  Three stages, each only for the claims that
 the one before left open: an equi-join on part codes, an equi-join on whole descriptions,
 and a pool of descriptions that share rare words.
+
+Rows of one name and one own code are one item to the code stage.  It joins items, counts
+what stands behind them and keeps the rows a claim can list, so a code on very many rows of either
+side costs its items, and a code of very many items is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -108,26 +112,47 @@ def prepare_claims(claims: DataFrame, mode: str, pattern: str | None = None, fol
     )
 
 
+def named_items(names: DataFrame, alt_keys: bool) -> DataFrame:
+    """``raw_name`` (distinct) -> what its text alone says: ``b_raw_name, b_cleaned, alt_cleaned,
+    text_codes, dims, text_words``."""
+    df = names.withColumn("b_raw_name", text.js_trim(F.col("raw_name")))
+    df = df.withColumn("text_codes", identity.codes_in_text(F.col("b_raw_name"))).withColumn("dims", identity.dimensions(F.col("b_raw_name")))
+    df = df.withColumn("b_cleaned", text.normalize_description(F.col("b_raw_name")))
+    alt = text.strip_leading_code(F.col("b_cleaned")) if alt_keys else F.lit(None).cast("string")
+    words = identity.content_words(F.col("b_raw_name"), F.col("text_codes"), F.col("dims"), F.col("b_cleaned"))
+    return df.select("raw_name", "b_raw_name", "b_cleaned", alt.alias("alt_cleaned"), "text_codes", "dims", words.alias("text_words"))
+
+
 def prepare_costing(costing: DataFrame, alt_keys: bool, fold: bool = False) -> DataFrame:
-    """``b_row, b_raw_name, b_cleaned, alt_cleaned, b_price, qty, codes, own_code, dims, words``."""
+    """``b_row, b_raw_name, b_cleaned, alt_cleaned, b_price, qty, codes, own_code, dims, words``.
+
+    Costing files repeat their descriptions, so texts are read once a distinct name and joined back.
+    """
     df = _with_code(text.fold_compatibility(costing, "raw_name") if fold else costing)
     qty = price_column(df, "raw_qty") if "raw_qty" in df.columns else F.lit(None).cast("double")
-    df = df.withColumn("b_price", price_column(df, "raw_price")).withColumn("qty", qty)
-    df = _identified(df.withColumn("raw_name", text.js_trim(F.coalesce("raw_name", F.lit("")))))
-    df = df.withColumn("b_cleaned", text.normalize_description(F.col("raw_name")))
-    alt = text.strip_leading_code(F.col("b_cleaned")) if alt_keys else F.lit(None).cast("string")
-    return df.select(
+    rows = df.select(
         F.col("row_num").cast("long").alias("b_row"),
-        F.col("raw_name").alias("b_raw_name"),
+        F.coalesce("raw_name", F.lit("")).alias("raw_name"),
+        price_column(df, "raw_price").alias("b_price"),
+        qty.alias("qty"),
+        F.nullif(text.js_trim(F.col("raw_code")), F.lit("")).alias("b_code"),
+        identity.part_code(F.col("raw_code")).alias("own_code"),
+    )
+    rows = settle(rows, "costing-rows")
+    named = named_items(rows.select("raw_name").distinct(), alt_keys)
+    own = F.filter(F.array("own_code"), lambda c: c.isNotNull())
+    return rows.join(named, "raw_name").select(
+        "b_row",
+        "b_raw_name",
         "b_cleaned",
-        alt.alias("alt_cleaned"),
+        "alt_cleaned",
         "b_price",
         "qty",
-        F.nullif(text.js_trim(F.col("raw_code")), F.lit("")).alias("b_code"),
-        "codes",
+        "b_code",
+        F.array_distinct(F.concat(own, "text_codes")).alias("codes"),
         "own_code",
         "dims",
-        identity.content_words(F.col("raw_name"), F.col("codes"), F.col("dims"), F.col("b_cleaned")).alias("words"),
+        identity.without_code_tokens(F.col("text_words"), own).alias("words"),
     )
 
 
@@ -146,7 +171,7 @@ def first_rows(keys: DataFrame) -> DataFrame:
 
 
 def code_hits(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Stage 0: ``a_id, b_row, code_pos, code, kind, sim, note``, one row for a claim and a costing row.
+    """Every pair of stage 0: ``a_id, b_row, code_pos, code, kind, sim, note``, one row for a claim and a costing row.
 
     The first of a claim's codes that reaches a costing row counts.  ``kind``: conflict if the
     words overlap too little; strong if either side has the code from its code column; weak
@@ -160,21 +185,105 @@ def code_hits(a: DataFrame, b: DataFrame) -> DataFrame:
     )
     first = Window.partitionBy("a_id", "b_row").orderBy("code_pos")
     hits = left.join(right, "code").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    hits = hits.withColumn("kind", hit_kind())
+    sim = similarity.engine_score(F.col("a_cleaned"), F.col("b_cleaned"))
+    note = hit_note(F.col("b_row"))
+    return hits.select("a_id", "b_row", "code_pos", "code", "kind", sim.alias("sim"), note.alias("note"))
+
+
+def hit_kind() -> Column:
+    """Of ``code, a_own, b_own, a_words, b_words``: strong, weak or conflict."""
     strong = F.coalesce(F.col("code") == F.col("b_own"), F.lit(False)) | F.coalesce(F.col("code") == F.col("a_own"), F.lit(False))
     overlap = identity.word_overlap(F.col("a_words"), F.col("b_words"))
-    hits = hits.withColumn("kind", F.when(overlap < identity.CONFLICT_OVERLAP, "conflict").when(strong, "strong").otherwise("weak"))
-    named = F.concat(F.lit("Part number "), F.col("code"))
-    note = F.when(
-        F.col("kind") == "conflict",
-        F.concat(named, F.lit(" also appears on B"), F.col("b_row").cast("string"), F.lit(' ("'), F.col("b_raw_name"), F.lit('") but the description conflicts — verify before accepting.')),
+    return F.when(overlap < identity.CONFLICT_OVERLAP, "conflict").when(strong, "strong").otherwise("weak")
+
+
+def hit_note(b_row: Column) -> Column:
+    """What to say of a hit (``code, kind, b_raw_name, a_dims, b_dims``); null for most."""
+    named, row = F.concat(F.lit("Part number "), F.col("code")), F.concat(F.lit("B"), b_row.cast("string"))
+    sizes = F.concat(F.array_join("a_dims", ", "), F.lit(" vs "), F.array_join("b_dims", ", "))
+    return F.when(
+        F.col("kind") == "conflict", F.concat(named, F.lit(" also appears on "), row, F.lit(' ("'), F.col("b_raw_name"), F.lit('") but the description conflicts — verify before accepting.'))
     ).when(
-        identity.sizes_differ(F.col("a_dims"), F.col("b_dims")),
-        F.concat(
-            named, F.lit(" matches B"), F.col("b_row").cast("string"), F.lit(" but dimensions differ ("), F.array_join("a_dims", ", "), F.lit(" vs "), F.array_join("b_dims", ", "), F.lit(") — verify size."),
-        ),
-    )
+        identity.sizes_differ(F.col("a_dims"), F.col("b_dims")), F.concat(named, F.lit(" matches "), row, F.lit(" but dimensions differ ("), sizes, F.lit(") — verify size."))
+    )
+
+
+#: Pairs of items that share a code and one task joins, about.
+HEAVY = 20_000_000
+
+
+def claim_items(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a_id, item`` of the claims with a code, and one row an item (named by its first claim) with its codes."""
+    coded = a.filter("gate is null and size(a_codes) > 0").withColumn("own", F.coalesce("own_code", F.lit("")))
+    items = coded.groupBy("a_raw_name", "own").agg(F.min("a_id").alias("item"))
+    members = coded.select("a_id", "a_raw_name", "own").join(items, ["a_raw_name", "own"]).select("a_id", "item")
+    shown = coded.select(F.col("a_id").alias("item"), "a_cleaned", "a_codes", F.col("words").alias("a_words"), F.col("dims").alias("a_dims"), F.col("own_code").alias("a_own"))
+    return members, shown.join(items.select("item"), "item")
+
+
+def costing_items(b: DataFrame) -> DataFrame:
+    """One row an item with a code: its codes, the number ``n`` of its rows and the first of them."""
+    coded = b.filter("size(codes) > 0").withColumn("own", F.coalesce("own_code", F.lit("")))
+    item = ["b_raw_name", "own"]
+    counts = coded.groupBy(*item).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*item).orderBy("b_row"))
+    firsts = coded.select(*item, "b_row").withColumn("place", place).filter(F.col("place") <= 2 * STORED)
+    firsts = firsts.groupBy(*item).agg(F.array_sort(F.collect_list("b_row")).alias("rows"))
+    listed = counts.join(firsts, item).select("n", "rows", F.get("rows", F.lit(0)).alias("b_row"))
+    shown = coded.select("b_row", "b_raw_name", "b_cleaned", F.col("codes").alias("b_codes"), F.col("words").alias("b_words"), F.col("dims").alias("b_dims"), F.col("own_code").alias("b_own"))
+    return shown.join(listed, "b_row").withColumnRenamed("b_row", "first_row")
+
+
+def item_hits(claims: DataFrame, costing: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of items that share a code, each once, by the claim's first code that reaches the other.
+
+    A code of very many pairs is dealt to tasks by the claim's item.
+    """
+    left = claims.select("*", F.posexplode("a_codes").alias("code_pos", "code"))
+    right = costing.select("*", F.explode("b_codes").alias("code"))
+    pairs = left.groupBy("code").agg(F.count("*").alias("l")).join(right.groupBy("code").agg(F.count("*").alias("r")), "code")
+    salts = settle(pairs.filter(F.col("l") * F.col("r") > heavy).select("code", F.ceil(F.col("l") * F.col("r") / heavy).cast("int").alias("salts")), "heavy-codes")
+    left = left.join(salts, "code", "left").withColumn("salt", F.pmod(F.xxhash64("item"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = right.join(salts, "code", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = left.join(right, ["code", "salt"])
+    first = F.get(F.filter("a_codes", lambda c: F.array_contains("b_codes", c)), F.lit(0))
+    return both.filter(first == F.col("code")).withColumn("kind", hit_kind())
+
+
+def code_stage(a: DataFrame, b: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Stage 0 for whole tables: what codes tell of each claim, and the rows it can list.
+
+    ``a_id, n_strong, n_weak, n_conflict, code_notes, more_notes`` (claims with a hit), and ``a_id,
+    b_row, kind, sim, code_pos, code``.  All hits are counted.  Of a claim, the ``2 * STORED`` best are
+    listed (it keeps ``STORED``, and as many may be its by name already) and ``STORED`` notes
+    are written; :func:`code_hits` has every pair.
+    """
+    members, claims = claim_items(a)
+    members, claims, costing = settle(members, "claim-members"), settle(claims, "claim-items"), settle(costing_items(b), "costing-items")
+    hits = item_hits(claims, costing, heavy)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    noted = (F.col("kind") == "conflict") | identity.sizes_differ(F.col("a_dims"), F.col("b_dims"))
+    counts = hits.groupBy("item").agg(*[of(k).alias(f"n_{k}") for k in ("strong", "weak", "conflict")], F.sum(F.when(noted, F.col("n")).otherwise(0)).alias("n_notes"))
+
+    first_notes = hits.filter(noted).select("item", "code_pos", "first_row", "rows", hit_note(F.lit("\0")).alias("note"))
+    first_notes = _first(first_notes, STORED, "code_pos", "first_row").select("item", "code_pos", "note", F.explode("rows").alias("b_row"))
+    first_notes = _first(first_notes, STORED, "code_pos", "b_row").select("item", "code_pos", "b_row", F.replace("note", F.lit("B\0"), F.concat(F.lit("B"), F.col("b_row").cast("string"))).alias("note"))
+    notes = first_notes.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("code_pos", "b_row", "note"))), lambda x: x["note"]).alias("code_notes"))
+    told = counts.join(notes, "item", "left").withColumn("more_notes", F.col("n_notes") - F.coalesce(F.size("code_notes"), F.lit(0))).drop("n_notes")
+
+    group = F.when(F.col("kind") == "strong", 0).when(F.col("kind") == "weak", 1).otherwise(2)
     sim = similarity.engine_score(F.col("a_cleaned"), F.col("b_cleaned"))
-    return hits.select("a_id", "b_row", "code_pos", "code", "kind", sim.alias("sim"), note.alias("note"))
+    best = hits.select("item", group.alias("grp"), (-sim).alias("unlike"), "code_pos", "code", "kind", "first_row", "rows")
+    best = _first(best, 2 * STORED, "grp", "unlike", "code_pos", "first_row").select("item", "grp", "unlike", "code_pos", "code", "kind", F.explode("rows").alias("b_row"))
+    best = _first(best, 2 * STORED, "grp", "unlike", "code_pos", "b_row").select("item", "b_row", "kind", (-F.col("unlike")).alias("sim"), "code_pos", "code")
+    return settle(members.join(told, "item").drop("item"), "code-counts"), settle(members.join(best, "item").drop("item"), "code-hits")
+
+
+def _first(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows of each item; tasks leave out what can't be among them before they shuffle."""
+    place = F.row_number().over(Window.partitionBy("item").orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).drop("place")
 
 
 def exact_hits(open_claims: DataFrame, keys: DataFrame) -> DataFrame:
@@ -216,17 +325,19 @@ def fuzzy_hits(open_claims: DataFrame, keys: DataFrame, review_floor: int) -> Da
     return open_claims.select("a_id", F.col("a_cleaned").alias("a_key")).join(ranked, "a_key").drop("a_key")
 
 
-def rank_candidates(hits: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
+def rank_candidates(a: DataFrame, b: DataFrame, hits: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
     """``a_id, pos, b_row, grp, sim, code``: accepted (0), weak (1), conflicting (2); at most ``STORED``.
 
-    An exact or fuzzy row that a weak code also reaches is accepted once and keeps the code.
+    An exact or fuzzy row that a weak code also reaches is accepted once and keeps the code.  Only
+    claims without a strong or conflicting hit have such rows, so a code both have is a weak one.
     """
-    weak = hits.filter("kind = 'weak'")
     none = F.lit(0).cast("long")
     by_name = exact.select("a_id", "b_row", F.lit(100).alias("sim"), F.col("key_rank").cast("long").alias("o1"), F.col("b_row").alias("o2"), none.alias("o3")).unionByName(
         fuzzy.select("a_id", "b_row", "sim", "o1", "o2", "o3")
     )
-    named = by_name.join(weak.select("a_id", "b_row", "code"), ["a_id", "b_row"], "left").withColumn("grp", F.lit(0))
+    codes = by_name.join(a.select("a_id", "a_codes"), "a_id").join(b.select("b_row", "codes"), "b_row")
+    shared = F.get(F.filter("a_codes", lambda c: F.array_contains("codes", c)), F.lit(0))
+    named = codes.select("a_id", "b_row", "sim", "o1", "o2", "o3", shared.alias("code"), F.lit(0).alias("grp"))
     coded = hits.join(by_name.select("a_id", "b_row"), ["a_id", "b_row"], "left_anti")
     group = F.when(F.col("kind") == "strong", 0).when(F.col("kind") == "weak", 1).otherwise(2)
     coded = coded.select("a_id", "b_row", "sim", F.col("code_pos").cast("long").alias("o1"), F.col("b_row").alias("o2"), none.alias("o3"), "code", group.alias("grp"))
@@ -235,9 +346,9 @@ def rank_candidates(hits: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> Data
     return ranked.select("a_id", "pos", "b_row", "grp", "sim", "code")
 
 
-def open_after_codes(a: DataFrame, hits: DataFrame) -> DataFrame:
+def open_after_codes(a: DataFrame, told: DataFrame) -> DataFrame:
     """``a_id, a_cleaned`` of the claims that no code decides: those the exact stage works on."""
-    decided = hits.filter("kind <> 'weak'").select("a_id").distinct()
+    decided = told.filter("n_strong > 0 or n_conflict > 0").select("a_id")
     return a.filter("gate is null").select("a_id", "a_cleaned").join(decided, "a_id", "left_anti")
 
 
@@ -247,43 +358,25 @@ def open_after_names(open_claims: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def match_stages(a: DataFrame, b: DataFrame, review_floor: int) -> tuple[DataFrame, DataFrame]:
-    """The code hits and the ranked candidates of prepared claims and costing rows.
+    """What codes tell of prepared claims and costing rows, and the ranked candidates.
 
     Each stage reads what the stages before it wrote, and only works on the claims that they
     left open.
     """
     keys = settle(description_keys(b), "description-keys")
-    hits = settle(code_hits(a, b), "code-hits")
-    open_claims = open_after_codes(a, hits)
+    told, hits = code_stage(a, b)
+    open_claims = open_after_codes(a, told)
     exact = settle(exact_hits(open_claims, first_rows(keys)), "exact-hits")
     left_open = open_after_names(open_claims, exact)
     fuzzy = fuzzy_hits(settle(left_open, "open-claims"), keys, review_floor)
-    return hits, settle(rank_candidates(hits, exact, fuzzy), "candidates")
+    return told, settle(rank_candidates(a, b, hits, exact, fuzzy), "candidates")
 
 
-def match(claims: DataFrame, costing: DataFrame, settings: Settings = Settings(), fold: bool = False) -> DataFrame:
-    """One row a claim: status, method, score, candidates, the chosen one, prices and notes.
-
-    ``fold`` also folds Unicode compatibility characters, for text that can hold them.
-    """
-    mode = resolve_mode(claims, settings)
-    a = settle(prepare_claims(claims, mode, settings.code_pattern, fold), "claims")
-    b = settle(prepare_costing(costing, alt_keys=mode == "firstToken", fold=fold), "costing")
-    hits, ranked = match_stages(a, b, settings.review_floor)
-    return classify(a, b, hits, ranked)
-
-
-def classify(a: DataFrame, b: DataFrame, hits: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Status of each claim from its candidates; see :func:`match`."""
+def classify(a: DataFrame, b: DataFrame, told: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row a claim: status, method, score, candidates, the chosen one, prices and notes."""
     detail = b.select("b_row", "b_raw_name", "b_cleaned", "b_price")
     candidate = F.struct("pos", "grp", "b_row", F.col("b_raw_name").alias("raw_name"), F.col("b_cleaned").alias("cleaned"), F.col("b_price").alias("price"), F.col("sim").alias("similarity"), F.col("code").alias("matched_code"))
     lists = ranked.join(detail, "b_row").groupBy("a_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
-    told = hits.groupBy("a_id").agg(
-        F.count_if(F.col("kind") == "strong").alias("n_strong"),
-        F.count_if(F.col("kind") == "weak").alias("n_weak"),
-        F.count_if(F.col("kind") == "conflict").alias("n_conflict"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("code_pos", "b_row", "note")))), lambda x: x["note"]).alias("code_notes"),
-    )
     df = a.join(lists, "a_id", "left").join(told, "a_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     df = df.withColumn("first", F.get("candidates", F.lit(0))).withColumn("top", F.when(F.col("first.grp") <= 1, F.col("first")))
@@ -306,6 +399,7 @@ def classify(a: DataFrame, b: DataFrame, hits: DataFrame, ranked: DataFrame) ->
             F.array(F.when(F.col("status") == "CONFIRMED", F.concat(F.lit("Identity by part number: "), F.array_join("a_codes", ", "), F.lit(".")))),
             F.array(F.col("gate")),
             F.coalesce(F.col("code_notes"), F.array().cast("array<string>")),
+            F.array(F.when(F.col("more_notes") > 0, F.concat(F.lit("And "), F.col("more_notes").cast("string"), F.lit(" further costing rows of these part numbers to verify.")))),
             F.array(
                 F.when((F.col("status") == "CONFLICT"), F.concat(count.cast("string"), rows, F.lit(" this part number but describe a different product — query the insured."))),
                 F.when((F.col("status") == "CONFIRMED") & (count > 0), F.concat(count.cast("string"), further, F.lit(" the part number with a conflicting description — see the notes above."))),

@@ -308,6 +308,7 @@ SELECT total, first_like, first_distinct, last_like, last_distinct, CASE WHEN to
     "engine_score": f"WITH {_NEXT} SELECT k, {engine('a', 'b')} AS engine, CAST(CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN {dice('a', 'b')} ELSE greatest(0, {dice('a', 'b')} - {penalty('a', 'b')}) END AS INTEGER) AS plain FROM pairs",
     "token_idf": f"WITH {PREPARED}, {IDF} SELECT token, df, idf_micro FROM idf",
     "code_join": f"WITH {PREPARED} SELECT a_id, b_row, code, kind, sim FROM hits",
+    "code_counts": f"WITH {PREPARED} SELECT a_id, CAST(count(*) FILTER (kind = 'strong') AS BIGINT) AS n_strong, CAST(count(*) FILTER (kind = 'weak') AS BIGINT) AS n_weak, CAST(count(*) FILTER (kind = 'conflict') AS BIGINT) AS n_conflict FROM hits GROUP BY a_id",
     "exact_stored": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN first_rows ON cleaned = key WHERE live",
     "exact_join": f"WITH {PREPARED} SELECT a_id, b_row, key_rank FROM a JOIN keys ON cleaned = key WHERE live",
     "fuzzy_topk": f"WITH {PREPARED}, wanted AS (SELECT cleaned FROM a WHERE live), {fuzzy_cte('wanted')} SELECT a_key, key, pool_pos, sim FROM scores",
@@ -318,7 +319,9 @@ wanted AS (SELECT cleaned FROM open1 WHERE cleaned NOT IN (SELECT key FROM keys)
     "status_counts": f"WITH {RESULTS} SELECT s.status, count(r.a_id) AS items FROM {_STATUS_ROWS} s LEFT JOIN r ON r.status = s.status GROUP BY s.status",
     "candidate_ranking": f"WITH {RESULTS} SELECT a_id, pos, b_row, sim AS similarity, code AS matched_code FROM cand",
     "match_notes": f"""WITH {RESULTS},
-hit_notes AS (SELECT h.a_id, string_agg('Part number ' || code || ' also appears on B' || CAST(h.b_row AS VARCHAR) || ' ("' || b.raw_name || '") but the description conflicts — verify before accepting.', ' | ' ORDER BY code_pos, h.b_row) AS t FROM hits h JOIN b USING (b_row) WHERE kind = 'conflict' GROUP BY h.a_id)
+noted AS (SELECT h.*, b.raw_name, row_number() OVER (PARTITION BY h.a_id ORDER BY code_pos, h.b_row) AS k, count(*) OVER (PARTITION BY h.a_id) AS n FROM hits h JOIN b USING (b_row) WHERE kind = 'conflict'),
+hit_notes AS (SELECT a_id, string_agg('Part number ' || code || ' also appears on B' || CAST(b_row AS VARCHAR) || ' ("' || raw_name || '") but the description conflicts — verify before accepting.', ' | ' ORDER BY k)
+  || CASE WHEN any_value(n) > {STORED} THEN ' | And ' || CAST(any_value(n) - {STORED} AS VARCHAR) || ' further costing rows of these part numbers to verify.' ELSE '' END AS t FROM noted WHERE k <= {STORED} GROUP BY a_id)
 SELECT r.a_id, concat_ws(' | ',
   CASE WHEN status = 'CONFIRMED' THEN 'Identity by part number: ' || array_to_string(codes, ', ') || '.' END,
   CASE WHEN NOT live THEN 'Row does not look like an item (a total/footer line or numbers only) — matching skipped.' END,

@@ -167,6 +167,13 @@ def code_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.code_hits(c.a, c.b).select("a_id", "b_row", "code", "kind", "sim")
 
 
+@query
+def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many costing rows codes reach for each claim, by kind: counted by items, no pair is listed."""
+    c = _comparison(spark, sf_dir)
+    return matching.code_stage(c.a, c.b)[0].select("a_id", "n_strong", "n_weak", "n_conflict")
+
+
 @query
 def exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole equi-join: every costing row of a claim's description."""
@@ -194,7 +201,7 @@ def fuzzy_topk_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fuzzy stage: every claim that codes and exact descriptions leave open."""
     c = _comparison(spark, sf_dir)
     keys = matching.description_keys(c.b)
-    open_claims = matching.open_after_codes(c.a, matching.code_hits(c.a, c.b))
+    open_claims = matching.open_after_codes(c.a, matching.code_stage(c.a, c.b)[0])
     left_open = matching.open_after_names(open_claims, matching.exact_hits(open_claims, keys))
     wanted = settle(left_open.select(F.col("a_cleaned").alias("a_key")).distinct(), "open-keys")
     return matching.fuzzy_scores(wanted, keys, 60).select("a_key", "key", "pool_pos", "sim")

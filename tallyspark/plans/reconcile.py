@@ -41,8 +41,8 @@ class Comparison:
 
     @cached_property
     def stages(self) -> tuple[DataFrame, DataFrame]:
-        hits, ranked = matching.match_stages(self.a, self.b, self.settings.review_floor)
-        return hits, ranked
+        """What codes tell of each claim, and its ranked candidates."""
+        return matching.match_stages(self.a, self.b, self.settings.review_floor)
 
     @cached_property
     def results(self) -> DataFrame:
