@@ -87,6 +87,8 @@ def test_token_splitter_equals_the_librarys_on_every_code_point():
         text = "".join(f"a{c}b 1{c}2 .{c}! {c} {c}{c}x" for c in chars if not split.unassigned.match(c))
         want = [text[a:b] for _, (a, b) in own(text)] if text else []
         assert split.pattern.findall(text) == want, hex(low)
+        assert low >= 0x10000 or split.basic.findall(text) == want, hex(low)
+        assert all(bool(split.beyond.match(c)) == (low >= 0x10000 or bool(split.unassigned.match(c))) for c in chars)
     assert split.unassigned.match("͸") and not split.unassigned.match("é")
 
 
