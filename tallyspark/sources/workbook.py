@@ -1,4 +1,4 @@
-"""Sheets as tables of cells, from typed tables, delimited text and spreadsheets."""
+"""Sheets as tables of cells, from typed tables and spreadsheets; delimited text is :mod:`delimited`'s."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tallyspark.functions import text
 from tallyspark.operators.infer import Mapping, is_filled
+from tallyspark.sources.delimited import SHEET_SCHEMA
 
-SHEET_SCHEMA = "sheet string, row_num int, cells array<struct<kind:string,s:string,d:double>>"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
@@ -40,53 +40,30 @@ def sheet_of_table(df: DataFrame, row_num: str, columns: list[str]) -> DataFrame
     return df.select(F.col(row_num).cast("int").alias("row_num"), cells.alias("cells"))
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """A delimited file as a sheet: every line is a row and keeps its number.
-
-    Lines are numbered within one file, which is read as a whole by one task; the layout of a
-    single sheet asks for it.  Large tables come typed, through ``spark.read``.
-    """
-    import csv
-
-    def rows(files):
-        for part in files:
-            for content in part.column("content").to_pylist():
-                lines = csv.reader(io.StringIO(content.decode("utf-8-sig")), delimiter=separator)
-                yield _batch([("", i, [_typed(c) for c in line]) for i, line in enumerate(lines, 1)])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, SHEET_SCHEMA)
-
-
-def _typed(raw: str) -> dict:
-    if raw == "":
-        return {"kind": "null", "s": None, "d": None}
-    if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", raw):
-        return {"kind": "num", "s": raw, "d": float(raw)}
-    return {"kind": "str", "s": raw, "d": None}
-
-
-def _batch(rows: list[tuple]):
+def _batch(file: str, rows: list[tuple]):
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.string()), ("d", pa.float64())]))
     columns = list(zip(*rows)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], kind)], ["sheet", "row_num", "cells"])
+    arrays = [pa.array([file] * len(rows), pa.string()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], kind)]
+    return pa.RecordBatch.from_arrays(arrays, ["file", "sheet", "row_num", "cells"])
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets of ``.xlsx`` files: ``sheet, row_num, cells``; one file is one task's.
+    """All sheets of ``.xlsx`` files: ``file, sheet, row_num, cells``; one file is one task's.
 
-    Blank rows keep their numbers.  The files are read through Spark, so any store will do.
+    Blank rows keep their numbers.  The files are read through Spark, so any store will do.  A sheet
+    has 1,048,576 rows at most by its format; what one task holds is one file.
     """
 
     def rows(files):
         for part in files:
-            for content in part.column("content").to_pylist():
+            for file, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
                 for name, table in parse_xlsx(content):
                     for at in range(0, len(table), 5000):
-                        yield _batch([(name, i, cells) for i, cells in table[at : at + 5000]])
+                        yield _batch(file, [(name, i, cells) for i, cells in table[at : at + 5000]])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, SHEET_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, SHEET_SCHEMA)
 
 
 def _column_number(reference: str) -> int:
