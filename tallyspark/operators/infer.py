@@ -153,6 +153,16 @@ def pick_qty(columns: list[SheetColumn]) -> int | None:
     return next((c.index for c in columns if QTY_WORDS.search(c.label)), None)
 
 
+def pick_roles(columns: list[SheetColumn], header_row: int) -> Mapping:
+    """Name, then code, then price; the code once more where the price took its column."""
+    name = pick_name(columns)
+    code = pick_code(columns, name, -1)
+    price = pick_price(columns, name, code)
+    if code is None or code == price:
+        code = pick_code(columns, name, price)
+    return Mapping(header_row, name, price, code, pick_qty(columns))
+
+
 def analyze_sheet(sheet: DataFrame, header_row: int | None = None) -> AnalyzedSheet:
     """Header, column profiles and mapping of a sheet."""
     at = detect_header_row(sheet) if header_row is None else header_row
@@ -165,13 +175,8 @@ def analyze_sheet(sheet: DataFrame, header_row: int | None = None) -> AnalyzedSh
         label = labels[i] if i < len(labels) and labels[i] else f"Column {text.column_letters(i)}"
         r = profiles.get(i)
         columns.append(SheetColumn(i, label, tuple(r["samples"]), r["strings"] / r["filled"], r["numbers"] / r["filled"]) if r else SheetColumn(i, label))
-    name = pick_name(columns)
-    code = pick_code(columns, name, -1)
-    price = pick_price(columns, name, code)
-    if code is None or code == price:
-        code = pick_code(columns, name, price)
-    mapping = Mapping(at, name, price, code, pick_qty(columns))
-    named = F.get("cells", F.lit(name))
+    mapping = pick_roles(columns, at)
+    named = F.get("cells", F.lit(mapping.name_col))
     rows = sheet.filter((F.col("row_num") > at + 1) & F.coalesce(is_filled(named), F.lit(False))).count()
     return AnalyzedSheet(tuple(columns), mapping, rows)
 

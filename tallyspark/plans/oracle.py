@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyspark.functions.identity import PACK_WORDS, STOP_WORDS
 from tallyspark.functions.text import FOOTERS, LABEL_WORDS, UNIT_WORDS
-from tallyspark.operators.infer import CURRENCIES
+from tallyspark.operators.infer import CODE_WORDS, CURRENCIES, DATE_WORDS, NAME_WORDS, PRICE_WORDS, QTY_WORDS, STRONG_CODE_WORDS
 from tallyspark.plans.settings import FUZZY_POOL, STATUSES, STORED
 from tallyspark.plans.tables import CLAIMS, COSTING
 
@@ -417,3 +417,40 @@ SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS pos, hint FROM x W
 ORACLE_SQL["code_pattern"] = f"""WITH m AS ({ORACLE_SQL["code_mode_detect"]}), {SIDES},
 n AS (SELECT row_num, mode, trim(raw_name) AS raw, CASE mode WHEN 'firstToken' THEN {strip("trim(raw_name)", "firstToken")} WHEN 'lastToken' THEN {strip("trim(raw_name)", "lastToken")} ELSE trim(raw_name) END AS stripped FROM claims, m WHERE trim(raw_name) <> '')
 SELECT mode, 'codes: ' || CASE mode WHEN 'firstToken' THEN 'first token' ELSE 'last token' END AS label, {_SNIP.format("raw")}, {_SNIP.format("stripped")} FROM n WHERE stripped <> raw AND stripped <> '' ORDER BY row_num LIMIT 1"""
+
+_Q = lambda c: f"coalesce({c}, '')"
+#: The claims' files as cells: the layouts of ``tables.BOOKS``, row by row.
+_CELLS = f"""{SIDES},
+rows AS (SELECT *, (row_num - 2) // 500 AS book, row_number() OVER (PARTITION BY (row_num - 2) // 500 ORDER BY row_num) AS n, CAST(CAST(raw_qty AS INTEGER) AS VARCHAR) AS qty,
+  CAST(46000 + (row_num - 2) % 900 AS VARCHAR) AS serial, CASE (row_num - 2) % 3 WHEN 0 THEN 'seen,' || chr(10) || 'the "old" rack' WHEN 1 THEN 'ok' ELSE '' END AS remark FROM claims),
+heads AS (SELECT DISTINCT book, unnest(CASE book % 3 WHEN 0 THEN [1] WHEN 1 THEN [1, 2, 3] ELSE [1] END) AS row_num FROM rows),
+sheet AS (SELECT book, n + CASE book % 3 WHEN 1 THEN 3 ELSE 1 END AS row_num, CASE book % 3 WHEN 0 THEN [raw_name, {_Q("raw_price")}, {_Q("raw_code")}, {_Q("qty")}, remark]
+    WHEN 1 THEN [{_Q("raw_code")}, {_Q("qty")}, raw_name, {_Q("raw_price")}, remark] ELSE [remark, serial, {_Q("raw_price")}, raw_name, {_Q("raw_code")}] END AS cells FROM rows
+  UNION ALL SELECT book, row_num, CASE WHEN book % 3 = 0 THEN ['Item Name', 'Unit Price', 'Part No.', 'Qty', 'Remarks'] WHEN book % 3 = 2 THEN ['Remarks', 'Fecha', 'Precio', 'Descripci\u00f3n', 'C\u00f3digo']
+    WHEN row_num = 1 THEN ['Stock of yard seven', '', '', '', ''] WHEN row_num = 2 THEN [] ELSE ['SKU', 'Pcs', 'Descripci\u00f3n', 'Cost (USD)', 'Seen'] END FROM heads),
+cells AS (SELECT book, row_num, unnest(cells) AS s, generate_subscripts(cells, 1) - 1 AS pos FROM sheet),
+kinds AS (SELECT book, row_num, pos, nullif(s, '') AS s, CASE WHEN s = '' THEN 'null' WHEN regexp_full_match(s, '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN 'num' ELSE 'str' END AS kind FROM cells)"""
+ORACLE_SQL["sheet_cells"] = f"WITH {_CELLS} SELECT CAST(book AS INTEGER) AS book, CAST(row_num AS INTEGER) AS row_num, CAST(pos AS INTEGER) AS pos, kind, s FROM kinds"
+
+_HAS = lambda words, x="label": f"CAST(regexp_matches({x}, '{words}') AS INTEGER)"
+ORACLE_SQL["sheet_roles"] = f"""WITH {_CELLS},
+filled AS (SELECT *, strip_accents(lower(trim(s))) AS label, s AS raw_price FROM kinds WHERE kind <> 'null' AND trim(s) <> ''),
+{price_cte("priced", "(SELECT * FROM filled WHERE row_num <= 20)", "book, row_num, kind, label, s")},
+scores AS (SELECT book, row_num, count(*) FILTER (kind = 'str') + 3 * count(*) FILTER (kind = 'str' AND (regexp_matches(label, '{NAME_WORDS.pattern}') OR regexp_matches(label, '{PRICE_WORDS.pattern}')))
+  - 2 * count(*) FILTER (price IS NOT NULL AND regexp_matches(trim(s), '^[0-9(£$€¥₱\\s.,-]+$')) AS score FROM priced GROUP BY book, row_num HAVING count(*) >= 2),
+header AS (SELECT book, arg_max(row_num, row(score, -row_num)) AS h FROM scores GROUP BY book),
+width AS (SELECT book, h, unnest(range(5)) AS pos FROM header),
+profile AS (SELECT f.book, pos, count(*) AS n, count(*) FILTER (kind = 'num' OR (regexp_matches(s, '[0-9]') AND regexp_matches(trim(s), '{_SHAPE}', 'i'))) AS numbers,
+  list(length(trim(s)) ORDER BY row_num)[1:3] AS long FROM filled f JOIN header USING (book) WHERE row_num > h AND row_num <= h + 300 GROUP BY f.book, pos),
+col AS (SELECT w.book, w.h, w.pos, coalesce(f.label, '') AS label, coalesce(numbers / CAST(n AS DOUBLE), 0) AS num, coalesce((n - numbers) / CAST(n AS DOUBLE), 0) AS str, coalesce(list_avg(long), 0) AS long
+  FROM width w LEFT JOIN filled f ON f.book = w.book AND f.pos = w.pos AND f.row_num = w.h LEFT JOIN profile p ON p.book = w.book AND p.pos = w.pos),
+a AS (SELECT book, any_value(h) AS h, arg_max(pos, row(3 * str + 5 * {_HAS(NAME_WORDS.pattern)} + least(long, 40) / 20, -pos)) FILTER (str >= 0.4) AS name_col,
+  min(pos) FILTER (regexp_matches(label, '{QTY_WORDS.pattern}')) AS qty_col FROM col GROUP BY book),
+c AS (SELECT col.book, arg_max(pos, row(2 * greatest(str, num) + 3 * {_HAS(STRONG_CODE_WORDS.pattern)}, -pos)) FILTER (pos <> name_col AND str + num > 0 AND regexp_matches(label, '{CODE_WORDS.pattern}')) AS code_col
+  FROM col JOIN a USING (book) GROUP BY col.book),
+p AS (SELECT col.book, arg_max(pos, row(3 * num + 5 * {_HAS(PRICE_WORDS.pattern)} - 6 * {_HAS(DATE_WORDS.pattern)}, -pos)) FILTER (num >= 0.3 AND pos <> name_col AND pos <> coalesce(code_col, -1)) AS price_col
+  FROM col JOIN a USING (book) JOIN c USING (book) GROUP BY col.book),
+d AS (SELECT a.book, count(*) AS data_rows FROM a JOIN filled f ON f.book = a.book AND f.pos = a.name_col AND f.row_num > a.h GROUP BY a.book)
+SELECT CAST(book AS INTEGER) AS book, CAST(h - 1 AS INTEGER) AS header_row, CAST(name_col AS INTEGER) AS name_col, CAST(price_col AS INTEGER) AS price_col, CAST(code_col AS INTEGER) AS code_col, CAST(qty_col AS INTEGER) AS qty_col,
+  data_rows, name_col <> price_col AND data_rows > 0 AS runnable FROM a JOIN c USING (book) JOIN p USING (book) JOIN d USING (book)"""
+ORACLE_SQL["run_from_files"] = f"WITH {RESULTS} SELECT raw_name AS a_raw_name, a_price, status, method, score, b_row FROM r"

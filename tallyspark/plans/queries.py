@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
-from tallyspark.operators import coverage, health, infer, matching, report, review, valuation, views
+from tallyspark.operators import coverage, health, infer, matching, report, review, sheets, valuation, views
 from tallyspark.plans import tables
 from tallyspark.plans.reconcile import Comparison
 from tallyspark.plans.settings import Settings
@@ -492,6 +492,35 @@ def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(getattr(m, c)).cast("int").alias(c) for c in ("header_row", "name_col", "price_col", "code_col", "qty_col")])
 
 
+def _book(file: Column) -> Column:
+    return F.regexp_extract(file, "book=([0-9]+)", 1).cast("int")
+
+
+@query
+def sheet_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, columns and rows of every file of claims, in one job."""
+    roles = sheets.sheet_roles(tables.claim_sheets(spark, sf_dir))
+    return roles.select(_book(F.col("file")).alias("book"), "header_row", "name_col", "price_col", "code_col", "qty_col", "data_rows", "runnable")
+
+
+@query
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of the files of claims, with their kind: quoted line ends, separators and quotes inside."""
+    cells = tables.claim_sheets(spark, sf_dir)
+    each = cells.select(_book(F.col("file")).alias("book"), "row_num", F.posexplode("cells").alias("pos", "c"))
+    return each.select("book", "row_num", "pos", "c.kind", "c.s")
+
+
+@query
+def run_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole comparison whose claims come from files: cells, roles, rows, matching."""
+    cells = settle(tables.claim_sheets(spark, sf_dir), "claim-cells")
+    rows = sheets.sheet_rows(cells, sheets.sheet_roles(cells))
+    numbered = rows.withColumn("row_num", _book(F.col("file")).cast("long") * tables.BOOK_ROWS * 2 + F.col("row_num"))
+    r = Comparison(settle(numbered, "claims-of-files"), tables.costing(spark, sf_dir), Settings()).results
+    return r.select("a_raw_name", "a_price", "status", "method", "score", F.col("chosen.b_row").alias("b_row"))
+
+
 @query
 def sheet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows below the header: the limit is the preview."""

@@ -8,7 +8,13 @@ several ways.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.sources.delimited import read_delimited
+from tallyspark.sources.shared import shared_dir
 
 _PART = "p_type || ' ' || p_name || ' ' || CAST(p_size AS STRING) || 'mm'"
 _CODE = "'BR-' || lpad(CAST(p_partkey AS STRING), 6, '0') || 'B' || substr(p_brand, 7)"
@@ -85,3 +91,44 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = spark.sparkContext.defaultParallelism
     # What follows is heavy a row: a table of fewer files than tasks is dealt out first.
     return spark.sql(CLAIMS, part=part.repartition(tasks) if len(part.inputFiles()) < tasks else part)
+
+
+#: Claims of one file.
+BOOK_ROWS = 500
+# Three layouts of files: lines above the data, and the columns.
+BOOKS = (
+    (["Item Name,Unit Price,Part No.,Qty,Remarks"], ("raw_name", "raw_price", "raw_code", "qty", "remark")),
+    (["Stock of yard seven,,,,", "", "SKU,Pcs,Descripci\u00f3n,Cost (USD),Seen"], ("raw_code", "qty", "raw_name", "raw_price", "remark")),
+    (["Remarks,Fecha,Precio,Descripci\u00f3n,C\u00f3digo"], ("remark", "serial", "raw_price", "raw_name", "raw_code")),
+)
+
+
+def claim_files(spark: SparkSession, sf_dir: str) -> str:
+    """The claims as delimited files below the shared folder, ``BOOK_ROWS`` each, in three layouts; their folder.
+
+    Names stand in quotes, remarks hold line ends and quotes, and one layout has a column of date serials.
+    """
+    k = F.col("row_num") - 2
+    rows = claims(spark, sf_dir).withColumn("book", F.floor(k / BOOK_ROWS).cast("int")).withColumn("kind", F.col("book") % len(BOOKS))
+    rows = rows.withColumn("qty", F.col("raw_qty").cast("int").cast("string")).withColumn("serial", (46000 + k % 900).cast("string"))
+    rows = rows.withColumn("remark", F.when(k % 3 == 0, F.lit('seen,\nthe "old" rack')).when(k % 3 == 1, F.lit("ok")))
+
+    def quoted(c: str) -> Column:
+        return F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
+
+    line = F.when(F.lit(False), "")
+    heads = F.when(F.lit(False), F.array(F.lit("")))
+    for i, (head, columns) in enumerate(BOOKS):
+        line = line.when(F.col("kind") == i, F.concat_ws(",", *[quoted(c) for c in columns]))
+        heads = heads.when(F.col("kind") == i, F.array(*[F.lit(h) for h in head]))
+    body = rows.select("book", F.col("row_num").alias("at"), F.lit(0).alias("nth"), line.alias("line"))
+    tops = rows.select("book", "kind").distinct().select("book", F.lit(-1).cast("long").alias("at"), F.posexplode(heads).alias("nth", "line"))
+    folder = f"{shared_dir(spark)}/claim-files-{uuid.uuid4().hex}"
+    ordered = body.unionByName(tops).repartition("book").sortWithinPartitions("book", "at", "nth")
+    ordered.select("book", F.col("line").alias("value")).write.partitionBy("book").text(folder)
+    return folder
+
+
+def claim_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims' files read back as cells."""
+    return read_delimited(spark, claim_files(spark, sf_dir))
