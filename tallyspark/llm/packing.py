@@ -26,8 +26,6 @@ CAPACITY, END_ID = 1024, 2
 SLACK = 4
 #: Items a partition packs in a round, and pieces for each of them on average, at most.
 ITEMS_PER_TASK, PIECES_AN_ITEM = 50_000, 4
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN = f"used int, members array<struct<{', '.join(c.replace(' ', ':', 1) for c in PIECE.split(', '))}>>"
@@ -126,7 +124,7 @@ def _packer(capacity: int):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """Pieces -> the same with ``sequence_id, offset``; no sequence holds over ``capacity`` tokens.
 
-    Rounds: items are dealt to ``items / items_per_task`` partitions by a hash, each packs
+    Rounds: items are dealt in turn to ``items / items_per_task`` partitions, each packs
     best-fit and emits nearly full bins; underfull bins are the items of the next round, on
     as many partitions as they and their pieces need, until one partition has packed what is left.
     Where a round doesn't halve the partitions, lengths fit badly: items are dealt once by
@@ -146,11 +144,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
     while True:
         if tasks == 1:
             dealt = open_.coalesce(1)
-        elif by_length:  # an item and what would fill its bin have the same key
-            dealt = open_.repartitionByRange(tasks, F.least(F.col("used"), capacity - F.col("used")), F.xxhash64("members"))
+        elif by_length:  # an item and what would fill its bin have the same key; the number deals out rows alike
+            numbered = open_.withColumn("at", F.xxhash64(F.monotonically_increasing_id()))
+            dealt = numbered.repartitionByRange(tasks, F.least(F.col("used"), capacity - F.col("used")), "at")
         else:
-            dealt = open_.repartition(tasks, F.xxhash64("members"))
-        packed = settle(dealt.mapInArrow(_packer(capacity), BIN), "packed")
+            dealt = open_.repartition(tasks)
+        packed = settle(dealt.select("used", "members").mapInArrow(_packer(capacity), BIN), "packed")
         if tasks == 1:
             full.append(packed)
             break
@@ -177,7 +176,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     """``doc_id, text`` -> one row a piece with its sequence and offset.
 
     Null and empty texts are documents of one token (``end_id``).  Repeated rows are packed
-    as often as they occur; an empty table gives an empty result; other columns are ignored.
+    as often as they occur; a null doc_id stays null; texts of any length are read whole; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
     pieces = settle(tokenise(docs, capacity, end_id, vocabulary), "pieces")
     return pack_pieces(pieces, capacity)
