@@ -70,17 +70,19 @@ def mix(
     size.  After the prefix of the draw, one more document a source may enter: the one
     whose size is nearest to what is still missing, if that brings the source nearer.
 
-    Null or empty text: size 0, taken 0.  A null source is a source of its own.  Repeated
-    rows are separate documents that share a key; an empty table gives an empty result.
-    Other columns are ignored.
+    Null or empty text: size 0, taken 0.  A null source is a source of its own.  Rows without
+    an id are drawn by their text.  Repeated rows are separate documents that share a key, so
+    a task holds those of one key; an empty table gives an empty result.  Texts of any length
+    are counted whole.  Other columns are ignored, whatever their names.
     """
-    named = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    named = docs.select("doc_id", "source", unnamed.alias("unnamed"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
     # A uniform number from the id: (0, 1), the same in every run.
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source"), 11) + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "unnamed"), 11) + 0.5) / float(1 << 53)
     # The exponential key; the draw takes the smallest first.
     key = F.greatest(-F.log(uniform) / F.col("weight"), F.lit(1e-300))
     step = F.floor(F.log2(F.col("key")) * STEPS).cast("int")
-    sized = settle(named.withColumn("key", key).withColumn("step", step).drop("weight"), "mix-sizes")
+    sized = settle(named.withColumn("key", key).withColumn("step", step).drop("weight", "unnamed"), "mix-sizes")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     sources = source_targets(totals, weights, max_epochs).join(totals.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
