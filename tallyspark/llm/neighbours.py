@@ -165,6 +165,16 @@ def _rerank(k: int):
     return search
 
 
+def in_range(rows: DataFrame) -> DataFrame:
+    """Very large and very small vectors of doubles, by a power of two nearer to 1."""
+    if rows.schema["v"].dataType.elementType.typeName() != "double":
+        return rows
+    most = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    scale = F.pow(F.lit(2.0), -F.greatest(F.floor(F.log2(most)), F.lit(-1000)))
+    far = (most > 0) & ~most.between(1e-100, 1e100)
+    return rows.withColumn("v", F.when(far, F.transform("v", lambda x: x * scale)).otherwise(F.col("v")))
+
+
 def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOCK) -> DataFrame:
     """``vec_id, embedding`` -> ``query_id, rank, vec_id, score`` for ids divisible by ``every_nth``.
 
@@ -174,10 +184,11 @@ def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOC
     smaller id; an empty table gives an empty result.  Other columns aren't read.  The centre is
     the mean of all vectors' directions.
 
-    Codes travel once for each group of queries; original vectors do so to be reranked, and of a
-    block only where a query's bound, over all blocks, leaves a member of it possible.
+    Codes travel once for each group of queries, and so do the original vectors, of which those are
+    reranked that a query's bound, over all blocks, leaves possible.  Vectors whose squares
+    would leave the range of doubles are scaled by a power of two, which no cosine feels.
     """
-    rows = vectors(table)
+    rows = in_range(vectors(table))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows, dim = same_length(rows.filter((norm > 0) & (norm < float("inf"))))
     if not dim:
