@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum(F.col("copies").cast("long")).alias("all"), F.count("*").alias("rows"))
     taken = settle(taken, "taken")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))
-    chosen = docs.select(*COLUMNS, word_count(F.col("text")).alias("size")).join(taken.filter("most > 0"), same)
+    chosen = docs.select(*COLUMNS, word_count(F.col("text")).alias("size")).join(taken.filter("most > 0").hint("merge"), same)  # as many rows as documents
     alike = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc(mixing.quality_weight(F.col("text"))), F.xxhash64("text", "lang", "n_chars"))
     more = F.row_number().over(alike) <= F.col("all") - F.col("rows") * F.col("least")
     even = chosen.filter("least = most").withColumn("copies", F.col("least"))
