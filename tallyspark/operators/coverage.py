@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import similarity, text
 from tallyspark.functions.money import ext_amount
 from tallyspark.plans.settings import PAIRED
+from tallyspark.sources.shared import settle
 
 
 def support_links(results: DataFrame) -> DataFrame:
@@ -18,19 +19,12 @@ def support_links(results: DataFrame) -> DataFrame:
 
 
 def unmatched_costing(costing: DataFrame, results: DataFrame) -> DataFrame:
-    """``b_row, name, price, qty, extended`` of costing rows that no established claim refers to.
-
-    Order them by :func:`unmatched_order` to list the most valuable first.
-    """
+    """``b_row, name, price, qty, extended`` of costing rows that no established claim refers to."""
     used = support_links(results).select("b_row").distinct()
     left = costing.join(used, "b_row", "left_anti")
     return left.select("b_row", F.col("b_raw_name").alias("name"), F.col("b_price").alias("price"), "qty", ext_amount(F.col("qty"), F.col("b_price")).alias("extended"))
 
 
-def unmatched_order() -> list[Column]:
-    return [F.coalesce("extended", F.lit(-1.0)).desc(), F.col("b_row").asc()]
-
-
 def ledger(costing: DataFrame, results: DataFrame, claim_qty: DataFrame | None = None) -> DataFrame:
     """Every costing row with the claims it supports, or ``Unmatched``.
 
@@ -69,7 +63,7 @@ def duplicate_claims(claims: DataFrame) -> DataFrame:
     """``a_row, others``: claims whose whole description (code included) stands on other rows too.
 
     ``claims`` has ``row_num, raw_name``.  A description on very many rows gives each of them a
-    list of all others, as asked; :func:`duplicate_groups` is the form that grows linearly.
+    list of all others, as asked; :func:`duplicate_members` is the form that grows linearly.
     """
     groups = duplicate_groups(claims)
     each = groups.select(F.explode("rows").alias("a_row"), "rows")
@@ -83,6 +77,24 @@ def duplicate_groups(claims: DataFrame) -> DataFrame:
     return groups.filter(F.size("rows") > 1)
 
 
+def duplicate_members(claims: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``cleaned, row, place, n``: each row of a description that stands on several, its place among them and their number.
+
+    No group is brought together: rows are dealt to ranges of (description, row), counted by range,
+    and placed by how many of their description stand in the ranges before.
+    """
+    rows = claims.select(F.col("row_num").cast("long").alias("row"), text.normalize_description(F.col("raw_name")).alias("cleaned")).filter("cleaned <> ''")
+    spread = tasks or claims.sparkSession.sparkContext.defaultParallelism
+    ranged = settle(rows.repartitionByRange(spread, "cleaned", "row").withColumn("part", F.spark_partition_id()), "ranged-names")
+    counts = ranged.groupBy("cleaned", "part").agg(F.count("*").alias("here"))
+    of_name = Window.partitionBy("cleaned")  # a row a range, not a row a claim
+    before = F.coalesce(F.sum("here").over(of_name.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("cleaned", "part", before.alias("before"), F.sum("here").over(of_name).alias("n")).filter("n > 1")
+    place = F.row_number().over(Window.partitionBy("part", "cleaned").orderBy("row"))
+    placed = ranged.withColumn("here", place).join(counts, ["cleaned", "part"])
+    return placed.select("cleaned", "row", (F.col("before") + F.col("here")).alias("place"), "n")
+
+
 def coverage_counts(costing: DataFrame, results: DataFrame) -> DataFrame:
     """One row: ``total, paired, unmatched`` costing rows."""
     used = support_links(results).select("b_row").distinct().withColumn("used", F.lit(1))

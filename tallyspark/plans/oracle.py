@@ -454,3 +454,20 @@ d AS (SELECT a.book, count(*) AS data_rows FROM a JOIN filled f ON f.book = a.bo
 SELECT CAST(book AS INTEGER) AS book, CAST(h - 1 AS INTEGER) AS header_row, CAST(name_col AS INTEGER) AS name_col, CAST(price_col AS INTEGER) AS price_col, CAST(code_col AS INTEGER) AS code_col, CAST(qty_col AS INTEGER) AS qty_col,
   data_rows, name_col <> price_col AND data_rows > 0 AS runnable FROM a JOIN c USING (book) JOIN p USING (book) JOIN d USING (book)"""
 ORACLE_SQL["run_from_files"] = f"WITH {RESULTS} SELECT raw_name AS a_raw_name, a_price, status, method, score, b_row FROM r"
+
+ORACLE_SQL["duplicate_members"] = f"""WITH {SIDES}, cl AS (SELECT row_num AS row, {norm('raw_name')} AS cleaned FROM costing)
+SELECT cleaned, row, row_number() OVER (PARTITION BY cleaned ORDER BY row) AS place, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE cleaned <> '' QUALIFY count(*) OVER (PARTITION BY cleaned) > 1"""
+_GRAMS = "unnest(list_transform(range(1, length(replace({0}, ' ', ''))), lambda i: substr(replace({0}, ' ', ''), i, 2)))"
+_PLAIN = f"list_sort(list_filter({tokens('{0}')}, lambda w: NOT regexp_matches(w, '[0-9]')))"
+#: Likeness in both directions from shared bigrams; numbers are compared where all other words are the same.
+ORACLE_SQL["reverse_search_all"] = f"""WITH {SUPPORT},
+lines AS (SELECT DISTINCT cleaned AS line FROM b WHERE b_row NOT IN (SELECT b_row FROM links)),
+lg AS (SELECT line, gram, count(*) AS n FROM (SELECT line, {_GRAMS.format("line")} AS gram FROM lines) GROUP BY ALL),
+ag AS (SELECT a_id, gram, count(*) AS n FROM (SELECT a_id, {_GRAMS.format("cleaned")} AS gram FROM a) GROUP BY ALL),
+shared AS (SELECT line, a_id, greatest(sum(lg.n), sum(ag.n)) AS shared FROM lg JOIN ag USING (gram) GROUP BY line, a_id),
+base AS (SELECT line, a_id, cleaned, replace(line, ' ', '') = replace(cleaned, ' ', '') AS same, CASE WHEN replace(line, ' ', '') = replace(cleaned, ' ', '') THEN 100
+  ELSE floor(2 * coalesce(shared, 0) / CAST(length(replace(line, ' ', '')) + length(replace(cleaned, ' ', '')) - 2 AS DOUBLE) * 100 + 0.5) END AS dice
+  FROM lines CROSS JOIN a LEFT JOIN shared USING (line, a_id)),
+lost AS (SELECT line, a_id, same, dice, CASE WHEN {_PLAIN.format("line")} = {_PLAIN.format("cleaned")} THEN {penalty("line", "cleaned")} ELSE 0 END AS p FROM base),
+sims AS (SELECT line, a_id, CAST(greatest(0, CASE WHEN same THEN 100 - p ELSE greatest(0, dice - p) - p END) AS INTEGER) AS sim FROM lost)
+SELECT line, CAST(row_number() OVER (PARTITION BY line ORDER BY sim DESC, a_id) AS INTEGER) AS pos, a_id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY line ORDER BY sim DESC, a_id) <= 8"""

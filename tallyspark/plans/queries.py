@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
-from tallyspark.operators import coverage, health, infer, matching, report, review, sheets, valuation, views
+from tallyspark.operators import coverage, health, infer, matching, report, reverse, review, sheets, valuation, views
 from tallyspark.plans import tables
 from tallyspark.plans.reconcile import Comparison
 from tallyspark.plans.settings import Settings
@@ -296,6 +296,21 @@ def reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.reverse_search(r, "SMALL small ring 11mm").select("a_id", "sim")
 
 
+@query
+def reverse_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight claims most like each description that no established claim refers to."""
+    c = _comparison(spark, sf_dir)
+    used = settle(coverage.support_links(c.results).select("b_row").distinct(), "used-rows")
+    lines = c.b.join(used, "b_row", "left_anti").select(F.col("b_cleaned").alias("line"))
+    return reverse.closest_claims(lines, c.a.select("a_id", "a_cleaned"))
+
+
+@query
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every costing row of a description on several rows, with its place among them."""
+    return coverage.duplicate_members(tables.costing(spark, sf_dir))
+
+
 # ---- reports and views -------------------------------------------------------------
 
 
