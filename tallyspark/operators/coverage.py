@@ -25,22 +25,37 @@ def unmatched_costing(costing: DataFrame, results: DataFrame) -> DataFrame:
     return left.select("b_row", F.col("b_raw_name").alias("name"), F.col("b_price").alias("price"), "qty", ext_amount(F.col("qty"), F.col("b_price")).alias("extended"))
 
 
-def ledger(costing: DataFrame, results: DataFrame, claim_qty: DataFrame | None = None) -> DataFrame:
+#: Claims that a line of the ledger names; of more it says how many.
+NAMED_CLAIMS = 200
+
+
+def supports(links: DataFrame, named: int = NAMED_CLAIMS) -> DataFrame:
+    """``b_row, n_claims, first_a_row, ref_a_price, s``: each line's claims by row, the first ``named`` of them in ``s``.
+
+    ``ref_a_price`` is that of the first claim that has one.  Counts and firsts combine before they
+    shuffle, so a line that very many claims refer to is never one list.
+    """
+    priced = F.min(F.when(F.col("a_price").isNotNull(), F.struct("a_row", "a_price")))
+    counts = links.groupBy("b_row").agg(F.count("*").alias("n_claims"), F.min("a_row").alias("first_a_row"), priced["a_price"].alias("ref_a_price"))
+    place = F.row_number().over(Window.partitionBy("b_row").orderBy("a_row"))
+    firsts = links.withColumn("place", place).filter(F.col("place") <= named)
+    lists = firsts.groupBy("b_row").agg(F.array_sort(F.collect_list(F.struct("a_row", "a_raw_name"))).alias("s"))
+    return counts.join(lists, "b_row")
+
+
+def ledger(costing: DataFrame, results: DataFrame, claim_qty: DataFrame | None = None, named: int = NAMED_CLAIMS) -> DataFrame:
     """Every costing row with the claims it supports, or ``Unmatched``.
 
-    ``claim_qty`` has ``a_row, qty``; the claimed quantity is that of the first claim.
+    ``claim_qty`` has ``a_row, qty``; the claimed quantity is that of the first claim.  Of the claims the
+    first ``named`` are written out, then how many more there are.
     """
-    links = support_links(results)
-    order = F.struct("a_row", "a_raw_name", "a_price")
-    supports = links.groupBy("b_row").agg(F.array_sort(F.collect_set(order)).alias("s"))
-    df = costing.join(supports, "b_row", "left")
-    first_priced = F.get(F.filter(F.transform("s", lambda x: x["a_price"]), lambda p: p.isNotNull()), F.lit(0))
-    df = df.withColumn("first_a_row", F.get("s", F.lit(0))["a_row"]).withColumn("ref_a_price", first_priced)
+    df = costing.join(supports(support_links(results), named), "b_row", "left")
     if claim_qty is not None:
         df = df.join(claim_qty.select(F.col("a_row").alias("first_a_row"), F.col("qty").alias("claimed_qty")), "first_a_row", "left")
     else:
         df = df.withColumn("claimed_qty", F.lit(None).cast("double"))
     rows = F.transform("s", lambda x: x["a_row"].cast("string"))
+    more = F.when(F.col("n_claims") > named, F.concat(F.lit(" and "), (F.col("n_claims") - named).cast("string"), F.lit(" more"))).otherwise("")
     gap = F.when(F.col("ref_a_price") != 0, F.abs(F.col("b_price") - F.col("ref_a_price")) / F.col("ref_a_price") * 100)
     return df.select(
         "b_row",
@@ -50,9 +65,9 @@ def ledger(costing: DataFrame, results: DataFrame, claim_qty: DataFrame | None =
         F.col("qty").alias("assessed_qty"),
         F.col("b_price").alias("unit_price"),
         F.coalesce(ext_amount(F.col("qty"), F.col("b_price")), F.col("b_price")).alias("total_cost"),
-        F.when(F.col("s").isNull(), "Unmatched").otherwise(F.concat(F.lit("Paired → A"), F.array_join(rows, ", A"))).alias("status"),
-        F.coalesce(F.array_join(rows, ", "), F.lit("")).alias("claim_rows"),
-        F.coalesce(F.array_join(F.transform("s", lambda x: x["a_raw_name"]), " | "), F.lit("")).alias("claim_items"),
+        F.when(F.col("s").isNull(), "Unmatched").otherwise(F.concat(F.lit("Paired → A"), F.array_join(rows, ", A"), more)).alias("status"),
+        F.coalesce(F.concat(F.array_join(rows, ", "), more), F.lit("")).alias("claim_rows"),
+        F.coalesce(F.concat(F.array_join(F.transform("s", lambda x: x["a_raw_name"]), " | "), more), F.lit("")).alias("claim_items"),
         F.col("s").isNotNull().alias("matched"),
         "ref_a_price",
         gap.alias("diff_pct"),

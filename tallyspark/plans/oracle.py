@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyspark.functions.identity import PACK_WORDS, STOP_WORDS
 from tallyspark.functions.text import FOOTERS, LABEL_WORDS, UNIT_WORDS
+from tallyspark.operators.coverage import NAMED_CLAIMS
 from tallyspark.operators.infer import CODE_WORDS, CURRENCIES, DATE_WORDS, NAME_WORDS, PRICE_WORDS, QTY_WORDS, STRONG_CODE_WORDS
 from tallyspark.plans.settings import FUZZY_POOL, STATUSES, STORED
 from tallyspark.plans.tables import CLAIMS, COSTING
@@ -252,9 +253,10 @@ _EXT = _round2("qty * b_price")
 LEDGER = f"""{SUPPORT},
 s AS (SELECT b_row, list(row(a_id, raw_name, a_price) ORDER BY a_id) AS rows, min(a_id) AS first_row, first(a_price ORDER BY a_id) FILTER (a_price IS NOT NULL) AS ref FROM links GROUP BY b_row),
 lines AS (SELECT b.b_row, b.raw_name AS description, coalesce(b.raw_code, '') AS part_code, fa.aq AS claimed_qty, b.qty AS assessed_qty, b.b_price AS unit_price, coalesce({_EXT}, b_price) AS total_cost,
-  CASE WHEN s.b_row IS NULL THEN 'Unmatched' ELSE 'Paired → A' || array_to_string(list_transform(rows, lambda x: CAST(x[1] AS VARCHAR)), ', A') END AS status,
-  coalesce(array_to_string(list_transform(rows, lambda x: CAST(x[1] AS VARCHAR)), ', '), '') AS claim_rows,
-  coalesce(array_to_string(list_transform(rows, lambda x: x[2]), ' | '), '') AS claim_items,
+  CASE WHEN len(rows) > {NAMED_CLAIMS} THEN ' and ' || (len(rows) - {NAMED_CLAIMS}) || ' more' ELSE '' END AS more,
+  CASE WHEN s.b_row IS NULL THEN 'Unmatched' ELSE 'Paired → A' || array_to_string(list_transform(rows[:{NAMED_CLAIMS}], lambda x: CAST(x[1] AS VARCHAR)), ', A') || more END AS status,
+  coalesce(array_to_string(list_transform(rows[:{NAMED_CLAIMS}], lambda x: CAST(x[1] AS VARCHAR)), ', ') || more, '') AS claim_rows,
+  coalesce(array_to_string(list_transform(rows[:{NAMED_CLAIMS}], lambda x: x[2]), ' | ') || more, '') AS claim_items,
   s.b_row IS NOT NULL AS matched, CASE WHEN ref <> 0 THEN abs(b_price - ref) / ref * 100 END AS diff_pct
   FROM b LEFT JOIN s ON s.b_row = b.b_row LEFT JOIN a fa ON fa.a_id = s.first_row)"""
 
@@ -274,7 +276,12 @@ _NEXT = "pairs AS (SELECT x.p_partkey AS k, lower(x.p_type || ' ' || x.p_name ||
 _PAIRS = f"{RESULTS}, rp AS (SELECT r.a_id, r.raw_name AS a_name, b.raw_name AS b_name, c.b_row AS first_row, b.b_price AS first_price FROM r JOIN cand c ON c.a_id = r.a_id AND c.pos = 1 JOIN b ON b.b_row = c.b_row WHERE status IN ('PROBABLE', 'CONFLICT'))"
 _DECIDE = """CASE WHEN p >= 0.8 THEN 'MATCH' WHEN p <= 0.2 THEN 'NOT_MATCH' ELSE 'UNCERTAIN' END AS verdict,
   CAST(floor((CASE WHEN p >= 0.8 THEN p WHEN p <= 0.2 THEN 1 - p ELSE greatest(p, 1 - p) END) * 100 + 0.5) AS BIGINT) AS confidence"""
-_CHECKED = f"""{SIDES}, {price_cte("named", "claims", "row_num, raw_price, CASE WHEN row_num % 97 = 0 THEN NULL ELSE regexp_replace(raw_name, '^[^ ]+ ', '') END AS name")}"""
+# Some price cells are missing, some are whole numbers as dates are stored, some plain numbers.
+_CHECKED = f"""{SIDES}, cells AS (SELECT row_num, CASE WHEN row_num % 97 = 0 THEN NULL ELSE regexp_replace(raw_name, '^[^ ]+ ', '') END AS name,
+  CASE WHEN row_num % 53 = 0 THEN 'null' WHEN row_num % 41 = 0 OR row_num % 7 = 3 THEN 'num' ELSE 'str' END AS kind, raw_price AS typed,
+  CASE WHEN row_num % 41 = 0 THEN 45000 + row_num % 1000 ELSE row_num / 4.0 END AS number FROM claims),
+shown AS (SELECT *, CASE kind WHEN 'null' THEN NULL WHEN 'num' THEN CAST(CAST(number AS DOUBLE) AS VARCHAR) ELSE typed END AS raw_price FROM cells),
+{price_cte("named", "shown", "row_num, raw_price, name, kind, number")}"""
 _KEY = "ltrim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))"
 _DUPS = f"{_CHECKED}, keyed AS (SELECT *, {_KEY} AS key FROM named WHERE name IS NOT NULL AND trim(name) <> ''), kept AS (SELECT * FROM keyed WHERE NOT {non_item('trim(key)')})"
 _OVERLAP = f"CASE WHEN len({tokens('a')}) = 0 OR len({tokens('b')}) = 0 THEN 1.0 ELSE len(list_intersect({tokens('a')}, {tokens('b')})) / CAST(len(list_distinct(list_concat({tokens('a')}, {tokens('b')}))) AS DOUBLE) END"
@@ -380,10 +387,11 @@ filled AS (SELECT *, kind = 'num' OR (regexp_matches(s, '[0-9]') AND regexp_matc
 SELECT CAST(pos AS INTEGER) AS pos, count(*) AS filled, count(*) FILTER (NOT numeric) AS strings, count(*) FILTER (numeric) AS numbers, array_to_string(list_slice(list(trim(s) ORDER BY row_num), 1, 3), '|') AS samples FROM filled GROUP BY pos""",
     "file_health": f"""{"WITH " + _DUPS}, dup AS (SELECT count(*) AS duplicates FROM (SELECT key FROM kept GROUP BY key HAVING count(*) > 1)),
 c AS (SELECT count(*) FILTER (name IS NOT NULL) AS rows, count(*) FILTER (name IS NULL) AS blank_names, count(*) FILTER (name IS NOT NULL AND price IS NOT NULL) AS readable,
- count(*) FILTER (name IS NOT NULL AND price IS NULL) AS unreadable, count(*) FILTER (name IS NOT NULL AND price = 0) AS zero, count(*) FILTER (name IS NOT NULL AND price < 0) AS negative FROM named),
-d AS (SELECT *, CASE WHEN rows > 0 THEN floor(readable / CAST(rows AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS readable_pct, 0 AS missing, 0 AS date_like, readable AS text_price FROM c, dup),
-e AS (SELECT *, CAST(blank_names > 0 AS INTEGER) + CAST(unreadable > 0 AS INTEGER) + CAST(duplicates > 0 AS INTEGER) + CAST(zero > 0 AS INTEGER) + CAST(negative > 0 AS INTEGER) AS issues FROM d)
-SELECT rows, blank_names, duplicates, readable, readable_pct, unreadable, missing, zero, negative, date_like, text_price, issues, CASE WHEN rows = 0 OR readable_pct < 80 THEN 'problems' WHEN issues > 0 THEN 'warnings' ELSE 'looks good' END AS verdict FROM e""",
+ count(*) FILTER (name IS NOT NULL AND kind <> 'null' AND price IS NULL) AS unreadable, count(*) FILTER (name IS NOT NULL AND kind = 'null') AS missing,
+ count(*) FILTER (name IS NOT NULL AND kind = 'num' AND number = floor(number) AND number BETWEEN 20000 AND 60000) AS dates, count(*) FILTER (name IS NOT NULL AND kind = 'str' AND price IS NOT NULL) AS text_price, count(*) FILTER (name IS NOT NULL AND price = 0) AS zero, count(*) FILTER (name IS NOT NULL AND price < 0) AS negative FROM named),
+d AS (SELECT *, CASE WHEN rows > 0 THEN floor(readable / CAST(rows AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS readable_pct, CASE WHEN dates >= 3 THEN dates ELSE 0 END AS date_like FROM c, dup),
+e AS (SELECT *, CAST(blank_names > 0 AS INTEGER) + CAST(unreadable > 0 AS INTEGER) + CAST(duplicates > 0 AS INTEGER) + CAST(zero > 0 AS INTEGER) + CAST(negative > 0 AS INTEGER) + CAST(date_like > 0 AS INTEGER) AS issues FROM d)
+SELECT rows, blank_names, duplicates, readable, readable_pct, unreadable, missing, zero, negative, date_like, text_price, issues, CASE WHEN rows = 0 OR readable_pct < 80 OR date_like > 0.5 * greatest(readable, 1) THEN 'problems' WHEN issues > 0 THEN 'warnings' ELSE 'looks good' END AS verdict FROM e""",
     "duplicate_names": f"WITH {_DUPS} SELECT key, count(*) AS n, first(name ORDER BY row_num) AS name, array_to_string(list_slice(list(CAST(row_num AS VARCHAR) ORDER BY row_num), 1, 3), ',') AS first_rows FROM kept GROUP BY key HAVING count(*) > 1",
     "duplicate_value": f"""WITH {SIDES}, {price_cte("priced", "claims", "row_num, raw_price, raw_name")}, cl AS (SELECT price, {norm(strip('raw_name', 'firstToken'))} AS cleaned FROM priced),
 d AS (SELECT price, count(*) OVER (PARTITION BY cleaned) AS n FROM cl WHERE cleaned <> '') SELECT count(*) AS rows, {_round2("coalesce(" + _total("price") + ", 0)")} AS value FROM d WHERE n > 1""",
@@ -397,8 +405,9 @@ SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict EL
     "run_gate": f"WITH {SIDES}, n AS (SELECT count(*) FILTER (trim(coalesce(raw_name, '')) <> '') AS data_rows FROM claims) SELECT data_rows, data_rows > 0 AS runnable FROM n",
     "size_notes": f"WITH s AS (SELECT p_partkey AS k, p_partkey % 40 + 5 AS x, p_partkey % 7 + 2 AS y FROM part) SELECT k, CASE WHEN k % 3 = 0 THEN x || 'x' || (x + 9) || 'x' || y ELSE x || 'x' || (x + 9) || 'x' || (y + k % 2) END AS dims, k % 3 <> 0 AND k % 2 = 1 AS differ FROM s",
     "ledger_order": f"WITH {LEDGER} SELECT b_row, status FROM lines ORDER BY matched, b_row LIMIT 100",
-    "health_samples": f"""{"WITH " + _DUPS}, flags AS (SELECT row_num, name, raw_price, unnest(['blank_names', 'unreadable', 'zero', 'negative']) AS flag,
- unnest([name IS NULL, name IS NOT NULL AND price IS NULL, name IS NOT NULL AND price = 0, name IS NOT NULL AND price < 0]) AS holds FROM named)
+    "health_samples": f"""{"WITH " + _DUPS}, flags AS (SELECT row_num, name, raw_price, unnest(['blank_names', 'unreadable', 'zero', 'negative', 'date_like']) AS flag,
+ unnest([name IS NULL AND kind <> 'null', name IS NOT NULL AND kind <> 'null' AND price IS NULL, name IS NOT NULL AND price = 0, name IS NOT NULL AND price < 0,
+  name IS NOT NULL AND kind = 'num' AND number = floor(number) AND number BETWEEN 20000 AND 60000]) AS holds FROM named)
 SELECT flag, row_num, raw_price AS raw FROM flags WHERE holds QUALIFY row_number() OVER (PARTITION BY flag ORDER BY row_num) <= 5""",
 }
 

@@ -561,11 +561,15 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.claims(spark, sf_dir)
-    name = F.when(F.col("row_num") % 97 == 0, None).otherwise(F.regexp_replace("raw_name", "^[^ ]+ ", ""))
-    return rows.select(
-        "row_num", name.alias("name"), F.lit("str").alias("price_kind"), F.col("raw_price").alias("price_text"), F.lit(None).cast("double").alias("price_number"), F.col("raw_price").alias("other")
-    )
+    """The claims as cells of every kind: some prices are missing, some are numbers, some numbers as dates are stored."""
+    k = F.col("row_num")
+    name = F.when(k % 97 == 0, None).otherwise(F.regexp_replace("raw_name", "^[^ ]+ ", ""))
+    kind = F.when(k % 53 == 0, "null").when((k % 41 == 0) | (k % 7 == 3), "num").otherwise("str")
+    number = F.when(k % 41 == 0, (45000 + k % 1000).cast("double")).otherwise(k / 4.0)
+    rows = tables.claims(spark, sf_dir).select("row_num", name.alias("name"), kind.alias("price_kind"), F.col("raw_price").alias("typed"), number.alias("number"))
+    text_ = F.when(F.col("price_kind") == "str", F.col("typed"))
+    number_ = F.when(F.col("price_kind") == "num", F.col("number"))
+    return rows.select("row_num", "name", "price_kind", text_.alias("price_text"), number_.alias("price_number"), F.coalesce(text_, number_.cast("string")).alias("other"))
 
 
 @query
@@ -588,7 +592,7 @@ def health_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows that carry each flag."""
-    shown = [health.samples(_checked(spark, sf_dir), flag).select(F.lit(flag).alias("flag"), "row_num", "raw") for flag in ("blank_names", "unreadable", "zero", "negative")]
+    shown = [health.samples(_checked(spark, sf_dir), flag).select(F.lit(flag).alias("flag"), "row_num", "raw") for flag in ("blank_names", "unreadable", "zero", "negative", "date_like")]
     return matching.union_all(shown)
 
 
