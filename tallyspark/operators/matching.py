@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import identity, money, similarity, text
 from tallyspark.operators import fuzzy
+from tallyspark.plans import sentences
+from tallyspark.plans.sentences import filled
 from tallyspark.plans.settings import STATUSES, STORED, Settings
 from tallyspark.sources.shared import settle
 
@@ -94,9 +96,9 @@ def prepare_claims(claims: DataFrame, mode: str, pattern: str | None = None, fol
     cleaned = F.when(F.col("raw_name") == "", "").otherwise(text.normalize_description(text.strip_code(F.col("raw_name"), mode, pattern)))
     df = df.withColumn("a_cleaned", cleaned)
     gate = (
-        F.when(F.col("raw_name") == "", "File A row has no item name.")
-        .when(F.col("a_cleaned") == "", "Description became empty after removing the item code.")
-        .when(text.is_non_item(F.col("a_cleaned")), "Row does not look like an item (a total/footer line or numbers only) — matching skipped.")
+        F.when(F.col("raw_name") == "", sentences.NO_NAME)
+        .when(F.col("a_cleaned") == "", sentences.EMPTY_NAME)
+        .when(text.is_non_item(F.col("a_cleaned")), sentences.NO_ITEM)
     )
     return df.select(
         F.col("row_num").cast("long").alias("a_id"),
@@ -200,13 +202,9 @@ def hit_kind() -> Column:
 
 def hit_note(b_row: Column) -> Column:
     """What to say of a hit (``code, kind, b_raw_name, a_dims, b_dims``); null for most."""
-    named, row = F.concat(F.lit("Part number "), F.col("code")), F.concat(F.lit("B"), b_row.cast("string"))
-    sizes = F.concat(F.array_join("a_dims", ", "), F.lit(" vs "), F.array_join("b_dims", ", "))
-    return F.when(
-        F.col("kind") == "conflict", F.concat(named, F.lit(" also appears on "), row, F.lit(' ("'), F.col("b_raw_name"), F.lit('") but the description conflicts — verify before accepting.'))
-    ).when(
-        identity.sizes_differ(F.col("a_dims"), F.col("b_dims")), F.concat(named, F.lit(" matches "), row, F.lit(" but dimensions differ ("), sizes, F.lit(") — verify size."))
-    )
+    conflict = filled(sentences.CODE_CONFLICT, code=F.col("code"), row=b_row, name=F.col("b_raw_name"))
+    sizes = filled(sentences.CODE_SIZES, code=F.col("code"), row=b_row, sizes=F.array_join("a_dims", ", "), other=F.array_join("b_dims", ", "))
+    return F.when(F.col("kind") == "conflict", conflict).when(identity.sizes_differ(F.col("a_dims"), F.col("b_dims")), sizes)
 
 
 #: Pairs of items that share a code and one task joins, about.
@@ -392,18 +390,16 @@ def classify(a: DataFrame, b: DataFrame, told: DataFrame, ranked: DataFrame) ->
     method = F.when(F.col("status") == "CONFIRMED", "code").when(F.col("status") == "STRONG", "exact").when(F.col("status") == "PROBABLE", "fuzzy")
     df = df.withColumn("method", method).withColumn("chosen", F.when(F.col("method").isNotNull(), F.col("top")))
     count = zero("n_conflict")
-    rows = F.when(count == 1, F.lit(" costing row shares")).otherwise(F.lit(" costing rows share"))
-    further = F.when(count == 1, F.lit(" further costing row shares")).otherwise(F.lit(" further costing rows share"))
     notes = F.array_compact(
         F.concat(
-            F.array(F.when(F.col("status") == "CONFIRMED", F.concat(F.lit("Identity by part number: "), F.array_join("a_codes", ", "), F.lit(".")))),
+            F.array(F.when(F.col("status") == "CONFIRMED", filled(sentences.BY_CODE, codes=F.array_join("a_codes", ", ")))),
             F.array(F.col("gate")),
             F.coalesce(F.col("code_notes"), F.array().cast("array<string>")),
-            F.array(F.when(F.col("more_notes") > 0, F.concat(F.lit("And "), F.col("more_notes").cast("string"), F.lit(" further costing rows of these part numbers to verify.")))),
+            F.array(F.when(F.col("more_notes") > 0, filled(sentences.MORE_NOTES, n=F.col("more_notes")))),
             F.array(
-                F.when((F.col("status") == "CONFLICT"), F.concat(count.cast("string"), rows, F.lit(" this part number but describe a different product — query the insured."))),
-                F.when((F.col("status") == "CONFIRMED") & (count > 0), F.concat(count.cast("string"), further, F.lit(" the part number with a conflicting description — see the notes above."))),
-                F.when(F.col("status") == "PROBABLE", F.concat(F.lit("Best name similarity "), F.col("top.similarity").cast("string"), F.lit(" — fuzzy evidence only, confirm manually or with Jev."))),
+                F.when((F.col("status") == "CONFLICT"), F.when(count == 1, filled(sentences.ONE_CONFLICT, n=count)).otherwise(filled(sentences.CONFLICTS, n=count))),
+                F.when((F.col("status") == "CONFIRMED") & (count > 0), F.when(count == 1, filled(sentences.ONE_MORE_CONFLICT, n=count)).otherwise(filled(sentences.MORE_CONFLICTS, n=count))),
+                F.when(F.col("status") == "PROBABLE", filled(sentences.FUZZY_ONLY, score=F.col("top.similarity"))),
             ),
         )
     )

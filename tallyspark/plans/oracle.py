@@ -6,6 +6,8 @@ from tallyspark.functions.identity import PACK_WORDS, STOP_WORDS
 from tallyspark.functions.text import FOOTERS, LABEL_WORDS, UNIT_WORDS
 from tallyspark.operators.coverage import NAMED_CLAIMS
 from tallyspark.operators.infer import CODE_WORDS, CURRENCIES, DATE_WORDS, NAME_WORDS, PRICE_WORDS, QTY_WORDS, STRONG_CODE_WORDS
+from tallyspark.plans import sentences
+from tallyspark.plans.sentences import filled_sql
 from tallyspark.plans.settings import FUZZY_POOL, STATUSES, STORED
 from tallyspark.plans.tables import CLAIMS, COSTING
 
@@ -327,15 +329,15 @@ wanted AS (SELECT cleaned FROM open1 WHERE cleaned NOT IN (SELECT key FROM keys)
     "candidate_ranking": f"WITH {RESULTS} SELECT a_id, pos, b_row, sim AS similarity, code AS matched_code FROM cand",
     "match_notes": f"""WITH {RESULTS},
 noted AS (SELECT h.*, b.raw_name, row_number() OVER (PARTITION BY h.a_id ORDER BY code_pos, h.b_row) AS k, count(*) OVER (PARTITION BY h.a_id) AS n FROM hits h JOIN b USING (b_row) WHERE kind = 'conflict'),
-hit_notes AS (SELECT a_id, string_agg('Part number ' || code || ' also appears on B' || CAST(b_row AS VARCHAR) || ' ("' || raw_name || '") but the description conflicts — verify before accepting.', ' | ' ORDER BY k)
-  || CASE WHEN any_value(n) > {STORED} THEN ' | And ' || CAST(any_value(n) - {STORED} AS VARCHAR) || ' further costing rows of these part numbers to verify.' ELSE '' END AS t FROM noted WHERE k <= {STORED} GROUP BY a_id)
+hit_notes AS (SELECT a_id, string_agg({filled_sql(sentences.CODE_CONFLICT, code="code", row="b_row", name="raw_name")}, ' | ' ORDER BY k)
+  || CASE WHEN any_value(n) > {STORED} THEN ' | ' || {filled_sql(sentences.MORE_NOTES, n=f"(any_value(n) - {STORED})")} ELSE '' END AS t FROM noted WHERE k <= {STORED} GROUP BY a_id)
 SELECT r.a_id, concat_ws(' | ',
-  CASE WHEN status = 'CONFIRMED' THEN 'Identity by part number: ' || array_to_string(codes, ', ') || '.' END,
-  CASE WHEN NOT live THEN 'Row does not look like an item (a total/footer line or numbers only) — matching skipped.' END,
+  CASE WHEN status = 'CONFIRMED' THEN {filled_sql(sentences.BY_CODE, codes="array_to_string(codes, ', ')")} END,
+  CASE WHEN NOT live THEN '{sentences.NO_ITEM}' END,
   hit_notes.t,
-  CASE WHEN status = 'CONFLICT' THEN CAST(n_conflict AS VARCHAR) || CASE WHEN n_conflict = 1 THEN ' costing row shares' ELSE ' costing rows share' END || ' this part number but describe a different product — query the insured.' END,
-  CASE WHEN status = 'CONFIRMED' AND n_conflict > 0 THEN CAST(n_conflict AS VARCHAR) || CASE WHEN n_conflict = 1 THEN ' further costing row shares' ELSE ' further costing rows share' END || ' the part number with a conflicting description — see the notes above.' END,
-  CASE WHEN status = 'PROBABLE' THEN 'Best name similarity ' || CAST(score AS VARCHAR) || ' — fuzzy evidence only, confirm manually or with Jev.' END) AS notes
+  CASE WHEN status = 'CONFLICT' THEN CASE WHEN n_conflict = 1 THEN {filled_sql(sentences.ONE_CONFLICT, n="n_conflict")} ELSE {filled_sql(sentences.CONFLICTS, n="n_conflict")} END END,
+  CASE WHEN status = 'CONFIRMED' AND n_conflict > 0 THEN CASE WHEN n_conflict = 1 THEN {filled_sql(sentences.ONE_MORE_CONFLICT, n="n_conflict")} ELSE {filled_sql(sentences.MORE_CONFLICTS, n="n_conflict")} END END,
+  CASE WHEN status = 'PROBABLE' THEN {filled_sql(sentences.FUZZY_ONLY, score="score")} END) AS notes
 FROM r LEFT JOIN hit_notes ON hit_notes.a_id = r.a_id""",
     "valuation_range": f"WITH {VALUES} SELECT * FROM v",
     "valuation_flag": f"WITH {flagged(0)} SELECT a_id, flag FROM f",
@@ -411,14 +413,7 @@ SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict EL
 SELECT flag, row_num, raw_price AS raw FROM flags WHERE holds QUALIFY row_number() OVER (PARTITION BY flag ORDER BY row_num) <= 5""",
 }
 
-_HINTS = (
-    ("blank_names", "Blank-name rows are skipped by the matcher."),
-    ("unreadable", "Unreadable prices can''t be compared — those rows will need review."),
-    ("date_like", "These may be Excel dates — check the price column dropdown."),
-    ("duplicates", "Duplicate names make 1:1 matching ambiguous (MULTIPLE matches)."),
-    ("zero", "Zero prices are compared as 0 and may flag false mismatches."),
-    ("negative", "Negative prices may be credits or sign errors — double-check them."),
-)
+_HINTS = [(c, sentences.HINTS[c].replace("'", "''")) for c in ("blank_names", "unreadable", "date_like", "duplicates", "zero", "negative")]
 _SNIP = "CASE WHEN length({0}) > 48 THEN substr({0}, 1, 47) || '…' ELSE {0} END AS {0}"
 
 ORACLE_SQL["health_hints"] = f"""WITH h AS ({ORACLE_SQL["file_health"]}), x AS (SELECT unnest([{", ".join(f"{c} > 0" for c, _ in _HINTS)}]) AS holds, unnest([{", ".join(f"'{t}'" for _, t in _HINTS)}]) AS hint, unnest(range({len(_HINTS)})) AS i FROM h)
