@@ -85,6 +85,19 @@ def duplicate_claims(claims: DataFrame) -> DataFrame:
     return each.select("a_row", F.filter("rows", lambda x: x != F.col("a_row")).alias("others"))
 
 
+#: Other rows of its description that a claim names; of more it says how many.
+NAMED_ROWS = 50
+
+
+def duplicate_lists(claims: DataFrame, named: int = NAMED_ROWS) -> DataFrame:
+    """``a_row, others, more``: the first ``named`` other rows of a claim's description, and how many more there are."""
+    members = settle(duplicate_members(claims), "duplicate-members")
+    firsts = members.filter(F.col("place") <= named + 1).groupBy("cleaned").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    others = F.slice(F.filter("rows", lambda x: x != F.col("row")), 1, named)
+    listed = members.join(firsts, "cleaned").select(F.col("row").alias("a_row"), others.alias("others"), "n")
+    return listed.select("a_row", "others", (F.col("n") - 1 - F.size("others")).alias("more"))
+
+
 def duplicate_groups(claims: DataFrame) -> DataFrame:
     """``cleaned, rows``: descriptions on more than one row."""
     cleaned = claims.select(F.col("row_num").cast("long").alias("row"), text.normalize_description(F.col("raw_name")).alias("cleaned")).filter("cleaned <> ''")

@@ -30,7 +30,7 @@ def audit(
 ) -> DataFrame:
     """Every claim with its reference, range and notes; optional columns only where there is data.
 
-    ``claim_qty`` has ``a_row, qty``; ``costing_qty`` ``b_row, qty``; ``duplicates`` ``a_row, others``.
+    ``claim_qty`` has ``a_row, qty``; ``costing_qty`` ``b_row, qty``; ``duplicates`` ``a_row, others, more``.
     """
     df = results.join(values, "a_id", "left")
     if claim_qty is not None or costing_qty is not None:
@@ -42,7 +42,9 @@ def audit(
         else:
             df = df.withColumn("Assessed Qty", none)
     if duplicates is not None:
-        df = df.join(duplicates.select("a_row", F.array_join(F.transform("others", lambda x: x.cast("string")), ", ").alias("dups")), "a_row", "left")
+        further = F.when(F.col("more") > 0, F.concat(F.lit(" and "), F.col("more").cast("string"), F.lit(" more"))).otherwise("")
+        listed = F.concat(F.array_join(F.transform("others", lambda x: x.cast("string")), ", "), further)
+        df = df.join(duplicates.select("a_row", listed.alias("dups")), "a_row", "left")
     named = {
         "A Row": F.col("a_row"),
         "A Item Name": F.col("a_raw_name"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyspark.functions.identity import PACK_WORDS, STOP_WORDS
 from tallyspark.functions.text import FOOTERS, LABEL_WORDS, UNIT_WORDS
-from tallyspark.operators.coverage import NAMED_CLAIMS
+from tallyspark.operators.coverage import NAMED_CLAIMS, NAMED_ROWS
 from tallyspark.operators.infer import CODE_WORDS, CURRENCIES, DATE_WORDS, NAME_WORDS, PRICE_WORDS, QTY_WORDS, STRONG_CODE_WORDS
 from tallyspark.plans import sentences
 from tallyspark.plans.sentences import filled_sql
@@ -475,3 +475,15 @@ base AS (SELECT line, a_id, cleaned, replace(line, ' ', '') = replace(cleaned, '
 lost AS (SELECT line, a_id, same, dice, CASE WHEN {_PLAIN.format("line")} = {_PLAIN.format("cleaned")} THEN {penalty("line", "cleaned")} ELSE 0 END AS p FROM base),
 sims AS (SELECT line, a_id, CAST(greatest(0, CASE WHEN same THEN 100 - p ELSE greatest(0, dice - p) - p END) AS INTEGER) AS sim FROM lost)
 SELECT line, CAST(row_number() OVER (PARTITION BY line ORDER BY sim DESC, a_id) AS INTEGER) AS pos, a_id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY line ORDER BY sim DESC, a_id) <= 8"""
+ORACLE_SQL["late_pages"] = f"""WITH {RESULTS}, n AS (SELECT greatest(1, (count(*) + 6) // 7) AS size FROM r)
+SELECT CAST((row_number() OVER (ORDER BY difference DESC NULLS LAST, a_id) - 1) // size AS INTEGER) AS page, a_id FROM r, n"""
+ORACLE_SQL["audit_options"] = f"""WITH {_PAIRS}, d AS (SELECT *, (a_id * 37 % 101) / CAST(100 AS DOUBLE) AS p FROM rp), e AS (SELECT *, {_DECIDE} FROM d),
+names AS (SELECT row_num, {norm(strip("raw_name", "firstToken"))} AS cleaned FROM claims),
+same AS (SELECT x.row_num, y.row_num AS other, row_number() OVER (PARTITION BY x.row_num ORDER BY y.row_num) AS k, count(*) OVER (PARTITION BY x.row_num) AS n FROM names x JOIN names y ON x.cleaned = y.cleaned AND x.row_num <> y.row_num WHERE x.cleaned <> ''),
+dups AS (SELECT row_num, string_agg(CAST(other AS VARCHAR), ', ' ORDER BY k) || CASE WHEN any_value(n) > {NAMED_ROWS} THEN ' and ' || (any_value(n) - {NAMED_ROWS}) || ' more' ELSE '' END AS rows FROM same WHERE k <= {NAMED_ROWS} GROUP BY row_num),
+st AS (SELECT r.a_id, CASE e.verdict WHEN 'MATCH' THEN 'CONFIRMED' WHEN 'NOT_MATCH' THEN 'UNMATCHED' ELSE r.status END AS status, e.verdict, e.confidence FROM r LEFT JOIN e ON e.a_id = r.a_id)
+SELECT a_id AS a_row, upper(substr(status, 1, 1)) || lower(substr(status, 2)) AS status, coalesce(dups.rows, '') AS duplicate_rows,
+  CASE WHEN verdict IS NULL THEN '' ELSE verdict || ' · ' || CAST(confidence AS VARCHAR) || '%' END AS screening FROM st LEFT JOIN dups ON dups.row_num = st.a_id"""
+ORACLE_SQL["report_summary"] = f"""WITH {RESULTS}, n AS (SELECT count(*) AS total, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATUSES)} FROM r)
+SELECT unnest(['File A items', 'Confirmed matches', 'Strong matches', 'Probable matches', 'Conflicts', 'Unmatched', 'Review floor (fuzzy kept as Probable)', 'Reference gap tolerance (%)', 'Code stripping (name comparison only)']) AS key,
+  unnest([CAST(total AS VARCHAR), CAST(CONFIRMED AS VARCHAR), CAST(STRONG AS VARCHAR), CAST(PROBABLE AS VARCHAR), CAST(CONFLICT AS VARCHAR), CAST(UNMATCHED AS VARCHAR), '60', '0', 'auto → firstToken']) AS value FROM n"""

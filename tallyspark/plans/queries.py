@@ -372,6 +372,24 @@ def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit(c, c.results)
 
 
+@query
+def audit_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's optional columns: other rows of a claim's description, and screening decisions."""
+    c = _comparison(spark, sf_dir)
+    pairs = review.review_pairs(c.results)
+    screened = review.apply_decisions(c.results, review.decisions(pairs.select("a_id", _probability(F.col("a_id")).alias("probability"))), pairs)
+    named = tables.claims(spark, sf_dir).withColumn("raw_name", text.strip_code(F.col("raw_name"), "firstToken"))
+    df = report.audit(screened, c.values, duplicates=coverage.duplicate_lists(named), screened=True)
+    return df.select(F.col("A Row").alias("a_row"), F.col("Status").alias("status"), F.col("Duplicate Rows").alias("duplicate_rows"), F.col("Jev Verdict").alias("screening"))
+
+
+@query
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that head the report."""
+    c = _comparison(spark, sf_dir)
+    return report.summary(c.results, c.settings, c.mode)
+
+
 @query
 def action_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _comparison(spark, sf_dir)
@@ -395,6 +413,16 @@ def sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.union_all(firsts).select("sort_key", place.alias("pos"), "a_id")
 
 
+@query
+def late_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of the results by difference, each read from the ranges that hold it."""
+    r = _comparison(spark, sf_dir).results.select("a_id", "a_row", "a_raw_name", "a_price", "b_price", "difference", "score", "status")
+    index = views.page_index(r, views.sort_order("diff", ascending=False))
+    size = max(1, -(-index.rows // 7))
+    pages = [index.page(k, size).select(F.lit(k).alias("page"), "a_id") for k in range(8)]
+    return matching.union_all(pages)
+
+
 @query
 def ledger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _comparison(spark, sf_dir)

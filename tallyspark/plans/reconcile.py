@@ -71,17 +71,23 @@ class Comparison:
         return valuation.flagged(self.results, self.values, self.settings.depreciation_pct)
 
     def report(self) -> dict[str, DataFrame]:
-        """The report's sheets as tables; write each with ``df.write``."""
-        duplicates = coverage.duplicate_claims(self.claims)
-        lists = (self.values, self.claim_qty, self.costing_qty, duplicates)
-        return {
+        """The report's sheets as tables; write each with ``df.write``.
+
+        Columns of quantities and duplicates are there if any row has one, the ledger if there is a
+        costing row.
+        """
+        given = lambda df: None if df.isEmpty() else df
+        lists = (self.values, given(self.claim_qty), given(self.costing_qty), given(coverage.duplicate_lists(self.claims)))
+        sheets = {
             "summary": report.summary(self.results, self.settings, self.mode),
             "price_summary": report.price_summary(self.results, self.values, self.settings.depreciation_pct),
             "status_money": report.status_money(self.results),
             "full_audit": report.audit(self.results, *lists),
             "action_list": report.audit(report.action_list(self.results), *lists),
-            "ledger": coverage.ledger(self.items, self.results, self.claim_qty),
         }
+        if not self.items.isEmpty():
+            sheets["ledger"] = coverage.ledger(self.items, self.results, self.claim_qty)
+        return sheets
 
     def write_report(self, path: str, fmt: str = "parquet") -> None:
         """One folder for each sheet below ``path``."""
