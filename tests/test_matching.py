@@ -130,6 +130,26 @@ def test_report_is_written(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ledger").count() == len(COSTING)
 
 
+def test_report_reads_back_as_it_was(spark, tmp_path):
+    c = compare(spark, CLAIMS + [(12, "GX701 Trowel Ash Handle Wide", "7", None, 3.0)], COSTING)
+    c.write_report(str(tmp_path))
+    sheets = c.report()
+    assert set(sheets) == {"summary", "price_summary", "status_money", "full_audit", "action_list", "ledger"}
+    assert {"Claimed Qty", "Assessed Qty", "Duplicate Rows"} <= set(sheets["full_audit"].columns)
+    for name, df in sheets.items():
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert back.columns == [x.lower().replace(" %", "_pct").replace(" ", "_") for x in df.columns]
+        assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(map(str, (tuple(r) for r in df.collect()))), name
+    rows = {r["A Row"]: r["Duplicate Rows"] for r in sheets["full_audit"].collect()}
+    assert rows[6] == "12" and rows[12] == "6" and rows[5] == ""
+
+
+def test_report_leaves_out_what_there_is_nothing_of(spark):
+    sheets = compare(spark, CLAIMS, []).report()
+    assert "ledger" not in sheets
+    assert not {"Claimed Qty", "Assessed Qty", "Duplicate Rows"} & set(sheets["full_audit"].columns)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tallyspark.operators import matching
     from tallyspark.streaming.claims import exact_matches

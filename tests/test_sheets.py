@@ -68,3 +68,31 @@ def test_workbook(spark, tmp_path):
     (tmp_path / "book.xlsx").write_bytes(raw.getvalue())
     got = {r["row_num"]: [(c["kind"], c["s"]) for c in r["cells"]] for r in workbook.read_workbook(spark, str(tmp_path / "book.xlsx")).collect()}
     assert got == {1: [("str", "Item")], 2: [], 3: [("str", "Nut M8"), ("null", None), ("num", "2.5")]}
+
+
+def test_another_header_row_keeps_the_columns(spark):
+    known = infer.analyze_sheet(sheet(spark, LETTERHEAD))
+    m = infer.with_header(known, 4)
+    assert (m.header_row, m.name_col, m.price_col, m.code_col, m.qty_col) == (4, 1, 2, 0, None)
+    again = infer.analyze_sheet(sheet(spark, LETTERHEAD), header_row=4)
+    assert again.mapping.header_row == 4 and again.data_rows == 1
+
+
+def test_many_sheets_in_one_job_as_one_by_one(spark):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from tallyspark.operators import sheets
+
+    books = {"letterhead": LETTERHEAD, "abroad": ABROAD, "serials": SERIALS, "accented": ACCENTED, "empty": [[None]], "one cell": [["x"]]}
+    many = reduce(DataFrame.unionByName, [sheet(spark, rows).select(F.lit("f").alias("file"), F.lit(name).alias("sheet"), "row_num", "cells") for name, rows in books.items()])
+    roles = {r["sheet"]: r for r in sheets.sheet_roles(many).collect()}
+    assert set(roles) == set(books)
+    for name, rows in books.items():
+        one, got = infer.analyze_sheet(sheet(spark, rows)), roles[name]
+        m = one.mapping
+        assert (got["header_row"], got["name_col"], got["price_col"], got["code_col"], got["qty_col"], got["data_rows"]) == (m.header_row, m.name_col, m.price_col, m.code_col, m.qty_col, one.data_rows), name
+        assert got["runnable"] == (m.name_col != m.price_col and one.data_rows > 0)
+    read = sheets.sheet_rows(many, sheets.sheet_roles(many)).filter("sheet = 'letterhead'").orderBy("row_num").collect()
+    assert [(r["row_num"], r["raw_name"], r["raw_price"], r["raw_code"]) for r in read] == [(5, "Rain barrel oak 80 l", 120.0, "KG-0001"), (6, "Twine jute ball", 2.1, "KG-0002")]
