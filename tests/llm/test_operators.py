@@ -376,6 +376,23 @@ def test_written_addresses_are_whole():
     assert [c[:3] for c in pii.candidates(f"to {text}, now", [])] == [("email", 3, 3 + len(text))]
 
 
+def test_a_number_of_any_length_is_one_span():
+    for number in (" ".join(["4321"] * 50), "(0123) 4567 8901 2345 6789 0123 4567", "1-" * 300 + "1"):
+        found = pii.candidates(f"x {number} y", [])
+        assert [c[:3] for c in found] == [("phone", 2, 2 + len(number))]
+        assert found[0][3:] == pii._judge(f"x {number} y", "phone", 2, 2 + len(number), False)
+
+
+def test_toxic_fit_is_bounded_by_bytes(spark):
+    docs = documents(spark, [(i, prose(i, 20 + i % 7), None, None) for i in range(200)] + [(500, prose(1, 3000), None, None)])
+    known = docs.select("doc_id", F.lit(1).alias("y"))
+    size = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
+    drawn = [r["doc_id"] for r in toxicity.drawn_texts(docs, known, 150, 64 * 300).collect()]
+    assert len(set(drawn)) == len(drawn) <= 150 and 500 not in drawn
+    assert 64 * 300 - 300 <= sum(size[i] for i in drawn) <= 64 * 300
+    assert len(toxicity.drawn_texts(docs, known, 150, 1 << 30).collect()) == 150
+
+
 # ---- op5 ---------------------------------------------------------------------------
 
 
