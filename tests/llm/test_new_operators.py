@@ -169,3 +169,14 @@ def test_trie_of_an_empty_table(spark):
     assert prefix_trie.conversation_trie(conversations(spark, random_conversations(1, 3)).filter("false")).count() == 0
 
 
+
+
+def test_token_counts_of_the_whole_table(spark):
+    from tallyspark.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    whole = library()
+    texts_of = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op12_token_counts"](spark, folder).collect()}
+    counts = {i: len(whole.encode(t, add_special_tokens=False)) for i, t in texts_of.items()}
+    assert got == {i: (len(t.encode()), counts[i], counts[i] > 1024) for i, t in texts_of.items()}
