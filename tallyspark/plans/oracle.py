@@ -292,6 +292,7 @@ _SHAPE = rf"^[(-]*\s*[₱$€£¥]?\s*({'|'.join(CURRENCIES)})?\s*[-+]?[0-9][0-9
 
 ORACLE_SQL: dict[str, str] = {
     "normalize_desc": f"WITH {_NAMES} SELECT row_num, {norm('raw_name')} AS cleaned FROM names",
+    "normalize_folded": f"WITH {_NAMES} SELECT row_num, {norm('raw_name')} AS cleaned FROM names",
     "normalize_benchmark": f"SELECT item_id, {norm('text')} AS cleaned FROM benchmark",
     "normalize_documents": f"SELECT doc_id, {norm("coalesce(text, '')")} AS cleaned FROM documents",
     "clean_price": f"WITH {SIDES}, typed AS (SELECT row_num, raw_price FROM claims UNION ALL SELECT row_num, raw_price FROM costing), {price_cte('priced', 'typed', 'row_num, raw_price')} SELECT row_num, raw_price, price FROM priced",
@@ -383,7 +384,6 @@ FROM (SELECT *, status = 'PROBABLE' AND n_candidates >= 2 AS p FROM r) r LEFT JO
     "header_detect": f"""WITH {SIDES}, cells AS (SELECT row_num, unnest([raw_name, raw_price, raw_code]) AS s, 'str' AS kind FROM claims WHERE row_num <= 20 UNION ALL SELECT row_num, CAST(CAST(raw_qty AS BIGINT) AS VARCHAR), 'num' FROM claims WHERE row_num <= 20 AND raw_qty IS NOT NULL
   UNION ALL SELECT 1, unnest(['Item Name', 'Unit Price', 'Part No.', 'Qty']), 'str'), filled AS (SELECT *, s AS raw_price FROM cells WHERE s IS NOT NULL AND trim(s) <> ''), {price_cte("cp", "filled", "row_num, s, kind")}
 SELECT CAST(row_num AS INTEGER) AS row_num, count(*) AS filled, count(*) FILTER (kind = 'str') AS strings, count(*) FILTER (price IS NOT NULL AND regexp_matches(trim(s), '^[0-9(£$€¥₱\\s.,-]+$')) AS numbers FROM cp GROUP BY row_num""",
-    "column_roles": "SELECT CAST(0 AS INTEGER) AS header_row, CAST(0 AS INTEGER) AS name_col, CAST(1 AS INTEGER) AS price_col, CAST(2 AS INTEGER) AS code_col, CAST(3 AS INTEGER) AS qty_col",
     "column_profile": f"""WITH {SIDES}, cells AS (SELECT row_num, 0 AS pos, raw_name AS s, 'str' AS kind FROM claims UNION ALL SELECT row_num, 1, raw_price, 'str' FROM claims UNION ALL SELECT row_num, 2, raw_code, 'str' FROM claims UNION ALL SELECT row_num, 3, CAST(CAST(raw_qty AS BIGINT) AS VARCHAR), 'num' FROM claims),
 filled AS (SELECT *, kind = 'num' OR (regexp_matches(s, '[0-9]') AND regexp_matches(trim(s), '{_SHAPE}', 'i')) AS numeric FROM cells WHERE s IS NOT NULL AND trim(s) <> '' AND row_num BETWEEN 2 AND 301)
 SELECT CAST(pos AS INTEGER) AS pos, count(*) AS filled, count(*) FILTER (NOT numeric) AS strings, count(*) FILTER (numeric) AS numbers, array_to_string(list_slice(list(trim(s) ORDER BY row_num), 1, 3), '|') AS samples FROM filled GROUP BY pos""",
@@ -404,7 +404,6 @@ SELECT row_num, CASE WHEN verdict IS NULL THEN '' WHEN c IS NULL THEN verdict EL
  aq AS claimed_qty, b.qty AS assessed_qty, coalesce(aq <> b.qty, false) AS qty_differs FROM r LEFT JOIN b ON b.b_row = r.b_row""",
     "sort_orders": f"WITH {RESULTS}, o AS (" + " UNION ALL ".join(f"SELECT '{k}' AS sort_key, a_id, row_number() OVER (ORDER BY {c} {o}, a_id) AS pos FROM r" for k, c, o in _ORDERS) + ") SELECT sort_key, CAST(pos AS INTEGER) AS pos, a_id FROM o WHERE pos <= 50",
     "sheet_preview": f"WITH {SIDES} SELECT CAST(row_num AS INTEGER) AS row_num, raw_name AS \"A\", raw_price AS \"B\", raw_code AS \"C\" FROM claims WHERE row_num BETWEEN 2 AND 9",
-    "run_gate": f"WITH {SIDES}, n AS (SELECT count(*) FILTER (trim(coalesce(raw_name, '')) <> '') AS data_rows FROM claims) SELECT data_rows, data_rows > 0 AS runnable FROM n",
     "size_notes": f"WITH s AS (SELECT p_partkey AS k, p_partkey % 40 + 5 AS x, p_partkey % 7 + 2 AS y FROM part) SELECT k, CASE WHEN k % 3 = 0 THEN x || 'x' || (x + 9) || 'x' || y ELSE x || 'x' || (x + 9) || 'x' || (y + k % 2) END AS dims, k % 3 <> 0 AND k % 2 = 1 AS differ FROM s",
     "ledger_order": f"WITH {LEDGER} SELECT b_row, status FROM lines ORDER BY matched, b_row LIMIT 100",
     "health_samples": f"""{"WITH " + _DUPS}, flags AS (SELECT row_num, name, raw_price, unnest(['blank_names', 'unreadable', 'zero', 'negative', 'date_like']) AS flag,
@@ -437,13 +436,15 @@ kinds AS (SELECT book, row_num, pos, nullif(s, '') AS s, CASE WHEN s = '' THEN '
 ORACLE_SQL["sheet_cells"] = f"WITH {_CELLS} SELECT CAST(book AS INTEGER) AS book, CAST(row_num AS INTEGER) AS row_num, CAST(pos AS INTEGER) AS pos, kind, s FROM kinds"
 
 _HAS = lambda words, x="label": f"CAST(regexp_matches({x}, '{words}') AS INTEGER)"
-ORACLE_SQL["sheet_roles"] = f"""WITH {_CELLS},
+def _roles_sql(cells: str, width: int, columns: str) -> str:
+    """``cells`` ends in ``kinds``: ``book, row_num, pos, s, kind``."""
+    return f"""WITH {cells},
 filled AS (SELECT *, strip_accents(lower(trim(s))) AS label, s AS raw_price FROM kinds WHERE kind <> 'null' AND trim(s) <> ''),
 {price_cte("priced", "(SELECT * FROM filled WHERE row_num <= 20)", "book, row_num, kind, label, s")},
 scores AS (SELECT book, row_num, count(*) FILTER (kind = 'str') + 3 * count(*) FILTER (kind = 'str' AND (regexp_matches(label, '{NAME_WORDS.pattern}') OR regexp_matches(label, '{PRICE_WORDS.pattern}')))
   - 2 * count(*) FILTER (price IS NOT NULL AND regexp_matches(trim(s), '^[0-9(£$€¥₱\\s.,-]+$')) AS score FROM priced GROUP BY book, row_num HAVING count(*) >= 2),
 header AS (SELECT book, arg_max(row_num, row(score, -row_num)) AS h FROM scores GROUP BY book),
-width AS (SELECT book, h, unnest(range(5)) AS pos FROM header),
+width AS (SELECT book, h, unnest(range({width})) AS pos FROM header),
 profile AS (SELECT f.book, pos, count(*) AS n, count(*) FILTER (kind = 'num' OR (regexp_matches(s, '[0-9]') AND regexp_matches(trim(s), '{_SHAPE}', 'i'))) AS numbers,
   list(length(trim(s)) ORDER BY row_num)[1:3] AS long FROM filled f JOIN header USING (book) WHERE row_num > h AND row_num <= h + 300 GROUP BY f.book, pos),
 col AS (SELECT w.book, w.h, w.pos, coalesce(f.label, '') AS label, coalesce(numbers / CAST(n AS DOUBLE), 0) AS num, coalesce((n - numbers) / CAST(n AS DOUBLE), 0) AS str, coalesce(list_avg(long), 0) AS long
@@ -455,8 +456,18 @@ c AS (SELECT col.book, arg_max(pos, row(2 * greatest(str, num) + 3 * {_HAS(STRON
 p AS (SELECT col.book, arg_max(pos, row(3 * num + 5 * {_HAS(PRICE_WORDS.pattern)} - 6 * {_HAS(DATE_WORDS.pattern)}, -pos)) FILTER (num >= 0.3 AND pos <> name_col AND pos <> coalesce(code_col, -1)) AS price_col
   FROM col JOIN a USING (book) JOIN c USING (book) GROUP BY col.book),
 d AS (SELECT a.book, count(*) AS data_rows FROM a JOIN filled f ON f.book = a.book AND f.pos = a.name_col AND f.row_num > a.h GROUP BY a.book)
-SELECT CAST(book AS INTEGER) AS book, CAST(h - 1 AS INTEGER) AS header_row, CAST(name_col AS INTEGER) AS name_col, CAST(price_col AS INTEGER) AS price_col, CAST(code_col AS INTEGER) AS code_col, CAST(qty_col AS INTEGER) AS qty_col,
-  data_rows, name_col <> price_col AND data_rows > 0 AS runnable FROM a JOIN c USING (book) JOIN p USING (book) JOIN d USING (book)"""
+SELECT {columns} FROM a JOIN c USING (book) JOIN p USING (book) JOIN d USING (book)"""
+
+
+_ROLES = ", ".join(f"CAST({c} AS INTEGER) AS {n}" for c, n in (("h - 1", "header_row"), ("name_col", "name_col"), ("price_col", "price_col"), ("code_col", "code_col"), ("qty_col", "qty_col")))
+_RUNNABLE = "data_rows, name_col <> price_col AND data_rows > 0 AS runnable"
+ORACLE_SQL["sheet_roles"] = _roles_sql(_CELLS, 5, f"CAST(book AS INTEGER) AS book, {_ROLES}, {_RUNNABLE}")
+#: The claims as one sheet: a header on row 1, one row a claim.
+_SHEET = f"""{SIDES}, kinds AS (SELECT 0 AS book, row_num, pos, s, CASE WHEN s IS NULL THEN 'null' WHEN pos = 3 AND row_num > 1 THEN 'num' ELSE 'str' END AS kind FROM (
+  SELECT row_num, unnest(range(4)) AS pos, unnest([raw_name, raw_price, raw_code, CAST(CAST(raw_qty AS BIGINT) AS VARCHAR)]) AS s FROM claims
+  UNION ALL SELECT 1, unnest(range(4)), unnest(['Item Name', 'Unit Price', 'Part No.', 'Qty'])))"""
+ORACLE_SQL["column_roles"] = _roles_sql(_SHEET, 4, _ROLES)
+ORACLE_SQL["run_gate"] = _roles_sql(_SHEET, 4, _RUNNABLE)
 ORACLE_SQL["run_from_files"] = f"WITH {RESULTS} SELECT raw_name AS a_raw_name, a_price, status, method, score, b_row FROM r"
 
 ORACLE_SQL["duplicate_members"] = f"""WITH {SIDES}, cl AS (SELECT row_num AS row, {norm('raw_name')} AS cleaned FROM costing)

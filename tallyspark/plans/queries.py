@@ -45,6 +45,17 @@ def normalize_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("row_num", text.normalize_description(F.col("raw_name")).alias("cleaned"))
 
 
+@query
+def normalize_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names typed in full-width letters, or with raised digits and ligatures, fold to the same key as plain ones."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    wide = F.translate("raw_name", plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    raised = F.replace(F.translate("raw_name", "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"), F.lit("fi"), F.lit("ﬁ"))
+    k = F.col("row_num") % 3
+    typed = _names(spark, sf_dir).withColumn("raw_name", F.when(k == 0, wide).when(k == 1, raised).otherwise(F.col("raw_name")))
+    return text.fold_compatibility(typed, "raw_name").select("row_num", text.normalize_description(F.col("raw_name")).alias("cleaned"))
+
+
 @query
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``, with its long, empty and odd texts."""
