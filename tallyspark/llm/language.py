@@ -148,7 +148,14 @@ def predict_language(docs: DataFrame, profiles: DataFrame, profile_size: int = P
 
 
 def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Learn from the training fold of ``docs`` (null languages aside), predict all of it."""
+    """Learn from the training fold of ``docs`` (null languages aside), predict all of it.
+
+    ``doc_id, text, lang`` -> ``doc_id, held_out, lang_pred, score``, then the columns of ``carry``.
+    A null doc_id counts as the empty string for the fold and stays null; rows that repeat are
+    learned from and judged each for itself; texts of any length are read whole; ties, null
+    and letterless texts as in :func:`predict_language`.  Columns that aren't named aren't read.  An
+    empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     profiles = train_profiles(docs.filter(~is_held_out(F.col("doc_id"))))
     said = predict_language(docs, profiles, carry=carry)

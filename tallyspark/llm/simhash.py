@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, s
     Documents whose fingerprints differ in at most ``radius`` bits are linked; a component
     carries its smallest doc_id.  Texts without a word (null, empty) share fingerprint zero,
     which links like any other.  Equal fingerprints are one point of the tree, so groups of
-    copies cost one point.  Repeated rows get a row each; an empty table gives none.
+    copies cost one point.  Repeated rows get a row each; a null doc_id is never a component's
+    smallest unless all are null; texts of any length are read whole; other columns aren't read,
+    whatever their names; an empty table gives an empty result.
     """
     marks = settle(fingerprints(docs), "fingerprints")
     points = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "points")
@@ -197,7 +199,8 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``columns`` (``doc_id`` and ``text`` among them) of one row of each component.
 
     The row with the smallest doc_id stays, one without doc_id only where all are.  Rows are
-    told apart by a number written beside them, as ids can be null or repeated.
+    told apart by a number written beside them, as ids can be null or repeated.  Null and empty
+    texts are one component; texts of any length are read whole; only ``columns`` are handed on.
     """
     hashed = fingerprints(docs, columns).withColumn("_hash", F.xxhash64("text"))
     marks = settle(hashed.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
