@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, one written table a stage.
 
-Each stage takes all that its predecessor kept and returns the columns of ``documents``;
-the last returns the packed pieces.  Null, empty and repeated rows are defined in the
-operators' docstrings; an empty table passes through as an empty table.
+Each stage takes all that its predecessor kept and returns the columns of ``documents``,
+whatever others there are; the last returns the packed pieces.  Null ids stay and are rows of
+their own, texts of any length are read whole, an empty table passes through as an empty
+table; what else odd rows do is defined in the operators' docstrings.
 """
 
 from __future__ import annotations
