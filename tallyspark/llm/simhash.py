@@ -22,10 +22,13 @@ from tallyspark.llm.common import settle, small_batches
 from tallyspark.llm.components import connected_components
 
 RADIUS, SHINGLE = 3, 3
-#: Distinct fingerprints that a shard should hold, and that are compared one by one.
-SHARD, BRUTE = 8_000, 4_000
-#: Fingerprints the driver fits the tree on, and shards of the tree, at most.
-SAMPLE, MOST_SHARDS = 100_000, 16_384
+#: Distinct fingerprints that a shard may hold in any case, and that are compared one by one.
+SHARD, BRUTE = 2_000, 4_000
+#: A shard may hold one in so many of all fingerprints.  How often a fingerprint is sent then depends on how they lie and
+#: not on how many there are; a large shard splits itself, in its task's memory.
+PARTS = 12
+#: Fingerprints the driver fits the tree on, at most.
+SAMPLE = 100_000
 #: The sample is one in so many fingerprints, or fewer.
 LEAST_STEP = 8
 #: Vantage points tried at each node.
@@ -70,12 +73,12 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 class VantageTree:
     """Nodes as arrays: vantage point, cut, and the children inside and outside; leaves are shards."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, most_shards: int = MOST_SHARDS, radius: int = RADIUS):
+    def __init__(self, sample: np.ndarray, leaf: int, radius: int = RADIUS):
         self.radius, self.shards = radius, 0
         self.vantage: list[int] = []
         self.cut: list[int] = []
         self.children: list[list[int]] = []  # shard s is written as -1 - s
-        self.root = self._grow(sample, max(leaf, len(sample) // most_shards, 1), np.random.default_rng(7))
+        self.root = self._grow(sample, leaf, np.random.default_rng(7))
 
     def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         best = None
@@ -134,15 +137,19 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_shard(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For distinct sorted points, the position of the smallest one in the same component."""
     label = np.arange(len(points))
-    tree = VantageTree(points, BRUTE, 1 << 30, radius) if len(points) > 2 * BRUTE else None
+    tree = VantageTree(points, BRUTE, radius) if len(points) > 2 * BRUTE else None
     for _, at in tree.route(points) if tree else [(0, label.copy())]:
         part = points[at]
+        here = np.arange(len(part))
         for i in range(0, len(part), 256):
             near = np.bitwise_count(part[i : i + 256, None] ^ part[None, i:]) <= radius
             x, y = np.nonzero(near)
             keep = x < y
             if keep.any():
-                label = _merge(label, at[i + x[keep]], at[i + y[keep]])
+                here = _merge(here, i + x[keep], i + y[keep])
+        moved = np.flatnonzero(here != np.arange(len(part)))
+        if len(moved):
+            label = _merge(label, at[moved], at[here[moved]])
     return label
 
 
@@ -150,14 +157,14 @@ def link(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: in
     """Written rows of distinct ``fp`` -> the same with ``root``, the smallest ``fp`` of the component.
 
     The tree is fitted on one in ``LEAST_STEP`` of the distinct fingerprints and on at most
-    ``sample``; every fingerprint is routed through it and compared.  A sample too small to
-    split gives one shard, which splits itself.
+    ``sample``; every fingerprint is routed through it and compared.  A shard holds ``shard`` of them,
+    or one in ``PARTS`` of all where that is more, so the rows sent grow as the fingerprints do.
     """
     n = points.count()
     step = max(LEAST_STEP, -(-n // (sample // 2)))
     taken = points.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).limit(sample).toPandas()
     drawn = np.sort(taken["fp"].to_numpy(np.int64).view(np.uint64)) if len(taken) else np.empty(0, np.uint64)
-    tree = VantageTree(drawn, max(1, shard // step), radius=radius)
+    tree = VantageTree(drawn, max(1, shard // step, len(drawn) // PARTS), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
