@@ -56,3 +56,20 @@ def test_items_give_the_first_rows_of_every_key(spark, monkeypatch, stored):
     assert sorted(map(tuple, keys.select("key", "key_rank", "b_row").collect())) == sorted(map(tuple, whole.select("key", "key_rank", "b_row").collect()))
     item_of = {x["b_row"]: (r["first_row"], x["b_price"]) for r in items.collect() for x in r["rows"]}
     assert all(item_of[r["b_row"]] == (r["first_row"], r["b_price"]) for r in keys.collect())
+
+
+def test_costing_rows_of_a_ledger_travel_once(spark):
+    from tallyspark.operators import coverage
+
+    costing = spark.createDataFrame([(k, f"lamp {k}", "lamp", 2.0, 1.0, None) for k in range(9)], "b_row long, b_raw_name string, b_cleaned string, b_price double, qty double, b_code string")
+    kind = "a_row long, a_raw_name string, a_price double, status string, candidates array<struct<b_row:bigint>>, chosen struct<b_row:bigint>"
+    results = spark.createDataFrame([(2, "lamp", 2.0, "STRONG", [(1,), (3,)], (1,)), (3, "lamp", None, "STRONG", [(3,)], (3,))], kind)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = coverage.ledger(costing, results, spark.createDataFrame([(2, 5.0)], "a_row long, qty double"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        shown = {r["b_row"]: (r["claimed_qty"], r["claim_rows"], r["ref_a_price"]) for r in lines.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert shown == {k: (5.0, "2" if k == 1 else "2, 3", 2.0) if k in (1, 3) else (None, "", None) for k in range(9)}
