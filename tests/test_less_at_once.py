@@ -29,6 +29,17 @@ def kept_in(tables):
     return settle
 
 
+def test_no_block_of_descriptions_is_larger_than_its_bound(spark, monkeypatch):
+    claims, keys = described(spark)
+    asked = claims.select(F.col("a_cleaned").alias("a_key")).distinct()
+    rows = lambda: sorted(map(tuple, fuzzy.fuzzy_scores(asked, keys, matching.token_idf, 30).collect()))
+    whole, tables = rows(), {}
+    monkeypatch.setattr(fuzzy, "KEY_BLOCK", 50)
+    monkeypatch.setattr(fuzzy, "settle", kept_in(tables))
+    assert rows() == whole
+    assert tables["block-store"].count() > 5
+
+
 @pytest.mark.parametrize("stored", [1, 3, 50])
 def test_pairs_that_cannot_count_are_not_sent(spark, monkeypatch, stored):
     claims, keys = described(spark)
