@@ -68,3 +68,12 @@ def test_costing_rows_go_where_only_results_are_wanted(spark, name):
     before = kept()
     compare(spark, name)
     assert kept() == before
+
+
+def test_items_go_and_records_travel_as_rows(spark):
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    kept = lambda kind: {x for x in os.listdir(folder) if x.startswith(kind)}
+    before, records = kept("costing-items-"), kept("linked-records-")
+    compare(spark, "exposure")
+    assert kept("costing-items-") == before
+    assert len(kept("linked-records-") - records) == 1
