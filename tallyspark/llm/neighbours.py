@@ -5,7 +5,8 @@ components, packed into bits, with two scalars: its distance from the centre and
 the signs stand for it.  Codes and scalars alone meet the queries: a query's turned
 components are quantised to a few bits, so that its inner product with all codes is a count
 of common bits a bit plane.  From it the cosine follows with an error bound; only vectors
-whose bound reaches the best ones found are ranked by their original components.
+whose bound reaches the best ones found in their block are ranked by their original components,
+in the same task, so what is possible is never written down.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.blocks import BLOCK, best, blocks_of, dealt, every, matrix, one_row_an_id, query_groups, same_length, vectors
 from tallyspark.llm.common import settle
+from tallyspark.sources.shared import discard
 
 #: Standard deviations of the error bound.
-EPSILON = 2.2
+EPSILON = 2.6
+#: Vectors nearest by their codes, of a block, that say where a query's bar is.
+FIRST = 128
 #: Bits of a query's component.
 QUERY_BITS = 4
 SEED = 17
+#: Components of a block at most: its original vectors are doubles in a task.
+CELLS = 8_000_000
 
 FOUND = "query_id long, vec_id long, score double"
-POSSIBLE = "query_id long, block int, part int, lows array<double>, ids binary, highs binary"
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -53,8 +58,9 @@ def encode(unit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.n
 
 
 def index(rows: DataFrame, centre: np.ndarray) -> DataFrame:
-    """``vec_id, v`` -> ``vec_id, code, length, fit``: the code of every vector."""
+    """``vec_id, v`` -> ``vec_id, v, code, length, fit``: the code of every vector, beside it."""
     turn = rotation(len(centre))
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,9 +68,10 @@ def index(rows: DataFrame, centre: np.ndarray) -> DataFrame:
                 continue
             v = np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
             words, length, fit = encode(v / np.linalg.norm(v, axis=1)[:, None], centre, turn)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(length), pa.array(fit)], ["vec_id", "code", "length", "fit"])
+            coded = [pa.array([w.tobytes() for w in words], pa.binary()), pa.array(length), pa.array(fit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *coded], ["vec_id", "v", "code", "length", "fit"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, code binary, length double, fit double")
+    return rows.select("vec_id", "v").mapInArrow(run, f"vec_id long, v {kind}, code binary, length double, fit double")
 
 
 def mean_direction(rows: DataFrame, dim: int) -> np.ndarray:
@@ -116,51 +123,40 @@ class Codes:
         return guess, self.spread * unseen
 
 
-def _possible(k: int, centre: np.ndarray):
-    """Codes of a block and queries -> for each query the vectors that can be among its nearest."""
+def norms(b: np.ndarray) -> np.ndarray:
+    return np.sqrt((b * b).sum(1))
 
-    def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            ids, block, part = rows["vec_id"].to_numpy(np.int64), int(rows["block"].iloc[0]), int(rows["part"].iloc[0])
-            codes = Codes(rows["code"].tolist(), rows["length"].to_numpy(), rows["fit"].to_numpy(), centre)
-            q = matrix(queries["v"])
-            for q_id, unit in zip(queries["vec_id"], q / np.linalg.norm(q, axis=1)[:, None]):
-                guess, slack = codes.estimate(unit)
-                other = ids != q_id
-                low, high = np.where(other, guess - slack, -np.inf), guess + slack
-                lows = np.sort(low[np.argpartition(low, -k)[-k:]] if len(low) > k else low)[::-1]
-                bar = lows[k - 1] if len(lows) >= k else -np.inf
-                near = np.flatnonzero((high >= bar) & other)
-                out.append((q_id, block, part, lows[np.isfinite(lows)], ids[near].tobytes(), high[near].tobytes()))
-        return pd.DataFrame(out, columns=["query_id", "block", "part", "lows", "ids", "highs"])
 
-    return search
+def cosine(a: np.ndarray, b: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+    """Of one vector and the rows of a matrix (and their :func:`norms`), from the original components."""
+    return (b * a).sum(1) / (of_b * np.sqrt((a * a).sum()))
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of one vector and the rows of a matrix, from the original components."""
-    return (b * a).sum(1) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum()))
-
-
-def _rerank(k: int):
-    """Original vectors of a block and the queries with their possible members -> the nearest."""
+def _search(k: int, centre: np.ndarray):
+    """Codes and original vectors of a block, and queries -> of each query the block's nearest."""
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            rows = rows.sort_values("vec_id", kind="stable")
             ids, v = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"])
-            for q_id, q, bar, near, highs in zip(queries["query_id"], queries["q"], queries["bar"], queries["ids"], queries["highs"]):
-                wanted = np.unique(np.frombuffer(near, np.int64)[np.frombuffer(highs, np.float64) >= bar])
-                first, last = np.searchsorted(ids, wanted), np.searchsorted(ids, wanted, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if (last - first > 1).any() else first
-                if not len(at):
-                    continue
-                score = cosine(np.asarray(q, np.float64), v[at])
+            length = norms(v)
+            codes = Codes(rows["code"].tolist(), rows["length"].to_numpy(), rows["fit"].to_numpy(), centre)
+            for q_id, q in zip(queries["vec_id"], queries["v"]):
+                q = np.asarray(q, np.float64)
+                guess, slack = codes.estimate(q / np.linalg.norm(q))
+                guess[ids == q_id] = -np.inf
+                # True cosines of the nearest by their codes set the bar.
+                first = np.argpartition(guess, -FIRST)[-FIRST:] if len(guess) > FIRST else np.arange(len(guess))
+                first = first[ids[first] != q_id]
+                known = cosine(q, v[first], length[first])
+                near = guess + slack >= (np.partition(known, -k)[-k] if len(known) >= k else -np.inf)
+                near[first] = True
+                at = np.flatnonzero(near & (ids != q_id))
+                score = cosine(q, v[at], length[at])
                 order = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[at][order], "score": score[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                out.append((np.full(len(order), q_id), ids[at][order], score[order]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns))).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return search
 
@@ -184,8 +180,8 @@ def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOC
     smaller id; an empty table gives an empty result.  Other columns aren't read.  The centre is
     the mean of all vectors' directions.
 
-    Codes travel once for each group of queries, and so do the original vectors, of which those are
-    reranked that a query's bound, over all blocks, leaves possible.  Vectors whose squares
+    Codes and original vectors travel once for each group of queries; a task reranks those of its block that a
+    query's bound leaves possible, and hands on ``k`` a query.  Vectors whose squares
     would leave the range of doubles are scaled by a power of two, which no cosine feels.
     """
     rows = in_range(vectors(table))
@@ -195,18 +191,12 @@ def nearest(table: DataFrame, k: int = 5, every_nth: int = 50, block: int = BLOC
         return best(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
     rows = settle(rows, "vectors")
     centre = mean_direction(rows, dim)
-    codes = settle(index(rows, centre), "codes")
-    queries = settle(one_row_an_id(rows.filter(F.col("vec_id") % every_nth == 0)), "queries")
-    blocks = blocks_of(rows, block)
+    indexed = settle(index(rows, centre), "index")
+    discard(rows)
+    queries = settle(one_row_an_id(indexed.filter(F.col("vec_id") % every_nth == 0).select("vec_id", "v")), "queries")
+    blocks = blocks_of(indexed, max(1, min(block, CELLS // dim)))
     groups = query_groups(queries, blocks)
-    in_block = dealt("vec_id", blocks, 1)
-    left = codes.withColumn("block", in_block).withColumn("part", every(groups))
+    left = indexed.withColumn("block", dealt("vec_id", blocks, 1)).withColumn("part", every(groups))
     right = queries.withColumn("part", dealt("vec_id", groups, 2)).withColumn("block", every(blocks))
-    possible = settle(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_possible(k, centre), POSSIBLE), "possible")
-
-    lows = F.sort_array(F.flatten(F.collect_list("lows")), asc=False)
-    bars = possible.groupBy("query_id").agg(F.coalesce(F.get(lows, F.lit(k - 1)), F.lit(float("-inf"))).alias("bar"))
-    wanted = possible.join(bars, "query_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    originals = rows.withColumn("block", in_block).withColumn("part", every(groups))
-    hits = originals.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(_rerank(k), FOUND)
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_search(k, centre), FOUND)
     return best(hits, k)
