@@ -276,8 +276,12 @@ def closest_claims(lines: DataFrame, claims: DataFrame, most: int = 8, block: in
     right = store.withColumn("chunk", every(chunks))
     key = ["block", "chunk"]
     found = left.repartition(blocks * chunks, *key).groupBy(*key).cogroup(right.repartition(blocks * chunks, *key).groupBy(*key)).applyInPandas(_search(most), FOUND)
-    found = found.select("line", F.zip_with("sims", "ids", lambda s, i: F.struct((-s).alias("unlike"), i.alias("a_id"))).alias("best"))
-    if blocks > 1:
-        found = found.groupBy("line").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most).alias("best"))
+    pairs = lambda sims, ids: F.zip_with(sims, ids, lambda s, i: F.struct((-s).alias("unlike"), i.alias("a_id")))
+    if blocks > 1:  # sent as two lists, which are half as wide as their pairs
+        found = found.groupBy("line").agg(F.collect_list(F.struct("sims", "ids")).alias("lists"))
+        best = F.slice(F.array_sort(F.flatten(F.transform("lists", lambda x: pairs(x["sims"], x["ids"])))), 1, most)
+    else:
+        best = pairs(F.col("sims"), F.col("ids"))
+    found = found.select("line", best.alias("best"))
     each = found.select("line", F.posexplode("best").alias("pos", "x"))
     return each.select("line", (F.col("pos") + 1).alias("pos"), "x.a_id", (-F.col("x.unlike")).alias("sim"))
